@@ -1,0 +1,226 @@
+import json
+import random
+from collections import Counter
+
+import pytest
+
+from recordlens import change_table, diff_records, key_differences, record_changes
+from recordlens.columns import diffs_schema
+from recordlens.functions.canonical import canonical_text, record_delta
+from recordlens.sources.datasets import dataset_files, read_dataset, write_dataset
+
+
+def one(make_collated, a, b, **options):
+    return diff_records(make_collated([("1", "s", a, b)]), **options).first()
+
+
+PAIRS = [
+    # A, B, ignore_order, modified fields, has_diff, change document
+    ({"color": "green"}, {"color": "red"}, True, ["color"], "true",
+     {"values_changed": {"root['color']": {"new_value": "red", "old_value": "green"}}}),
+    ({"color": "green"}, {"color": "green"}, True, [], "false", {}),
+    ({"colors": ["green", "red"]}, {"colors": ["red", "green"]}, True, [], "false", {}),
+    ({"colors": ["green", "red"]}, {"colors": ["red", "green"]}, False, ["colors"], "true",
+     None),
+    ({"colors": ["red", "green"]}, {"colors": ["red", "green", "green"]}, True,
+     ["colors"], "true",
+     {"repetition_change": {"root['colors'][1]": {
+         "old_repeat": 1, "new_repeat": 2, "old_indexes": [1], "new_indexes": [1, 2],
+         "value": "green"}}}),
+    ({"a": 1, "b": 2}, {"c": 3}, True, ["a", "b", "c"], "true",
+     {"dictionary_item_removed": ["root['a']", "root['b']"],
+      "dictionary_item_added": ["root['c']"]}),
+    ({"n": 1}, {"n": 1.0}, True, ["n"], "true",
+     {"type_changes": {"root['n']": {"old_type": "int", "new_type": "float",
+                                     "old_value": 1, "new_value": 1.0}}}),
+    ({"n": None}, {}, True, ["n"], "true", {"dictionary_item_removed": ["root['n']"]}),
+    ({"n": True}, {"n": 1}, True, ["n"], "true",
+     {"type_changes": {"root['n']": {"old_type": "bool", "new_type": "int",
+                                     "old_value": True, "new_value": 1}}}),
+    ({"x": {"y": [{"z": 1}, {"z": 2}]}}, {"x": {"y": [{"z": 2}, {"z": 1}]}}, True,
+     [], "false", {}),
+    ({"x": {"y": {"z": "é\"\n"}}}, {"x": {"y": {"z": "e"}}}, True, ["x"], "true",
+     {"values_changed": {"root['x']['y']['z']": {
+         "new_value": "e", "old_value": "é\"\n"}}}),
+    ({"x": ["a"]}, {"x": ["a", "b"]}, True, ["x"], "true",
+     {"iterable_item_added": {"root['x'][1]": "b"}}),
+    ({"x": ["a", "b"]}, {"x": ["a"]}, False, ["x"], "true",
+     {"iterable_item_removed": {"root['x'][1]": "b"}}),
+    ({"it's \"q\"": 1}, {"it's \"q\"": 2}, True, ["it's \"q\""], "true",
+     {"values_changed": {"root[\"it's \"q\"\"]": {"new_value": 2, "old_value": 1}}}),
+]
+
+
+@pytest.mark.parametrize("a,b,ignore_order,fields,has_diff,document", PAIRS)
+def test_pairs(make_collated, a, b, ignore_order, fields, has_diff, document):
+    row = one(make_collated, a, b, ignore_order=ignore_order)
+    assert row.modified_fields == fields
+    assert row.has_diff == has_diff
+    if document is not None:
+        assert json.loads(row.ab_diff) == document
+
+
+@pytest.mark.parametrize("a,b,has_diff", [
+    (None, {"color": "green"}, "true"), ({"color": "green"}, None, "true"),
+    (None, None, "false")])
+def test_missing_side(make_collated, a, b, has_diff):
+    row = one(make_collated, a, b)
+    assert (row.modified_fields, row.has_diff, row.ab_diff) == ([], has_diff, None)
+
+
+def test_equal_number_written_differently(spark):
+    rows = spark.createDataFrame(
+        [("1", "s", bytearray(b'{"n": 1.50, "z": -0.0, "d": 1, "d": 2}'),
+          bytearray(b'{"d": 2, "n": 1.5, "z": 0.0}'))],
+        "record_id string, source string, record_a binary, record_b binary")
+    assert diff_records(rows).first().has_diff == "false"
+
+
+def test_other_roots_than_objects(make_collated):
+    row = one(make_collated, [1], [2])
+    assert (row.has_diff, row.modified_fields) == ("true", [])
+    row = one(make_collated, {"x": 1}, [2])
+    assert (row.has_diff, row.modified_fields) == ("true", ["x"])
+
+
+def test_root_overlap_threshold(make_collated):
+    a, b = {"k": 1, "a": 1, "b": 1}, {"k": 1, "c": 1, "d": 1}
+    assert one(make_collated, a, b).modified_fields == ["a", "b", "c", "d"]
+    row = one(make_collated, a, b, root_overlap_threshold=0.33)
+    assert row.modified_fields == ["a", "b", "c", "d", "k"]
+    assert list(json.loads(row.ab_diff)["values_changed"]) == ["root"]
+
+
+def test_invalid_json_fails(spark):
+    rows = spark.createDataFrame(
+        [("1", "s", bytearray(b"{"), bytearray(b"{}"))],
+        "record_id string, source string, record_a binary, record_b binary")
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        diff_records(rows).collect()
+
+
+def test_collated_fixture(diffs):
+    assert [(f.name, f.dataType) for f in diffs.schema] == [
+        (f.name, f.dataType) for f in diffs_schema()]
+    found = {r.record_id: (r.modified_fields, r.has_diff) for r in diffs.collect()}
+    assert found == {
+        "abc123": (["color"], "true"), "def456": ([], "false"),
+        "ghi789": (["color", "fruit", "number"], "true")}
+
+
+def test_diffs_written_by_has_diff(spark, diffs, tmp_path):
+    write_dataset(diffs, str(tmp_path / "diffs"), ["has_diff"])
+    back = read_dataset(spark, str(tmp_path / "diffs"))
+    assert back.count() == 3
+    assert dict(back.dtypes)["has_diff"] == "string"
+    folders = {r.path.split("/")[-2] for r in dataset_files(spark, str(tmp_path / "diffs")).collect()}
+    assert folders == {"has_diff=true", "has_diff=false"}
+
+
+def test_change_table(make_collated):
+    rows = change_table(record_changes(make_collated([
+        ("1", "s", {"x": {"y": 1}, "g": ["a"]}, {"x": {"y": 2, "n": None}, "g": ["a", "a"]}),
+    ]))).orderBy("path").collect()
+    assert [(r.field, r.path, r.kind, r.old, r.new, r.old_repeat, r.new_repeat) for r in rows] == [
+        ("g", "root['g'][0]", "repetition_changed", '"a"', '"a"', 1, 2),
+        ("x", "root['x']['n']", "added", None, "null", None, None),
+        ("x", "root['x']['y']", "changed", "1", "2", None, None)]
+
+
+def test_key_differences(make_collated):
+    rows = key_differences(make_collated([
+        ("1", "s", {"a": 1, "b": 2, "k": 0}, {"c": 3, "k": 1}), ("2", "s", None, {"c": 3})]))
+    assert {r.record_id: (r.fields_only_in_a, r.fields_only_in_b) for r in rows.collect()} == {
+        "1": (["a", "b"], ["c"]), "2": ([], ["c"])}
+
+
+# --- randomised JSON against an independent comparison ------------------------
+
+def random_json(rng, depth=0):
+    kind = rng.randrange(8 if depth < 3 else 5)
+    if kind >= 6:
+        return {rng.choice("abcd"): random_json(rng, depth + 1) for _ in range(rng.randrange(4))}
+    if kind == 5:
+        return [random_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return [rng.randrange(3), float(rng.randrange(3)), rng.choice("xyé"), rng.random() < 0.5,
+            None][kind]
+
+
+def shuffled(rng, value):
+    if isinstance(value, dict):
+        items = [(k, shuffled(rng, v)) for k, v in value.items()]
+        rng.shuffle(items)
+        return dict(items)
+    if isinstance(value, list):
+        return rng.sample([shuffled(rng, v) for v in value], len(value))
+    return value
+
+
+def same(a, b):
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    if isinstance(a, list):
+        rest = list(b)
+        for item in a:
+            match = next((i for i, other in enumerate(rest) if same(item, other)), None)
+            if match is None:
+                return False
+            rest.pop(match)
+        return not rest
+    return a == b
+
+
+def test_random_pairs_match_brute_force(make_collated):
+    rng = random.Random(7)
+    pairs = []
+    for i in range(400):
+        a = {rng.choice("abcdef"): random_json(rng) for _ in range(4)}
+        b = shuffled(rng, a)
+        if rng.random() < 0.6:
+            b[rng.choice("abcdef")] = random_json(rng)
+        pairs.append((str(i), "s", a, b))
+    found = {r.record_id: r.modified_fields
+             for r in diff_records(make_collated(pairs)).collect()}
+    for i, _, a, b in pairs:
+        expected = sorted(
+            k for k in a.keys() | b.keys()
+            if (k in a) != (k in b) or not same(a[k], b[k]))
+        assert found[i] == expected, (a, b)
+
+
+def test_shuffling_is_no_diff_and_repeating_is():
+    rng = random.Random(11)
+    for _ in range(500):
+        value = [random_json(rng) for _ in range(rng.randrange(1, 6))]
+        assert record_delta({"v": value}, {"v": shuffled(rng, value)}) is None
+        repeated = value + [rng.choice(value)]
+        assert record_delta({"v": value}, {"v": repeated})["fields"] == ["v"]
+
+
+def test_changes_account_for_every_array_item():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = [random_json(rng) for _ in range(rng.randrange(6))]
+        b = [random_json(rng) for _ in range(rng.randrange(6))]
+        counts = Counter(map(canonical_text, a))
+        delta = record_delta({"v": a}, {"v": b}) or {"changes": []}
+        for change in delta["changes"]:
+            if change["kind"] == "repetition_changed":
+                key = canonical_text(json.loads(change["old"]))
+                counts[key] += len(change["new_indexes"]) - len(change["old_indexes"])
+            elif change["kind"] == "item_removed":
+                counts[canonical_text(json.loads(change["old"]))] -= 1
+            else:
+                counts[canonical_text(json.loads(change["new"]))] += 1
+        assert +counts == Counter(map(canonical_text, b))
+
+
+def test_lone_surrogates_survive(spark):
+    rows = spark.createDataFrame(
+        [("1", "s", bytearray(b'{"a\\ud800": "x"}'), bytearray(b'{"a\\ud800": "\\udc00"}'))],
+        "record_id string, source string, record_a binary, record_b binary")
+    row = diff_records(rows).first()
+    assert row.has_diff == "true"
+    assert "\\udc00" in row.ab_diff
