@@ -39,69 +39,46 @@ def any_of(values: Column, wanted: list[str]) -> Column:
         F.arrays_overlap(values, F.array(*[F.lit(w) for w in wanted])), F.lit(False))
 
 
-def json_kind(text: Column) -> Column:
-    """Type name of a JSON text, as the change document reports it."""
-    first = F.substring(text, 1, 1)
-    return (
-        F.when(first == '"', "str")
-        .when(first == "{", "dict")
-        .when(first == "[", "list")
-        .when(text.isin("true", "false"), "bool")
-        .when(text == "null", "NoneType")
-        .when(text.rlike("[.eEIN]"), "float")
-        .otherwise("int")
-    )
-
-
-def _json_string(text: Column) -> Column:
-    boxed = F.to_json(F.array(text))
-    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
-
-
-def _index_list(indexes: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(indexes, ","), F.lit("]"))
-
-
-def _entry(kind: str, change: Column) -> Column:
-    path = _json_string(change["path"])
-    if kind in ("added", "removed"):
-        return path
-    if kind == "changed":
-        body = F.concat(F.lit('{"new_value":'), change["new"],
-                        F.lit(',"old_value":'), change["old"], F.lit("}"))
-    elif kind == "type_changed":
-        body = F.concat(
-            F.lit('{"old_type":"'), json_kind(change["old"]),
-            F.lit('","new_type":"'), json_kind(change["new"]),
-            F.lit('","old_value":'), change["old"],
-            F.lit(',"new_value":'), change["new"], F.lit("}"))
-    elif kind == "repetition_changed":
-        body = F.concat(
-            F.lit('{"old_repeat":'), F.size(change["old_indexes"]).cast("string"),
-            F.lit(',"new_repeat":'), F.size(change["new_indexes"]).cast("string"),
-            F.lit(',"old_indexes":'), _index_list(change["old_indexes"]),
-            F.lit(',"new_indexes":'), _index_list(change["new_indexes"]),
-            F.lit(',"value":'), change["old"], F.lit("}"))
-    else:
-        body = change["new"] if kind == "item_added" else change["old"]
-    return F.concat(path, F.lit(":"), body)
-
-
-def _entries(kind: str, changes: Column) -> Column:
-    of_kind = F.filter(changes, lambda change: change["kind"] == kind)
-    return F.transform(of_kind, lambda change: _entry(kind, change))
-
-
-def change_document(changes: Column) -> Column:
+def _type_name(text: str) -> str:
+    """SQL for the type name of a JSON text, as the change document reports it."""
+    return f"""
+        CASE WHEN {text} LIKE '"%' THEN 'str' WHEN {text} LIKE '{{%' THEN 'dict'
+             WHEN {text} LIKE '[%' THEN 'list' WHEN {text} IN ('true', 'false') THEN 'bool'
+             WHEN {text} = 'null' THEN 'NoneType'
+             WHEN {text} RLIKE '[.eEIN]' THEN 'float' ELSE 'int' END"""
+
+
+_PATH = "substring(to_json(array(c.path)), 2, length(to_json(array(c.path))) - 2)"
+
+# JSON text of one change, by kind
+_ENTRIES = {
+    "changed": f"""concat({_PATH}, ':{{"new_value":', c.new, ',"old_value":', c.old, '}}')""",
+    "type_changed": f"""concat(
+        {_PATH}, ':{{"old_type":"', {_type_name('c.old')},
+        '","new_type":"', {_type_name('c.new')},
+        '","old_value":', c.old, ',"new_value":', c.new, '}}')""",
+    "added": _PATH,
+    "removed": _PATH,
+    "item_added": f"concat({_PATH}, ':', c.new)",
+    "item_removed": f"concat({_PATH}, ':', c.old)",
+    "repetition_changed": f"""concat(
+        {_PATH}, ':{{"old_repeat":', size(c.old_indexes),
+        ',"new_repeat":', size(c.new_indexes),
+        ',"old_indexes":[', array_join(c.old_indexes, ','),
+        '],"new_indexes":[', array_join(c.new_indexes, ','),
+        '],"value":', c.old, '}}')""",
+}
+
+
+def change_document(changes: str) -> Column:
     """Change document as JSON by category; ``{}`` when there is no change."""
     parts = []
     for kind, category in CHANGE_CATEGORIES.items():
-        entries = _entries(kind, changes)
         opening, closing = ("[", "]") if kind in ("added", "removed") else ("{", "}")
-        parts.append(F.when(
-            F.size(entries) > 0,
-            F.concat(F.lit(f'"{category}":{opening}'),
-                     F.array_join(entries, ","), F.lit(closing))))
-    body = F.array_join(F.array_compact(F.array(*parts)), ",")
-    return F.when(F.size(changes) == 0, F.lit("{}")).otherwise(
-        F.concat(F.lit("{"), body, F.lit("}")))
+        entries = (f"transform(filter({changes}, c -> c.kind = '{kind}'), "
+                   f"c -> {_ENTRIES[kind]})")
+        parts.append(
+            f"""'"{category}":{opening}' || nullif(array_join({entries}, ','), '')"""
+            f" || '{closing}'")
+    body = f"array_join(array({', '.join(parts)}), ',')"
+    return F.expr(f"CASE WHEN size({changes}) = 0 THEN '{{}}' ELSE '{{' || {body} || '}}' END")

@@ -63,7 +63,7 @@ def diff_records(
     described = [cols.id, cols.source, cols.record_a, cols.record_b]
     changed = record_changes(
         collated.select(*described), cols, ignore_order, root_overlap_threshold)
-    document = F.when(F.col(cols.missing) == 0, change_document(F.col("changes")))
+    document = F.when(F.col(cols.missing) == 0, change_document("changes"))
     return changed.select(
         F.col(cols.id).cast("string").alias(cols.id),
         F.col(cols.source).cast("string").alias(cols.source),
