@@ -15,7 +15,7 @@ from .operators.manifest import (
     extracted_files, input_manifest, parse_filenames, requested_sources, since_last_full,
 )
 from .operators.matrix import (
-    changed_fields, field_cells, field_matrix, field_names, record_flags, sources,
+    changed_fields, distinct_sources, field_cells, field_matrix, field_names, record_flags,
 )
 from .operators.metrics import (
     count_cells, field_counts, global_counts, metrics_document, metrics_rows, source_counts,

@@ -41,7 +41,7 @@ def changed_fields(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return diffs.select(F.explode(cols.fields).alias("field")).distinct()
 
 
-def sources(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+def distinct_sources(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return diffs.select(cols.source).distinct()
 
 

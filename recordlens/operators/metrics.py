@@ -109,10 +109,14 @@ def metrics_rows(cells: DataFrame) -> DataFrame:
     return summary.unionByName(by_source).unionByName(by_field).unionByName(pairs)
 
 
+def _by_key(left: Column, right: Column) -> Column:
+    return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
+
+
 def _sorted_map(key: str, value: Column) -> Column:
     """Map of a group's rows in key order. Rows with a null key are left out."""
     entry = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    return F.map_from_entries(F.array_sort(F.collect_list(entry), _by_key))
 
 
 def metrics_document(
