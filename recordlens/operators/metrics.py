@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import DEFAULT, Columns
+from ..sources.datasets import read_dataset, write_dataset
 
 MAX_DOCUMENT_CELLS = 1_000_000
 
 
-def count_cells(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
+def count_cells(
+    diffs: DataFrame, cols: Columns = DEFAULT, path: str | None = None
+) -> DataFrame:
     """Records and changed records per source and field, in one pass.
 
     A null field stands for the record itself, so those rows hold the record counts. Counts
-    are combined before the shuffle, so a hot source costs no more than another.
+    are combined before the shuffle, so a hot source costs no more than another. With
+    ``path`` they are written there first, so that several counts derived from them do not
+    compute the diffs again.
     """
     slots = F.concat(F.array(F.lit(None).cast("string")), F.col(cols.fields))
-    return (
+    cells = (
         diffs.select(
             F.col(cols.source).alias("source"),
             (F.col(cols.has_diff) == "true").cast("long").alias("changed"),
@@ -29,6 +34,10 @@ def count_cells(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
         .groupBy("source", "field")
         .agg(F.count("*").alias("records"), F.sum("changed").alias("with_diff"))
     )
+    if path is None:
+        return cells
+    write_dataset(cells, path)
+    return read_dataset(diffs.sparkSession, path)
 
 
 def _of_records(column: str) -> Column:
@@ -74,7 +83,8 @@ def source_field_counts(cells: DataFrame) -> DataFrame:
     """Records changed per source and field, with zeros for absent pairs.
 
     The list of field names goes into each source's row as a scalar subquery, so the grid
-    needs no cross join. Read the rows by source, or by field for the transposed view.
+    needs no cross join. Cells are used twice: pass stored ones for large diffs. Read the
+    rows by source, or by field for the transposed view.
     """
     counted = F.when(F.col("field").isNotNull(), F.struct("field", "records"))
     by_source = cells.groupBy("source").agg(
@@ -109,51 +119,54 @@ def metrics_rows(cells: DataFrame) -> DataFrame:
     return summary.unionByName(by_source).unionByName(by_field).unionByName(pairs)
 
 
-def _by_key(left: Column, right: Column) -> Column:
-    return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
-
-
-def _sorted_map(key: str, value: Column) -> Column:
-    """Map of a group's rows in key order. Rows with a null key are left out."""
-    entry = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), value.alias("value")))
-    return F.map_from_entries(F.array_sort(F.collect_list(entry), _by_key))
-
-
 def metrics_document(
     cells: DataFrame, max_cells: int = MAX_DOCUMENT_CELLS
 ) -> DataFrame:
     """One row, ``metrics``: the whole document as JSON text.
 
-    The document holds two numbers per pair of source and field, and is one value, so the
-    number of pairs is checked; ``metrics_rows`` has the same content without that bound.
+    The document is one value with two numbers per pair of source and field, so the number
+    of pairs is checked; ``metrics_rows`` has the same content without that bound. Records
+    with a null source count in the summary only.
     """
-    pairs = source_field_counts(cells)
-    by_source = (
-        pairs.groupBy("source").agg(_sorted_map("field", F.col("n")).alias("field_counts"))
-    )
-    by_source = (
-        source_counts(cells).withColumnRenamed("n", "count")
-        .join(by_source, "source", "left")
-        .select("source", F.struct(
-            "count",
-            F.coalesce("field_counts", F.create_map().cast("map<string,bigint>"))
-            .alias("field_counts")).alias("entry"))
-    )
-    by_field = pairs.groupBy("field").agg(F.struct(
-        F.sum("n").alias("count"), _sorted_map("source", F.col("n")).alias("source_counts"),
-    ).alias("entry"))
-    totals = global_counts(cells)
-    size = cells.agg(
-        F.count_distinct("source") * F.count_distinct("field")).scalar()
-    checked = F.assert_true(size <= max_cells, F.lit(
-        f"more than {max_cells} pairs of source and field: use metrics_rows"))
-    source_map = by_source.agg(_sorted_map("source", F.col("entry"))).scalar()
-    field_map = by_field.agg(_sorted_map("field", F.col("entry"))).scalar()
-    return totals.select(
-        "*", checked.alias("checked"), source_map.alias("by_source"), field_map.alias("by_field")
-    ).filter(F.col("checked").isNull()).select(F.to_json(F.struct(
+    is_record = F.col("field").isNull()
+    per_source = cells.groupBy("source").agg(
+        F.sum(F.when(is_record, F.col("records"))).alias("records"),
+        F.sum(F.when(is_record, F.col("with_diff"))).alias("with_diff"),
+        F.collect_list(F.when(~is_record, F.struct("field", "records"))).alias("by_field"))
+    entries = F.array_sort(F.collect_list(F.when(
+        F.col("source").isNotNull(), F.struct("source", "with_diff", "by_field"))))
+    whole = per_source.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
+        F.coalesce(F.sum("with_diff"), F.lit(0)).alias("total_records_with_diff"),
+        F.count("source").alias("n_sources"), entries.alias("entries"))
+    fields = F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "entries", lambda e: F.transform(e["by_field"], lambda pair: pair["field"])))))
+    named = whole.withColumn("fields", fields)
+    checked = named.filter(F.assert_true(
+        F.col("n_sources") * F.size("fields") <= max_cells,
+        F.lit(f"more than {max_cells} pairs of source and field: use metrics_rows")).isNull())
+
+    def of_source(entry: Column) -> Column:
+        counted = F.map_from_entries(entry["by_field"])
+        return F.struct(entry["with_diff"].alias("count"), F.map_from_arrays(
+            F.col("fields"), F.transform("fields", lambda f: F.coalesce(counted[f], F.lit(0))),
+        ).alias("field_counts"))
+
+    def of_field(field: Column) -> Column:
+        counts = F.transform("entries", lambda e: F.coalesce(
+            F.map_from_entries(e["by_field"])[field], F.lit(0)))
+        return F.struct(
+            F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n).alias("count"),
+            F.map_from_arrays(F.col("sources"), counts).alias("source_counts"))
+
+    listed = checked.withColumn("sources", F.transform("entries", lambda e: e["source"]))
+    return listed.select(F.to_json(F.struct(
+        F.struct(
+            "total_records", "total_records_with_diff",
+            percent(F.col("total_records_with_diff"), F.col("total_records"))
+            .alias("records_with_diff_percent"),
+            "sources", F.col("fields").alias("fields_with_diffs")).alias("summary"),
         F.struct(
-            "total_records", "total_records_with_diff", "records_with_diff_percent",
-            F.map_keys("by_source").alias("sources"),
-            F.map_keys("by_field").alias("fields_with_diffs")).alias("summary"),
-        F.struct("by_source", "by_field").alias("analysis"))).alias("metrics"))
+            F.map_from_arrays("sources", F.transform("entries", of_source)).alias("by_source"),
+            F.map_from_arrays("fields", F.transform("fields", of_field)).alias("by_field"),
+        ).alias("analysis"))).alias("metrics"))

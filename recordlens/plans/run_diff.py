@@ -56,8 +56,7 @@ def run_diff(
     diffs = read_dataset(spark, f"{output}/diffs")
     raise_for({**seen.get, "duplicate_ids": duplicate_ids(diffs, cols).first()[0]}, cols)
 
-    write_dataset(count_cells(diffs, cols), f"{output}/counts")
-    cells = read_dataset(spark, f"{output}/counts")
+    cells = count_cells(diffs, cols, f"{output}/counts")
     names = field_names(diffs, cols)
     matrix = field_matrix(diffs, names, cols)
     records = final_records(diffs, names, cols)

@@ -163,8 +163,13 @@ def source_counts(spark, sf_dir):
     return rl.source_counts(order_cells(spark, sf_dir))
 
 
+def stored_cells(spark, diffs) -> DataFrame:
+    """Cells written to shared storage, for counts that use them more than once."""
+    return rl.count_cells(diffs, path=scratch_dir(spark, "cells"))
+
+
 def source_field_counts(spark, sf_dir):
-    return rl.source_field_counts(order_cells(spark, sf_dir))
+    return rl.source_field_counts(stored_cells(spark, order_diffs(spark, sf_dir)))
 
 
 def field_counts(spark, sf_dir):
@@ -172,12 +177,12 @@ def field_counts(spark, sf_dir):
 
 
 def field_source_counts(spark, sf_dir):
-    cells = rl.count_cells(document_diffs(spark, sf_dir))
+    cells = stored_cells(spark, document_diffs(spark, sf_dir))
     return rl.source_field_counts(cells).select("field", "source", "n")
 
 
 def metrics_rows(spark, sf_dir):
-    return rl.metrics_rows(order_cells(spark, sf_dir))
+    return rl.metrics_rows(stored_cells(spark, order_diffs(spark, sf_dir)))
 
 
 METRICS_TYPE = """
