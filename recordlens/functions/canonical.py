@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import sys
 from collections import defaultdict
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -34,14 +35,13 @@ DELTA_TYPE = T.StructType([
     T.StructField("fields", T.ArrayType(T.StringType())),
     T.StructField("changes", T.ArrayType(CHANGE_TYPE)),
 ])
-_ARROW_CHANGE = pa.struct([
-    ("field", pa.string()), ("path", pa.string()), ("kind", pa.string()),
-    ("old", pa.string()), ("new", pa.string()),
-    ("old_indexes", pa.list_(pa.int32())), ("new_indexes", pa.list_(pa.int32())),
-])
-_ARROW_DELTA = pa.struct([
-    ("fields", pa.list_(pa.string())), ("changes", pa.list_(_ARROW_CHANGE)),
-])
+_ARROW_CHANGE = [
+    pa.field("field", pa.string()), pa.field("path", pa.string()),
+    pa.field("kind", pa.string()), pa.field("old", pa.string()), pa.field("new", pa.string()),
+    pa.field("old_indexes", pa.list_(pa.int32())),
+    pa.field("new_indexes", pa.list_(pa.int32())),
+]
+_SCALARS = (str, int, float, bool, type(None))
 
 _encode = json.JSONEncoder(
     sort_keys=True, ensure_ascii=False, separators=(",", ":")
@@ -50,7 +50,11 @@ _encode = json.JSONEncoder(
 
 def _utf8(text: str) -> str:
     """Lone surrogates, which UTF-8 cannot hold, go back to their JSON escape."""
-    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
+def _text(value) -> str:
+    return _utf8(_encode(value))
 
 
 def _plain(value, ignore_order: bool):
@@ -70,6 +74,10 @@ def canonical_text(value, ignore_order: bool = True) -> str:
 
 
 def _differs(old, new, ignore_order: bool) -> bool:
+    if type(old) is not type(new):
+        return True
+    if type(old) in _SCALARS:
+        return old != new and not (old != old and new != new)  # NaN equals NaN
     if _encode(old) == _encode(new):  # the usual case, without leaving the C encoder
         return False
     return canonical_text(old, ignore_order) != canonical_text(new, ignore_order)
@@ -82,87 +90,100 @@ def _positions(items: list, ignore_order: bool) -> dict[str, list[int]]:
     return found
 
 
-def _quoted(key: str) -> str:
-    return f'"{key}"' if "'" in key else f"'{key}'"
+def _child(path: str, key: str) -> str:
+    return f'{path}["{key}"]' if "'" in key else f"{path}['{key}']"
+
+
+# A change is (path, kind, old text, new text, old indexes, new indexes).
+
+def _member_changes(path: str, key: str, old: dict, new: dict, ignore_order: bool):
+    """Changes of one key that is not the same in two objects; none if it is."""
+    if key not in new:
+        yield _child(path, key), "removed", _text(old[key]), None, None, None
+    elif key not in old:
+        yield _child(path, key), "added", None, _text(new[key]), None, None
+    elif _differs(old[key], new[key], ignore_order):
+        yield from _changes(_child(path, key), old[key], new[key], ignore_order)
 
 
 def _changes(path: str, old, new, ignore_order: bool):
-    """Yield (path, kind, old, new, old_indexes, new_indexes) for two unequal values."""
+    """Changes between two unequal values."""
     if type(old) is not type(new):
-        yield path, "type_changed", old, new, None, None
+        yield path, "type_changed", _text(old), _text(new), None, None
     elif isinstance(old, dict):
         for key in sorted(old.keys() | new.keys()):
-            child = f"{path}[{_quoted(key)}]"
-            if key not in new:
-                yield child, "removed", old[key], None, None, None
-            elif key not in old:
-                yield child, "added", None, new[key], None, None
-            elif _differs(old[key], new[key], ignore_order):
-                yield from _changes(child, old[key], new[key], ignore_order)
+            yield from _member_changes(path, key, old, new, ignore_order)
     elif isinstance(old, list) and ignore_order:
-        before, after = _positions(old, True), _positions(new, True)
-        for text, indexes in before.items():
-            others = after.get(text, [])
-            if not others:
-                for i in indexes:
-                    yield f"{path}[{i}]", "item_removed", old[i], None, [i], None
-            elif len(others) != len(indexes):
-                first = indexes[0]
-                yield (f"{path}[{first}]", "repetition_changed", old[first],
-                       new[others[0]], indexes, others)
-        for text, indexes in after.items():
-            if text not in before:
-                for i in indexes:
-                    yield f"{path}[{i}]", "item_added", None, new[i], None, [i]
+        yield from _multiset_changes(path, old, new)
     elif isinstance(old, list):
         for i in range(max(len(old), len(new))):
             child = f"{path}[{i}]"
             if i >= len(new):
-                yield child, "item_removed", old[i], None, [i], None
+                yield child, "item_removed", _text(old[i]), None, [i], None
             elif i >= len(old):
-                yield child, "item_added", None, new[i], None, [i]
+                yield child, "item_added", None, _text(new[i]), None, [i]
             elif _differs(old[i], new[i], False):
                 yield from _changes(child, old[i], new[i], False)
     else:
-        yield path, "changed", old, new, None, None
-
-
-def _row(field, path, kind, old, new, old_indexes, new_indexes) -> dict:
-    has_old = kind not in ("added", "item_added")
-    has_new = kind not in ("removed", "item_removed")
-    return {
-        "field": None if field is None else _utf8(field),
-        "path": _utf8(path),
-        "kind": kind,
-        "old": _utf8(_encode(old)) if has_old else None,
-        "new": _utf8(_encode(new)) if has_new else None,
-        "old_indexes": old_indexes,
-        "new_indexes": new_indexes,
-    }
+        yield path, "changed", _text(old), _text(new), None, None
+
+
+def _multiset_changes(path: str, old: list, new: list):
+    before, after = _positions(old, True), _positions(new, True)
+    for text, indexes in before.items():
+        others = after.get(text)
+        if others is None:
+            for i in indexes:
+                yield f"{path}[{i}]", "item_removed", _text(old[i]), None, [i], None
+        elif len(others) != len(indexes):
+            first = indexes[0]
+            yield (f"{path}[{first}]", "repetition_changed", _text(old[first]),
+                   _text(new[others[0]]), indexes, others)
+    for text, indexes in after.items():
+        if text not in before:
+            for i in indexes:
+                yield f"{path}[{i}]", "item_added", None, _text(new[i]), None, [i]
 
 
 def record_delta(old, new, ignore_order: bool = True, root_overlap_threshold: float = 0.0):
-    """Changed root fields and changes of one record, or None if it did not change."""
+    """Changed root fields and changes (root field first) of one record.
+
+    None if the record did not change.
+    """
     if not (isinstance(old, dict) and isinstance(new, dict)):
         if not _differs(old, new, ignore_order):
             return None
         keys = sorted(key for side in (old, new) if isinstance(side, dict) for key in side)
-        return {"fields": [_utf8(key) for key in keys], "changes": [
-            _row(None, *change) for change in _changes("root", old, new, ignore_order)]}
+        return keys, [(None, *change) for change in _changes("root", old, new, ignore_order)]
     keys = sorted(old.keys() | new.keys())
     if keys and len(old.keys() & new.keys()) / len(keys) < root_overlap_threshold:
-        return {"fields": [_utf8(key) for key in keys],
-                "changes": [_row(None, "root", "changed", old, new, None, None)]}
-    fields, rows = [], []
-    for key in keys:
-        if key in old and key in new and not _differs(old[key], new[key], ignore_order):
-            continue
-        fields.append(_utf8(key))
-        left = {key: old[key]} if key in old else {}
-        right = {key: new[key]} if key in new else {}
-        rows += [_row(key, *change)
-                 for change in _changes("root", left, right, ignore_order)]
-    return {"fields": fields, "changes": rows} if fields else None
+        return keys, [(None, "root", "changed", _text(old), _text(new), None, None)]
+    changes = [
+        (key, *change) for key in keys
+        for change in _member_changes("root", key, old, new, ignore_order)]
+    return (list(dict.fromkeys(c[0] for c in changes)), changes) if changes else None
+
+
+def _offsets(groups) -> pa.Array:
+    return pa.array([0, *accumulate(map(len, groups))], pa.int32())
+
+
+def _delta_array(deltas: list) -> pa.Array:
+    """Arrow array of ``record_delta`` results, built column by column."""
+    fields = [d[0] if d else () for d in deltas]
+    groups = [d[1] if d else () for d in deltas]
+    columns = zip(*chain.from_iterable(groups)) if any(groups) else [()] * len(_ARROW_CHANGE)
+    names, paths, *others = map(list, columns)
+    names = [name if name is None else _utf8(name) for name in names]
+    changes = pa.StructArray.from_arrays(
+        [pa.array(values, field.type) for values, field in zip(
+            [names, list(map(_utf8, paths)), *others], _ARROW_CHANGE)],
+        fields=_ARROW_CHANGE)
+    flat = pa.array(list(map(_utf8, chain.from_iterable(fields))), pa.string())
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(_offsets(fields), flat),
+         pa.ListArray.from_arrays(_offsets(groups), changes)],
+        names=["fields", "changes"], mask=pa.array([d is None for d in deltas]))
 
 
 def record_deltas(
@@ -172,14 +193,10 @@ def record_deltas(
 
     @F.arrow_udf(DELTA_TYPE)
     def deltas(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for old, new in zip(left, right):
-            old, new = old.as_py(), new.as_py()
-            out.append(
-                None if old is None or new is None else
-                record_delta(json.loads(old), json.loads(new),
-                             ignore_order, root_overlap_threshold))
-        return pa.array(out, type=_ARROW_DELTA)
+        return _delta_array([
+            None if old is None or new is None else
+            record_delta(json.loads(old), json.loads(new), ignore_order, root_overlap_threshold)
+            for old, new in zip(left.to_pylist(), right.to_pylist())])
 
     return deltas(a, b)
 
@@ -190,8 +207,7 @@ def root_sorted(payload: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def sort_roots(records: pa.Array) -> pa.Array:
         out = []
-        for record in records:
-            record = record.as_py()
+        for record in records.to_pylist():
             value = None if record is None else json.loads(record)
             if isinstance(value, dict):
                 value = {key: value[key] for key in sorted(value)}
