@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 _SEPARATOR = "\u0001"
-EXTRACT_STRUCT = "_extract"
 
 
 def basename(path: Column) -> Column:
@@ -16,27 +15,31 @@ def basename(path: Column) -> Column:
 
 
 def parse_filename(path: Column, strict: bool = True) -> Column:
-    """Struct of the seven parts of an extract file name.
+    """The seven parts of an extract file name, as an array of one struct.
 
-    One regular-expression pass. A name that does not match fails the job in strict mode
-    and gives a null struct otherwise.
+    The pattern is applied once; the array binds its result for the parts (``inline`` it to
+    get columns). A name that does not match fails the job in strict mode and gives a null
+    struct otherwise.
     """
     name = basename(path)
-    parts = F.split(
+    split_name = F.split(
         F.regexp_replace(
             name, fixed.EXTRACT_FILENAME_PATTERN,
             _SEPARATOR.join(f"${i + 1}" for i in range(len(fixed.EXTRACT_FILENAME_PARTS)))),
         _SEPARATOR)
-    matched = F.size(parts) == len(fixed.EXTRACT_FILENAME_PARTS)
-    fields = F.struct(*[
-        F.nullif(F.element_at(parts, i + 1), F.lit("")).alias(part)
-        for i, part in enumerate(fixed.EXTRACT_FILENAME_PARTS)])
-    if strict:
-        invalid = F.raise_error(F.concat(
+
+    def as_struct(parts: Column) -> Column:
+        fields = F.struct(*[
+            F.nullif(parts[i], F.lit("")).alias(part)
+            for i, part in enumerate(fixed.EXTRACT_FILENAME_PARTS)])
+        matched = F.when(F.size(parts) == len(fixed.EXTRACT_FILENAME_PARTS), fields)
+        if not strict:
+            return matched
+        return matched.otherwise(F.raise_error(F.concat(
             F.lit("Provided S3 URI and filename is invalid: "),
-            F.coalesce(name, F.lit("null")), F.lit(".")))
-        return F.when(matched, fields).otherwise(invalid)
-    return F.when(matched, fields)
+            F.coalesce(name, F.lit("null")), F.lit("."))))
+
+    return F.transform(F.array(split_name), as_struct)
 
 
 def version_label(path: Column, strict: bool = True) -> Column:

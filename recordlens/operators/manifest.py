@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.filenames import EXTRACT_STRUCT, first_date, parse_filename
+from ..functions.filenames import first_date, parse_filename
 
 
 def parse_filenames(df: DataFrame, path: str = "path", strict: bool = True) -> DataFrame:
     """Add the seven parts of each extract file name; null parts if lenient and invalid."""
-    return df.withColumn(EXTRACT_STRUCT, parse_filename(F.col(path), strict)).select(
-        *df.columns, f"{EXTRACT_STRUCT}.*")
+    return df.select("*", F.inline(parse_filename(F.col(path), strict)))
 
 
 def extracted_files(files: DataFrame, path: str = "path") -> DataFrame:
