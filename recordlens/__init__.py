@@ -15,7 +15,8 @@ from .operators.manifest import (
     extracted_files, input_manifest, parse_filenames, requested_sources, since_last_full,
 )
 from .operators.matrix import (
-    changed_fields, distinct_sources, field_cells, field_matrix, field_names, record_flags,
+    changed_fields, distinct_sources, field_cells, field_matrix, field_names, name_list,
+    record_flags,
 )
 from .operators.metrics import (
     count_cells, field_counts, global_counts, metrics_document, metrics_rows, source_counts,
@@ -23,9 +24,10 @@ from .operators.metrics import (
 )
 from .operators.records import final_records, join_matrix
 from .operators.versions import VersionRun, run_versions
-from .plans.run_diff import RunResult, run_diff
+from .plans.run_diff import RunResult, load_run, run_diff
 from .sources.datasets import (
-    dataset_files, query_matrix, read_dataset, read_version, register_records, write_dataset,
+    dataset_files, query_matrix, read_dataset, read_version, register_records, write_bucketed,
+    write_dataset,
 )
 from .sources.manifests import list_files, read_manifest, write_manifest
 from .sources.runs import (

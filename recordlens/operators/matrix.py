@@ -45,20 +45,26 @@ def distinct_sources(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return diffs.select(cols.source).distinct()
 
 
-def field_names(
-    diffs: DataFrame, cols: Columns = DEFAULT, max_fields: int = MAX_FIELDS
-) -> list[str]:
-    """Changed fields as a sorted list, to become column names.
+def name_list(fields: DataFrame, max_fields: int = MAX_FIELDS) -> list[str]:
+    """Distinct values of the column ``field`` as a sorted list, to become column names.
 
     They come to the driver, so their number is checked first. Beyond ``max_fields`` a wide
     matrix makes no sense; the long form and all counts work with any number of fields.
     """
-    rows = changed_fields(diffs, cols).limit(max_fields + 1).collect()
+    named = fields.filter(F.col("field").isNotNull()).select("field").distinct()
+    rows = named.limit(max_fields + 1).collect()
     if len(rows) > max_fields:
         raise ValueError(f"more than {max_fields} changed fields: use field_cells")
     return sorted(row.field for row in rows)
 
 
+def field_names(
+    diffs: DataFrame, cols: Columns = DEFAULT, max_fields: int = MAX_FIELDS
+) -> list[str]:
+    """Fields changed in at least one record, sorted."""
+    return name_list(changed_fields(diffs, cols), max_fields)
+
+
 def matrix_column(field: str, cols: Columns = DEFAULT, taken: list[str] | None = None) -> str:
     """Column name of a field; prefixed if a fixed column already has that name."""
     reserved = {name.lower() for name in (taken or cols.matrix_fixed)}

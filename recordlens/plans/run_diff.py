@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import DEFAULT, Columns
 from ..operators.checks import duplicate_ids, raise_for
 from ..operators.collate import collate
 from ..operators.diff import diff_records
-from ..operators.matrix import field_matrix, field_names
+from ..operators.matrix import field_matrix, name_list
 from ..operators.metrics import count_cells, metrics_document
 from ..operators.records import final_records
 from ..sources.datasets import read_dataset, register_records, write_dataset
@@ -30,38 +30,51 @@ def run_diff(
     output: str,
     ignore_order: bool = True,
     root_overlap_threshold: float = 0.0,
-    write_records: bool = True,
+    write_records: bool = False,
     cols: Columns = DEFAULT,
 ) -> RunResult:
     """Compare two versions and store the results below ``output``.
 
     The diffs are written once, to shared storage, before anything else uses them: parsing
-    happens once, and a lost executor costs no more than the tasks it ran. Counts, field
-    names and the matrix then read narrow columns of that dataset. ``write_records`` stores
-    the final records too; otherwise they stay a projection of the diffs, which saves a
-    second copy of the payloads.
+    happens once, and a lost executor costs no more than the tasks it ran. The counts the
+    checks need are observed during that write. All counts read narrow columns of the
+    stored diffs, and the field names come from the counts.
+
+    The final records are a projection of the stored diffs, which are already partitioned
+    by source and ``has_diff``, so payloads are stored once. ``write_records`` stores a
+    second copy with the matrix columns in it, for readers other than ``load_run``.
     """
-    spark = a.sparkSession
-    collated = collate(a, b, cols)
     diffs = diff_records(
-        collated, cols, ignore_order, root_overlap_threshold, keep_missing_flag=True)
-    seen = Observation("recordlens_diffs")
+        collate(a, b, cols), cols, ignore_order, root_overlap_threshold,
+        keep_missing_flag=True)
+    seen = Observation()
     observed = diffs.observe(
         seen,
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(F.col(cols.record_a).isNull()).alias("record_a_nulls"),
         F.count_if(F.col(cols.record_b).isNull()).alias("record_b_nulls"))
-    write_dataset(observed, f"{output}/diffs", [cols.has_diff])
+    partitions = [cols.source, cols.has_diff]
+    write_dataset(observed, f"{output}/diffs", partitions, keep_other_partitions=False)
     raise_for({**seen.get, "duplicate_ids": 0}, cols)
-    diffs = read_dataset(spark, f"{output}/diffs")
-    raise_for({**seen.get, "duplicate_ids": duplicate_ids(diffs, cols).first()[0]}, cols)
+    stored = read_dataset(a.sparkSession, f"{output}/diffs")
+    raise_for({**seen.get, "duplicate_ids": duplicate_ids(stored, cols).first()[0]}, cols)
+    count_cells(stored, cols, f"{output}/counts")
 
-    cells = count_cells(diffs, cols, f"{output}/counts")
-    names = field_names(diffs, cols)
-    matrix = field_matrix(diffs, names, cols)
-    records = final_records(diffs, names, cols)
+    result = load_run(a.sparkSession, output, cols)
     if write_records:
-        write_dataset(records, f"{output}/records", [cols.source, cols.has_diff])
-        records = read_dataset(spark, f"{output}/records").select(*records.columns)
-    register_records(records)
-    return RunResult(records, matrix, cells, metrics_document(cells))
+        write_dataset(result.records, f"{output}/records", partitions,
+                      keep_other_partitions=False)
+        columns = result.records.columns
+        records = read_dataset(a.sparkSession, f"{output}/records").select(
+            *[F.col(f"`{name}`") for name in columns])
+        result = result._replace(records=register_records(records))
+    return result
+
+
+def load_run(spark: SparkSession, output: str, cols: Columns = DEFAULT) -> RunResult:
+    """Results of a stored run; registers its final records as the view ``records``."""
+    diffs = read_dataset(spark, f"{output}/diffs")
+    cells = read_dataset(spark, f"{output}/counts")
+    names = name_list(cells)
+    records = register_records(final_records(diffs, names, cols))
+    return RunResult(records, field_matrix(diffs, names, cols), cells, metrics_document(cells))

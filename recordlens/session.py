@@ -22,10 +22,26 @@ LARGE_RUN_CONF = {
 }
 
 
-def with_large_run_conf(builder):
-    """Apply the settings above to a session builder."""
+PARTITION_BYTES = 512 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Number of shuffle partitions for an input of that size.
+
+    Half a gigabyte each, so that a task's sort stays in memory; at least Spark's default of
+    200 and at most 100,000, where the bookkeeping per shuffle block starts to dominate and
+    a larger run is better split by source or read from bucketed tables.
+    """
+    return max(200, min(100_000, -(-input_bytes // PARTITION_BYTES)))
+
+
+def with_large_run_conf(builder, input_bytes: int | None = None):
+    """Apply the settings above, and partitions for ``input_bytes``, to a session builder."""
     for key, value in LARGE_RUN_CONF.items():
         builder = builder.config(key, value)
+    if input_bytes is not None:
+        builder = builder.config(
+            "spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     return builder
 
 

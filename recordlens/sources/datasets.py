@@ -44,9 +44,11 @@ def write_dataset(
     max_rows_per_file: int = MAX_ROWS_PER_FILE,
     rows_per_group: int | None = None,
     rebalance: bool = False,
+    keep_other_partitions: bool = True,
 ) -> None:
     """Write parquet, replacing the partitions that get rows (or the whole folder).
 
+    Without ``keep_other_partitions`` the whole folder is replaced in any case.
     ``rebalance`` adds a shuffle that gives each hive partition files of even size; AQE
     splits a hot partition over many tasks. Without it every task writes its own file per
     hive partition and nothing is shuffled.
@@ -58,10 +60,31 @@ def write_dataset(
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     if keys:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+        mode = "dynamic" if keep_other_partitions else "static"
+        writer = writer.option("partitionOverwriteMode", mode).partitionBy(*keys)
     writer.parquet(path)
 
 
+def write_bucketed(
+    df: DataFrame, table: str, buckets: int, cols: Columns = DEFAULT, path: str | None = None
+) -> DataFrame:
+    """Save a version as a table bucketed by record id, and return it.
+
+    Two versions with the same number of buckets are collated without any shuffle: both the
+    choice of the latest row and the join use the buckets. Worth it when a version is
+    compared more than once, such as the released version A against every candidate B.
+    """
+    # one task per bucket: bucket files are written by the tasks that hold the bucket's rows
+    writer = (
+        df.repartition(buckets, cols.id).write.mode("overwrite")
+        .bucketBy(buckets, cols.id).sortBy(cols.id)
+    )
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def dataset_files(spark: SparkSession, path: str) -> DataFrame:
     """Data files of a dataset with their sizes, from the listing alone."""
     return (

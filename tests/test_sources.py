@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from recordlens import (
     collate, count_cells, dataset_files, diff_records, extracted_files, input_manifest,
-    list_files, metrics_document, parse_filenames, read_dataset, read_history, read_manifest,
+    list_files, load_run, metrics_document, parse_filenames, read_dataset, read_history, read_manifest,
     read_run_documents, read_run_inputs, read_version, requested_sources, run_diff, save_run,
-    since_last_full, write_dataset, write_manifest,
+    since_last_full, write_bucketed, write_dataset, write_manifest,
 )
 from recordlens.functions.filenames import version_label
 from recordlens.operators.checks import DatasetCheckError
-from recordlens.session import scratch_dir
+from recordlens.session import scratch_dir, shuffle_partitions
 
 NAME = "source-2024-01-01-full-extracted-records-to-index"
 D1 = datetime.date(2024, 10, 1)
@@ -180,12 +180,55 @@ def test_whole_run(spark, make_version, tmp_path):
     summary = json.loads(result.metrics.first().metrics)["summary"]
     assert (summary["total_records"], summary["total_records_with_diff"]) == (30, 16)
     assert spark.sql("SELECT count(*) FROM records WHERE a_or_b_missing = 1").first()[0] == 2
-    folders = {tuple(r.path.split("/")[-3:-1])
-               for r in dataset_files(spark, str(tmp_path / "run" / "records")).collect()}
-    assert ("source=s0", "has_diff=true") in folders
-    lazy = run_diff(a, b, str(tmp_path / "lazy"), write_records=False)
-    assert lazy.records.columns == result.records.columns
-    assert lazy.records.count() == 30
+    def folders(name):
+        return {tuple(r.path.split("/")[-3:-1])
+                for r in dataset_files(spark, str(tmp_path / "run" / name)).collect()}
+    assert folders("diffs") == {
+        (f"source=s{i}", f"has_diff={d}") for i in range(3) for d in ("true", "false")}
+    # a second run into the same folder leaves nothing of the first one behind
+    again = run_diff(a, a, str(tmp_path / "run"), write_records=True)
+    assert again.records.columns == [
+        c for c in result.records.columns if c != "n"] and again.records.count() == 30
+    assert folders("records") == {(f"source=s{i}", "has_diff=false") for i in range(3)}
+    loaded = load_run(spark, str(tmp_path / "run"))
+    assert sorted(map(str, loaded.records.collect())) == sorted(map(str, again.records.collect()))
+
+
+def test_whole_run_with_other_column_names(spark, make_version, tmp_path):
+    from recordlens import Columns, browse, query_matrix
+    names = {"record_id": "item", "source": "origin", "run_date": "day", "run_type": "mode",
+             "action": "verb", "transformed_record": "body"}
+    cols = Columns(id="item", source="origin", run_date="day", run_type="mode", action="verb",
+                   payload="body", record_a="left", record_b="right", document="delta",
+                   fields="touched", has_diff="changed", missing="one_sided")
+    sides = [make_version([(str(i), "s", D1, "full", "index", {"n": i % m}) for i in range(9)])
+             .withColumnsRenamed(names) for m in (2, 3)]
+    result = run_diff(*sides, str(tmp_path / "run"), cols=cols)
+    assert set(result.records.columns) == {
+        "item", "origin", "left", "right", "delta", "touched", "changed", "one_sided", "n"}
+    assert [tuple(r) for r in browse(result.records, fields=["n"], length=1, cols=cols).collect()] \
+        == [("2", "s", "true", "[n]")]
+    found = query_matrix(result.records, "SELECT sum(n) AS n FROM record_diff_matrix", cols=cols)
+    assert found.first().n == sum(i % 2 != i % 3 for i in range(9))
+
+
+def test_bucketed_versions_collate_without_shuffle(spark, make_version, tmp_path):
+    sides = []
+    for name, step in (("a", 1), ("b", 2)):
+        version = make_version([
+            (str(i), "s", D1, "full", "index", {"n": i // step}) for i in range(40)] * 2)
+        sides.append(write_bucketed(version, f"version_{name}", 4, path=str(tmp_path / name)))
+    try:
+        found = collate(*sides)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 40
+    finally:
+        for name in "ab":
+            spark.sql(f"DROP TABLE version_{name}")
+
+
+def test_shuffle_partitions_grow_with_the_input():
+    assert [shuffle_partitions(n) for n in (1, 2**40, 10**14)] == [200, 2048, 100_000]
 
 
 def test_empty_run_raises(make_version, tmp_path):
