@@ -139,34 +139,30 @@ def metrics_document(
         F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
         F.coalesce(F.sum("with_diff"), F.lit(0)).alias("total_records_with_diff"),
         F.count("source").alias("n_sources"), entries.alias("entries"))
-    fields = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "entries", lambda e: F.transform(e["by_field"], lambda pair: pair["field"])))))
-    named = whole.withColumn("fields", fields)
-    checked = named.filter(F.assert_true(
+    listed = whole.selectExpr(
+        "*", "entries.source AS sources",
+        "array_sort(array_distinct(flatten(transform(entries, e -> e.by_field.field)))) AS fields",
+    )
+    checked = listed.filter(F.assert_true(
         F.col("n_sources") * F.size("fields") <= max_cells,
         F.lit(f"more than {max_cells} pairs of source and field: use metrics_rows")).isNull())
-
-    def of_source(entry: Column) -> Column:
-        counted = F.map_from_entries(entry["by_field"])
-        return F.struct(entry["with_diff"].alias("count"), F.map_from_arrays(
-            F.col("fields"), F.transform("fields", lambda f: F.coalesce(counted[f], F.lit(0))),
-        ).alias("field_counts"))
-
-    def of_field(field: Column) -> Column:
-        counts = F.transform("entries", lambda e: F.coalesce(
-            F.map_from_entries(e["by_field"])[field], F.lit(0)))
-        return F.struct(
-            F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n).alias("count"),
-            F.map_from_arrays(F.col("sources"), counts).alias("source_counts"))
-
-    listed = checked.withColumn("sources", F.transform("entries", lambda e: e["source"]))
-    return listed.select(F.to_json(F.struct(
+    by_source = """
+        map_from_arrays(sources, transform(entries, e -> named_struct(
+            'count', e.with_diff,
+            'field_counts', map_from_arrays(fields, transform(
+                fields, f -> coalesce(map_from_entries(e.by_field)[f], 0L))))))"""
+    by_field = """
+        map_from_arrays(fields, transform(transform(
+            fields, f -> transform(
+                entries, e -> coalesce(map_from_entries(e.by_field)[f], 0L))),
+            counts -> named_struct(
+                'count', aggregate(counts, 0L, (total, n) -> total + n),
+                'source_counts', map_from_arrays(sources, counts))))"""
+    return checked.select(F.to_json(F.struct(
         F.struct(
             "total_records", "total_records_with_diff",
             percent(F.col("total_records_with_diff"), F.col("total_records"))
             .alias("records_with_diff_percent"),
             "sources", F.col("fields").alias("fields_with_diffs")).alias("summary"),
-        F.struct(
-            F.map_from_arrays("sources", F.transform("entries", of_source)).alias("by_source"),
-            F.map_from_arrays("fields", F.transform("fields", of_field)).alias("by_field"),
-        ).alias("analysis"))).alias("metrics"))
+        F.struct(F.expr(by_source).alias("by_source"), F.expr(by_field).alias("by_field"))
+        .alias("analysis"))).alias("metrics"))
