@@ -35,6 +35,12 @@ class Columns:
         """Matrix columns that are not changed fields."""
         return [self.id, self.source, self.has_diff, self.missing]
 
+    @property
+    def final_fixed(self) -> list[str]:
+        """Columns of the final records that are not changed fields."""
+        return [self.id, self.source, self.record_a, self.record_b, self.document,
+                self.fields, self.has_diff, self.missing]
+
     @property
     def payloads(self) -> list[str]:
         """Columns left out of the queryable matrix view."""

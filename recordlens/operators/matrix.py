@@ -65,19 +65,29 @@ def field_names(
     return name_list(changed_fields(diffs, cols), max_fields)
 
 
-def matrix_column(field: str, cols: Columns = DEFAULT, taken: list[str] | None = None) -> str:
-    """Column name of a field; prefixed if a fixed column already has that name."""
-    reserved = {name.lower() for name in (taken or cols.matrix_fixed)}
-    return f"field_{field}" if field.lower() in reserved else field
+def matrix_columns(fields: list[str], cols: Columns = DEFAULT) -> dict[str, str]:
+    """Column name of each field.
+
+    A field named like a fixed column, or like an earlier field in other letter case, gets
+    the prefix ``field_``.
+    """
+    taken = {name.lower() for name in cols.final_fixed}
+    names = {}
+    for field in fields:
+        name = field
+        while name.lower() in taken:
+            name = f"field_{name}"
+        taken.add(name.lower())
+        names[field] = name
+    return names
 
 
 def field_columns(
-    fields: list[str], cols: Columns = DEFAULT, taken: list[str] | None = None,
-    data_type: str = "int",
+    fields: list[str], cols: Columns = DEFAULT, data_type: str = "int"
 ) -> list[Column]:
     return [
-        F.array_contains(cols.fields, name).cast(data_type)
-        .alias(matrix_column(name, cols, taken)) for name in fields
+        F.array_contains(cols.fields, field).cast(data_type).alias(name)
+        for field, name in matrix_columns(fields, cols).items()
     ]
 
 

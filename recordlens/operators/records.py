@@ -17,11 +17,9 @@ def final_records(
     A projection of the diffs: payloads are neither joined nor shuffled.
     """
     names = field_names(diffs, cols) if fields is None else fields
-    fixed = [cols.id, cols.source, cols.record_a, cols.record_b, cols.document,
-             cols.fields, cols.has_diff, cols.missing]
     return diffs.select(
-        *fixed[:-1], missing_flag(diffs, cols).alias(cols.missing),
-        *field_columns(names, cols, fixed, "long"))
+        *cols.final_fixed[:-1], missing_flag(diffs, cols).alias(cols.missing),
+        *field_columns(names, cols, "long"))
 
 
 def join_matrix(diffs: DataFrame, matrix: DataFrame, cols: Columns = DEFAULT) -> DataFrame:

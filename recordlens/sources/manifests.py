@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all files below ``root``; file contents are not read."""
-    return (
+    """All files below ``root``: their ``path``, and their ``key`` below ``root``.
+
+    File contents are not read.
+    """
+    top = root.removeprefix("file://").rstrip("/") + "/"
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .load(root).select("path")
     )
+    start = F.instr("path", F.lit(top)) + len(top)
+    return files.withColumn("key", F.substring("path", start, F.length("path")))
 
 
 def read_manifest(spark: SparkSession, value: str, column: str = "path") -> DataFrame:

@@ -108,14 +108,20 @@ def test_no_records(make_collated):
     assert json.loads(metrics_document(cells).first().metrics)["summary"]["total_records"] == 0
 
 
-def test_field_named_like_a_fixed_column(make_collated):
-    diffs = diff_records(make_collated([
-        ("1", "s", {"source": 1, "has_diff": 1, "a.b": 1}, {"source": 2, "has_diff": 2, "a.b": 2})]))
+def test_field_named_like_a_fixed_column(make_collated, tmp_path):
+    record = {"source": 1, "has_diff": 1, "a.b": 1, "Record_A": 1, "x": 1, "X": 1}
+    changed = {name: 2 for name in record}
+    diffs = diff_records(make_collated([("1", "s", record, changed)]))
+    fields = {"field_source": 1, "field_has_diff": 1, "a.b": 1, "field_Record_A": 1,
+              "X": 1, "field_x": 1}
     row = field_matrix(diffs).first().asDict()
-    assert row == {"record_id": "1", "source": "s", "has_diff": 1, "a_or_b_missing": 0,
-                   "field_source": 1, "field_has_diff": 1, "a.b": 1}
+    assert row == {
+        "record_id": "1", "source": "s", "has_diff": 1, "a_or_b_missing": 0, **fields}
     joined = join_matrix(diffs, field_matrix(diffs)).first().asDict()
-    assert (joined["source"], joined["field_source"], joined["a.b"]) == ("s", 1, 1)
+    final = final_records(diffs)
+    assert joined == final.first().asDict()
+    assert {k: final.first()[k] for k in fields} == fields
+    final.write.parquet(str(tmp_path / "final"))
 
 
 def test_larger_golden(spark):

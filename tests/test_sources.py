@@ -93,9 +93,12 @@ def test_listing(spark, tmp_path):
     folder.mkdir()
     (folder / f"{NAME}.xml").write_text("x")
     (folder / "notes.txt").write_text("x")
-    files = list_files(spark, str(tmp_path))
-    assert files.count() == 2
-    assert extracted_files(files).first().path.endswith(f"alma/{NAME}.xml")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        files = list_files(spark, root)
+        assert {r.key for r in files.collect()} == {f"alma/{NAME}.xml", "alma/notes.txt"}
+        assert extracted_files(files).first().path.endswith(f"alma/{NAME}.xml")
+        assert input_manifest(files, ["alma"], key="key").count() == 1
+        assert input_manifest(files, ["dspace"], key="key").count() == 0
 
 
 def test_partitioned_write(spark, tmp_path):
