@@ -23,8 +23,10 @@ from .operators.metrics import (
     source_field_counts,
 )
 from .operators.records import final_records, join_matrix
-from .operators.versions import VersionRun, run_versions
-from .plans.run_diff import RunResult, load_run, run_diff
+from .operators.versions import (
+    VersionRun, read_labelled_versions, run_versions, write_versions,
+)
+from .plans.run_diff import RunResult, compare_transforms, load_run, run_diff
 from .sources.datasets import (
     dataset_files, query_matrix, read_dataset, read_version, register_records, write_bucketed,
     write_dataset,

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..columns import DEFAULT, Columns
+from ..functions.filenames import version_label
+from ..sources.datasets import read_dataset, write_dataset
 from .collate import union_versions
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -52,3 +54,29 @@ def run_versions(
         else:
             kept[label] = out.filter(~failed)
     return VersionRun(kept["a"], kept["b"], union_versions(rejected))
+
+
+def version_path(output: str, label: str) -> str:
+    return f"{output}/transformed/{label}/dataset"
+
+
+def write_versions(
+    run: VersionRun, output: str, partition_by: list[str] | None = None,
+    cols: Columns = DEFAULT,
+) -> None:
+    """Store both versions, and the rejects of a lenient run, below ``output``.
+
+    Each transform then runs once, however often its version is compared.
+    """
+    for label, version in (("a", run.a), ("b", run.b)):
+        write_dataset(version.select(*cols.version), version_path(output, label),
+                      partition_by, keep_other_partitions=False)
+    write_dataset(run.rejects, f"{output}/rejects")
+
+
+def read_labelled_versions(spark: SparkSession, output: str) -> DataFrame:
+    """Rows of both stored versions, with the version named by the path of their file."""
+    named = F.substring_index(version_label(F.col("_metadata.file_path")), "/", 1)
+    both = [read_dataset(spark, version_path(output, label)).withColumn("version", named)
+            for label in "ab"]
+    return both[0].unionByName(both[1])

@@ -14,7 +14,8 @@ from ..operators.diff import diff_records
 from ..operators.matrix import field_matrix, name_list
 from ..operators.metrics import count_cells, metrics_document
 from ..operators.records import final_records
-from ..sources.datasets import read_dataset, register_records, write_dataset
+from ..operators.versions import Transform, run_versions, version_path, write_versions
+from ..sources.datasets import read_dataset, read_version, register_records, write_dataset
 
 
 class RunResult(NamedTuple):
@@ -78,3 +79,20 @@ def load_run(spark: SparkSession, output: str, cols: Columns = DEFAULT) -> RunRe
     names = name_list(cells)
     records = register_records(final_records(diffs, names, cols))
     return RunResult(records, field_matrix(diffs, names, cols), cells, metrics_document(cells))
+
+
+def compare_transforms(
+    inputs: DataFrame,
+    transform_a: Transform,
+    transform_b: Transform,
+    output: str,
+    strict: bool = True,
+    cols: Columns = DEFAULT,
+    **options,
+) -> RunResult:
+    """Run two versions of a transform over the same inputs and compare their results."""
+    spark = inputs.sparkSession
+    write_versions(
+        run_versions(inputs, transform_a, transform_b, strict, cols=cols), output, cols=cols)
+    a, b = (read_version(spark, version_path(output, label), cols) for label in "ab")
+    return run_diff(a, b, output, cols=cols, **options)

@@ -114,11 +114,6 @@ _ONLY_B = "CASE WHEN NOT in_a THEN concat_ws(',', 'cust', 'date', " \
           "CASE WHEN priority_b IS NOT NULL THEN 'priority' END, CASE WHEN rush THEN 'rush' END, " \
           "'status', 'total') WHEN both_sides AND rush THEN 'rush' ELSE '' END"
 
-_FINAL = orders(f"""
-SELECT record_id, source, has_diff, CAST(missing AS INTEGER) AS a_or_b_missing,
-       fields AS modified_fields, {_DOCUMENT} AS ab_diff, record_a, record_b, {_FIELD_LONGS}
-FROM records""")
-
 _RUNS = f"""
 WITH {_PATHS}, o AS (
   SELECT count(*) AS total FROM orders WHERE o_totalprice < 490000
@@ -129,6 +124,17 @@ UNION ALL SELECT '2024-10-17_14-01-18', 'run of 2024-10-17',
        (SELECT count(*) FROM documents), (SELECT count(*) FROM paths)
 """
 
+# all orders in both versions
+_ALL_ORDERS_SQL = (
+    ORDERS_SQL.replace("o_orderdate < TIMESTAMP '2001-06-01' AS in_a", "true AS in_a")
+    .replace("o_totalprice >= 5000 AS in_b", "true AS in_b"))
+
+_FINAL_COLUMNS = f"""
+SELECT record_id, source, has_diff, CAST(missing AS INTEGER) AS a_or_b_missing,
+       fields AS modified_fields, {_DOCUMENT} AS ab_diff, record_a, record_b, {_FIELD_LONGS}
+FROM records"""
+_FINAL = orders(_FINAL_COLUMNS)
+
 ORACLES = {
     "collate_full_outer": orders("""
         SELECT record_id, source, CAST(run_date AS VARCHAR) AS run_date, run_type, action,
@@ -273,8 +279,7 @@ ORACLES = {
         SELECT event_id, CASE WHEN event_type = 'view' THEN 'a' ELSE 'b' END AS version
         FROM events""",
     "versions_applied": f"""
-        WITH {ORDERS_SQL.replace("o_orderdate < TIMESTAMP '2001-06-01' AS in_a", "true AS in_a")
-              .replace("o_totalprice >= 5000 AS in_b", "true AS in_b")}
+        WITH {_ALL_ORDERS_SQL}
         SELECT 'a' AS version, record_id, record_a AS transformed_record FROM joined
         UNION ALL SELECT 'b', record_id, record_b FROM joined""",
     "versions_lenient": """
@@ -289,6 +294,13 @@ ORACLES = {
         SELECT record_id, source, CAST(run_date AS VARCHAR) AS run_date, run_type, action,
                record_b AS transformed_record FROM joined WHERE in_b"""),
     "run_diff": _FINAL,
+    "compare_transforms": f"WITH {_ALL_ORDERS_SQL} {_FINAL_COLUMNS}",
+    "labelled_versions": """
+        SELECT version, outcome, count(*) AS n FROM (
+          SELECT 'a' AS version, 'kept' AS outcome FROM pages
+          UNION ALL SELECT 'b', CASE WHEN regexp_extract(url, '^https://([^/]+)', 1) <> ''
+                                THEN 'kept' ELSE 'rejected' END FROM pages)
+        GROUP BY version, outcome""",
     "run_history": _RUNS,
     "run_documents": f"""
         WITH {ORDERS_SQL},

@@ -364,14 +364,18 @@ def _page_row(payload):
     return transform
 
 
-def versions_lenient(spark, sf_dir):
+def _page_run(spark, sf_dir):
     """Version B of the page transform cannot handle addresses without https."""
     secure = F.to_json(F.struct(
         F.nullif(F.regexp_extract("url", "^https://([^/]+)", 1), F.lit("")).alias("host")))
-    run = rl.run_versions(
+    return rl.run_versions(
         v.table(spark, sf_dir, "pages"),
         _page_row(F.to_json(F.struct(F.length("html").alias("size")))),
         _page_row(F.nullif(secure, F.lit("{}"))), strict=False)
+
+
+def versions_lenient(spark, sf_dir):
+    run = _page_run(spark, sf_dir)
     kept = rl.union_versions({"a": run.a, "b": run.b}).select("version", "record_id")
     rejected = run.rejects.select("version", "record_id")
     return kept.withColumn("outcome", F.lit("kept")).unionByName(
@@ -402,6 +406,25 @@ def run_diff(spark, sf_dir):
     return _record_columns(result.records)
 
 
+def compare_transforms(spark, sf_dir):
+    """Both order transforms over all orders, stored, collated, compared and counted."""
+    result = rl.compare_transforms(
+        v.table(spark, sf_dir, "orders"), v.transform_orders_a, v.transform_orders_b,
+        scratch_dir(spark, "compare"))
+    return _record_columns(result.records)
+
+
+def labelled_versions(spark, sf_dir):
+    """Stored versions of the page transform, labelled by file path, with their rejects."""
+    folder = scratch_dir(spark, "labelled")
+    rl.write_versions(_page_run(spark, sf_dir), folder)
+    stored = rl.read_labelled_versions(spark, folder).withColumn("outcome", F.lit("kept"))
+    rejects = rl.read_dataset(spark, f"{folder}/rejects").withColumn("outcome", F.lit("rejected"))
+    columns = ["version", "outcome"]
+    return stored.select(columns).unionByName(rejects.select(columns)).groupBy(columns).agg(
+        F.count("*").alias("n"))
+
+
 RUN_STAMPS = ["2024-11-07_03-56-22", "2024-10-17_14-01-18"]
 
 
@@ -449,5 +472,6 @@ QUERIES = {
         browse_by_fields, browse_filtered, browse_counts, manifest_parse,
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
+        compare_transforms, labelled_versions,
         run_history, run_documents)
 }

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordlens import (
-    DatasetCheckError, check_counts, collate, join_versions, latest_state, run_versions,
-    row_key, union_versions, validate,
+    DatasetCheckError, check_counts, collate, compare_transforms, join_versions, latest_state,
+    read_labelled_versions, row_key, run_versions, union_versions, validate,
 )
 from recordlens.columns import collated_schema
 
@@ -160,3 +160,25 @@ def test_run_versions_lenient_and_strict(spark):
     with pytest.raises(Exception, match="failed to complete successfully"):
         strict.b.count()
     assert union_versions({"a": run.a, "b": run.b}).count() == 5
+
+
+def test_compare_transforms(spark, tmp_path):
+    inputs = spark.createDataFrame([(0,), (1,), (2,)], "n int")
+
+    def numbered(expression):
+        return transform(f"to_json(named_struct('v', {expression}))")
+
+    result = compare_transforms(inputs, numbered("n"), numbered("n div 2 * 2"), str(tmp_path))
+    assert {r.record_id: r.v for r in result.records.collect()} == {"0": 0, "1": 1, "2": 0}
+    labelled = read_labelled_versions(spark, str(tmp_path))
+    assert {tuple(r) for r in labelled.groupBy("version").count().collect()} == {
+        ("a", 3), ("b", 3)}
+    with pytest.raises(Exception, match="failed to complete successfully"):
+        compare_transforms(inputs, numbered("n"), transform("try_divide(1, n)"),
+                           str(tmp_path / "strict"))
+    lenient = compare_transforms(
+        inputs, numbered("n"), transform("try_divide(1, n)"), str(tmp_path / "lenient"),
+        strict=False)
+    assert {r.record_id: r.a_or_b_missing for r in lenient.records.collect()} == {
+        "0": 1, "1": 0, "2": 0}
+    assert spark.read.parquet(str(tmp_path / "lenient" / "rejects")).count() == 1
