@@ -9,6 +9,7 @@ package is column expressions.
 from __future__ import annotations
 
 import json
+import marshal
 import sys
 from collections import defaultdict
 from itertools import accumulate, chain
@@ -78,7 +79,9 @@ def _differs(old, new, ignore_order: bool) -> bool:
         return True
     if type(old) in _SCALARS:
         return old != new and not (old != old and new != new)  # NaN equals NaN
-    if _encode(old) == _encode(new):  # the usual case, without leaving the C encoder
+    # The usual case, without building texts. Python's own equality takes 1, 1.0 and True for
+    # the same value; equal serialised bytes rule that out, unequal ones decide nothing.
+    if old == new and marshal.dumps(old, 2) == marshal.dumps(new, 2):
         return False
     return canonical_text(old, ignore_order) != canonical_text(new, ignore_order)
 
