@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..columns import DEFAULT, Columns
 from ..functions.canonical import root_sorted
 from ..functions.documents import any_of, list_text, payload_contains, root_keys
+from .matrix import field_list
 
 
 def record_filter(
@@ -95,8 +96,8 @@ def record_summaries(records: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     a, b = root_keys(F.col(cols.record_a)), root_keys(F.col(cols.record_b))
     return records.select(
         cols.id,
-        F.size(cols.fields).alias("fields_changed"),
-        F.col(cols.fields),
+        F.size(field_list(cols)).alias("fields_changed"),
+        field_list(cols).alias(cols.fields),
         F.array_except(a, b).alias("fields_only_in_a"),
         F.array_except(b, a).alias("fields_only_in_b"))
 

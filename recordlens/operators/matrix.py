@@ -10,6 +10,11 @@ from ..columns import DEFAULT, Columns
 MAX_FIELDS = 10_000
 
 
+def field_list(cols: Columns = DEFAULT) -> Column:
+    """Changed fields of a record; empty where none are stored."""
+    return F.coalesce(F.col(cols.fields), F.array().cast("array<string>"))
+
+
 def has_diff_flag(cols: Columns = DEFAULT) -> Column:
     return (F.col(cols.has_diff) == "true").cast("int")
 
@@ -86,7 +91,7 @@ def field_columns(
     fields: list[str], cols: Columns = DEFAULT, data_type: str = "int"
 ) -> list[Column]:
     return [
-        F.array_contains(cols.fields, field).cast(data_type).alias(name)
+        F.array_contains(field_list(cols), field).cast(data_type).alias(name)
         for field, name in matrix_columns(fields, cols).items()
     ]
 

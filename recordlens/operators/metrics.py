@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULT, Columns
 from ..sources.datasets import read_dataset, write_dataset
+from .matrix import field_list, has_diff_flag
 
 MAX_DOCUMENT_CELLS = 1_000_000
 
@@ -25,11 +26,11 @@ def count_cells(
     ``path`` they are written there first, so that several counts derived from them do not
     compute the diffs again.
     """
-    slots = F.concat(F.array(F.lit(None).cast("string")), F.col(cols.fields))
+    slots = F.concat(F.array(F.lit(None).cast("string")), field_list(cols))
     cells = (
         diffs.select(
             F.col(cols.source).alias("source"),
-            (F.col(cols.has_diff) == "true").cast("long").alias("changed"),
+            has_diff_flag(cols).cast("long").alias("changed"),
             F.explode(slots).alias("field"))
         .groupBy("source", "field")
         .agg(F.count("*").alias("records"), F.sum("changed").alias("with_diff"))

@@ -124,6 +124,15 @@ def test_field_named_like_a_fixed_column(make_collated, tmp_path):
     final.write.parquet(str(tmp_path / "final"))
 
 
+def test_records_without_a_stored_list_still_count(spark):
+    diffs = spark.createDataFrame(
+        [("1", "s", None, None, None, None, "true"), ("2", "s", None, None, None, ["v"], "true")],
+        "record_id string, source string, record_a binary, record_b binary, ab_diff string, "
+        "modified_fields array<string>, has_diff string")
+    assert pairs(source_counts(count_cells(diffs)), "source") == {("s",): 2}
+    assert {r.record_id: r.v for r in field_matrix(diffs).collect()} == {"1": 0, "2": 1}
+
+
 def test_larger_golden(spark):
     """1,278 changed records of two sources, three changed fields."""
     from pyspark.sql import functions as F
