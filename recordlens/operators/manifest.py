@@ -21,14 +21,16 @@ def extracted_files(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def requested_sources(
-    files: DataFrame, sources: list[str] | None = None, key: str = "path"
+    files: DataFrame, sources: list[str] | str | None = None, key: str = "path"
 ) -> DataFrame:
     """Add ``source`` and its ``ordinal`` in the request.
 
-    A file belongs to every requested source its ``key`` starts with. Without a request the
-    default sources are used.
+    The request is a list or a comma-separated text. A file belongs to every requested
+    source its ``key`` starts with. Without a request the default sources are used.
     """
-    names = sources or fixed.DEFAULT_SOURCES
+    if isinstance(sources, str):
+        sources = [name.strip() for name in sources.split(",")]
+    names = list(dict.fromkeys(sources or fixed.DEFAULT_SOURCES))
     asked = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("source"))
         for i, name in enumerate(names)])
@@ -64,7 +66,8 @@ def since_last_full(
 
 
 def input_manifest(
-    files: DataFrame, sources: list[str] | None = None, path: str = "path", key: str = "path"
+    files: DataFrame, sources: list[str] | str | None = None, path: str = "path",
+    key: str = "path",
 ) -> DataFrame:
     """Input files of all requested sources in processing order."""
     asked = requested_sources(extracted_files(files, path), sources, key)

@@ -32,6 +32,7 @@ def run_diff(
     ignore_order: bool = True,
     root_overlap_threshold: float = 0.0,
     write_records: bool = False,
+    rebalance: bool = False,
     cols: Columns = DEFAULT,
 ) -> RunResult:
     """Compare two versions and store the results below ``output``.
@@ -44,6 +45,8 @@ def run_diff(
     The final records are a projection of the stored diffs, which are already partitioned
     by source and ``has_diff``, so payloads are stored once. ``write_records`` stores a
     second copy with the matrix columns in it, for readers other than ``load_run``.
+    ``rebalance`` shuffles the diffs once more before the write, for few, even files where
+    there are many sources; otherwise each task writes one file per source and flag.
     """
     diffs = diff_records(
         collate(a, b, cols), cols, ignore_order, root_overlap_threshold,
@@ -55,7 +58,8 @@ def run_diff(
         F.count_if(F.col(cols.record_a).isNull()).alias("record_a_nulls"),
         F.count_if(F.col(cols.record_b).isNull()).alias("record_b_nulls"))
     partitions = [cols.source, cols.has_diff]
-    write_dataset(observed, f"{output}/diffs", partitions, keep_other_partitions=False)
+    write_dataset(observed, f"{output}/diffs", partitions, rebalance=rebalance,
+                  keep_other_partitions=False)
     raise_for({**seen.get, "duplicate_ids": 0}, cols)
     stored = read_dataset(a.sparkSession, f"{output}/diffs")
     raise_for({**seen.get, "duplicate_ids": duplicate_ids(stored, cols).first()[0]}, cols)

@@ -62,6 +62,7 @@ def test_since_last_full(spark):
         extract("libguides", "2023-01-01", "full"),
         extract("alma", "2024-03-01", "full", "_01"), extract("alma", "2024-03-01", "full", "_02"),
         extract("alma", "2024-03-01", "daily"), extract("alma", "2024-03-05", "daily")]
+    assert [r.path for r in input_manifest(files, "libguides, dspace,alma,alma").collect()] == found
     assert {r.source for r in input_manifest(files).collect()} == {"alma", "libguides"}
     per_source = since_last_full(extracted_files(files).withColumn(
         "source", F.substring_index("path", "/", 1)))
@@ -189,7 +190,7 @@ def test_whole_run(spark, make_version, tmp_path):
     assert folders("diffs") == {
         (f"source=s{i}", f"has_diff={d}") for i in range(3) for d in ("true", "false")}
     # a second run into the same folder leaves nothing of the first one behind
-    again = run_diff(a, a, str(tmp_path / "run"), write_records=True)
+    again = run_diff(a, a, str(tmp_path / "run"), write_records=True, rebalance=True)
     assert again.records.columns == [
         c for c in result.records.columns if c != "n"] and again.records.count() == 30
     assert folders("records") == {(f"source=s{i}", "has_diff=false") for i in range(3)}
