@@ -144,7 +144,8 @@ ORACLES = {
         FROM latest_b WHERE action <> 'delete'"""),
     "latest_collated": events("""
         SELECT record_id, source, CAST(run_date AS VARCHAR) AS run_date, run_type, action,
-               event_a, event_b FROM collated"""),
+               CAST(event_a AS VARCHAR) AS event_a, CAST(event_b AS VARCHAR) AS event_b
+        FROM collated"""),
     "row_key": orders("""
         SELECT record_id, sha256(concat_ws('|', record_id, source, CAST(run_date AS VARCHAR),
                run_type, action)) AS row_key FROM collated"""),
@@ -189,7 +190,7 @@ ORACLES = {
                'repetition_changed' AS kind, CAST(count(*) AS INTEGER) AS old_repeat,
                CAST(1 AS INTEGER) AS new_repeat
         FROM line GROUP BY record_id, line HAVING count(*) > 1
-        UNION ALL SELECT record_id, 'stats', 'root[''stats''][''lines'']', 'changed', NULL, NULL
+        UNION ALL SELECT record_id, 'stats', 'root[''stats''][''lines'']', 'changed', 0, 0
         FROM records WHERE repeats"""),
     "change_document": orders(f"SELECT record_id, {_DOCUMENT} AS ab_diff FROM records"),
     "keys_only_one_side": orders(f"""
@@ -229,6 +230,10 @@ ORACLES = {
         SELECT source, count(*) AS n, CAST(sum(status) AS BIGINT) AS status_changes,
                CAST(sum(total) AS BIGINT) AS total_changes
         FROM record_diff_matrix WHERE a_or_b_missing = 0 GROUP BY source""",
+    "records_view": orders("""
+        SELECT has_diff, source, count(*) AS n, min(record_id) AS first_id,
+               count(*) FILTER (d_status) AS status
+        FROM records GROUP BY has_diff, source"""),
     "lookup_record": orders("""
         , wanted AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
                      WHERE o_totalprice < 490000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1)

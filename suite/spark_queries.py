@@ -58,7 +58,7 @@ def latest_state(spark, sf_dir):
 
 def latest_collated(spark, sf_dir):
     def event(side):
-        return F.get_json_object(F.col(side).cast("string"), "$.event").cast("bigint")
+        return F.get_json_object(F.col(side).cast("string"), "$.event")
     return collated_events(spark, sf_dir).select(
         "record_id", "source", text("run_date"), "run_type", "action",
         event("record_a").alias("event_a"), event("record_b").alias("event_b"))
@@ -117,7 +117,9 @@ def change_table_nested(spark, sf_dir):
 
 def change_table_repetition(spark, sf_dir):
     changes = rl.change_table(rl.record_changes(collated_documents(spark, sf_dir)))
-    return changes.select("record_id", "field", "path", "kind", "old_repeat", "new_repeat")
+    return changes.select(
+        "record_id", "field", "path", "kind",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("old_repeat", "new_repeat")])
 
 
 def change_document(spark, sf_dir):
@@ -257,6 +259,13 @@ def matrix_sql(spark, sf_dir):
     return rl.query_matrix(order_records(spark, sf_dir), MATRIX_SQL, {"missing": 0})
 
 
+def records_view(spark, sf_dir):
+    rl.register_records(order_records(spark, sf_dir))
+    return spark.sql("""
+        SELECT has_diff, source, count(*) AS n, min(record_id) AS first_id, sum(status) AS status
+        FROM records GROUP BY has_diff, source""")
+
+
 def lookup_record(spark, sf_dir):
     orders = v.table(spark, sf_dir, "orders")
     dearest = orders.filter(F.col("o_totalprice") < 490000).agg(
@@ -468,7 +477,8 @@ QUERIES = {
         keys_only_one_side, record_flags, field_long, changed_fields, distinct_sources,
         field_matrix, global_counts, source_counts, source_field_counts, field_counts,
         field_source_counts, metrics_rows, metrics_document, final_records,
-        final_records_join, matrix_sql, lookup_record, record_summary, browse_page,
+        final_records_join, matrix_sql, records_view, lookup_record, record_summary,
+        browse_page,
         browse_by_fields, browse_filtered, browse_counts, manifest_parse,
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
