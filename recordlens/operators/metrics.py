@@ -126,11 +126,15 @@ def metrics_document(
     """One row, ``metrics``: the whole document as JSON text.
 
     The document is one value with two numbers per pair of source and field, so the number
-    of pairs is checked; ``metrics_rows`` has the same content without that bound. Records
-    with a null source count in the summary only.
+    of pairs is checked before they are put together; ``metrics_rows`` has the same content
+    without that bound. Cells are used twice: pass stored ones for large diffs. Records with
+    a null source count in the summary only.
     """
+    pairs = cells.agg(F.count_distinct("source") * F.count_distinct("field")).scalar()
+    fits = F.assert_true(pairs <= max_cells, F.lit(
+        f"more than {max_cells} pairs of source and field: use metrics_rows")).isNull()
     is_record = F.col("field").isNull()
-    per_source = cells.groupBy("source").agg(
+    per_source = cells.filter(fits).groupBy("source").agg(
         F.sum(F.when(is_record, F.col("records"))).alias("records"),
         F.sum(F.when(is_record, F.col("with_diff"))).alias("with_diff"),
         F.collect_list(F.when(~is_record, F.struct("field", "records"))).alias("by_field"))
@@ -139,14 +143,11 @@ def metrics_document(
     whole = per_source.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
         F.coalesce(F.sum("with_diff"), F.lit(0)).alias("total_records_with_diff"),
-        F.count("source").alias("n_sources"), entries.alias("entries"))
+        entries.alias("entries"))
     listed = whole.selectExpr(
         "*", "entries.source AS sources",
         "array_sort(array_distinct(flatten(transform(entries, e -> e.by_field.field)))) AS fields",
     )
-    checked = listed.filter(F.assert_true(
-        F.col("n_sources") * F.size("fields") <= max_cells,
-        F.lit(f"more than {max_cells} pairs of source and field: use metrics_rows")).isNull())
     by_source = """
         map_from_arrays(sources, transform(entries, e -> named_struct(
             'count', e.with_diff,
@@ -159,7 +160,7 @@ def metrics_document(
             counts -> named_struct(
                 'count', aggregate(counts, 0L, (total, n) -> total + n),
                 'source_counts', map_from_arrays(sources, counts))))"""
-    return checked.select(F.to_json(F.struct(
+    return listed.select(F.to_json(F.struct(
         F.struct(
             "total_records", "total_records_with_diff",
             percent(F.col("total_records_with_diff"), F.col("total_records"))

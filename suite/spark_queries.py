@@ -225,7 +225,8 @@ def _document_rows(document: DataFrame) -> DataFrame:
 
 
 def metrics_document(spark, sf_dir):
-    return _document_rows(rl.metrics_document(order_cells(spark, sf_dir)))
+    cells = stored_cells(spark, order_diffs(spark, sf_dir))
+    return _document_rows(rl.metrics_document(cells))
 
 
 # --- final records and queries over them ---------------------------------------------
@@ -441,7 +442,7 @@ def _saved_runs(spark, sf_dir) -> str:
     history = scratch_dir(spark, "history")
     paths = event_paths(spark, sf_dir)
     for stamp, diffs in zip(RUN_STAMPS, (order_diffs, document_diffs)):
-        metrics = rl.metrics_document(rl.count_cells(diffs(spark, sf_dir)))
+        metrics = rl.metrics_document(stored_cells(spark, diffs(spark, sf_dir)))
         rl.save_run(history, metrics, stamp, f"run of {stamp[:10]}", paths, {"run": history})
     return history
 
