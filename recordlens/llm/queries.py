@@ -7,7 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import packing, sharding, simhash
+from recordlens.llm import (
+    decontaminate,
+    html_text,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    warc,
+)
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -21,6 +29,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -31,6 +44,24 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "covered_fraction", "longest_repeat")
+
+
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the items."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {q.__name__: q for q in (
-    op1_best_fit_packing, op5_feistel_sharding, op6_simhash_components)}
+    op1_best_fit_packing, op4_warc_normaliser, op5_feistel_sharding, op6_simhash_components,
+    op7_suffix_repetition, op8_template_decontamination, op10_main_text)}
 ORACLES: dict[str, str] = {}
