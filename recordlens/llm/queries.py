@@ -14,6 +14,7 @@ from recordlens.llm import (
     quality,
     sharding,
     simhash,
+    suffix_dedup,
     warc,
 )
 
@@ -29,6 +30,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), length=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,6 +68,6 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_best_fit_packing, op4_warc_normaliser, op5_feistel_sharding, op6_simhash_components,
+    op1_best_fit_packing, op2_suffix_array_dedup, op4_warc_normaliser, op5_feistel_sharding, op6_simhash_components,
     op7_suffix_repetition, op8_template_decontamination, op10_main_text)}
 ORACLES: dict[str, str] = {}
