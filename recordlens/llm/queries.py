@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from recordlens.llm import (
     decontaminate,
     html_text,
+    language_id,
     packing,
     quality,
     sharding,
     simhash,
     suffix_dedup,
+    toxicity,
     warc,
 )
 
@@ -35,6 +37,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(
+        table(spark, sf_dir, "documents"), declared=language_id.declared_language("lang"),
+        host=F.col("source"))
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,11 +71,20 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label columns are the categories: low quality first, which then informs toxic."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), {
+        "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return toxicity.classify(docs, chain)
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_best_fit_packing, op2_suffix_array_dedup, op4_warc_normaliser, op5_feistel_sharding, op6_simhash_components,
-    op7_suffix_repetition, op8_template_decontamination, op10_main_text)}
+    op1_best_fit_packing, op2_suffix_array_dedup, op3_language_evidence, op4_warc_normaliser,
+    op5_feistel_sharding, op6_simhash_components, op7_suffix_repetition,
+    op8_template_decontamination, op9_toxicity_chain, op10_main_text)}
 ORACLES: dict[str, str] = {}

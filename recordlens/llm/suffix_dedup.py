@@ -374,9 +374,8 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(work, "doc_id long, version int, at long, hash long")
 
 
-def _kept(text: bytes, first: np.ndarray, last: np.ndarray,
-          length: int) -> list[tuple[int, int]]:
-    """Removed runs: the union of [first, last + length)."""
+def _runs(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Removed runs of bytes: the union of [first, last + length)."""
     if not len(first):
         return []
     order = np.argsort(first)
@@ -385,16 +384,16 @@ def _kept(text: bytes, first: np.ndarray, last: np.ndarray,
     return list(zip(start[new].tolist(), end[np.r_[new[1:], True]].tolist(), strict=True))
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, with_text: bool = False,
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removes each byte covered by ``length`` bytes that also start in a document with a smaller
-    id. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, and the bytes left
-    (``kept``, where asked for).
+def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    return b"".join([text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True)])
 
-    Texts are UTF-8 bytes, null ones empty. Rows that share an id never remove each other's
-    bytes. Rows without an id are kept whole and remove nothing. An empty table gives no rows;
-    other columns are ignored.
-    """
+
+def removed_windows(docs: DataFrame, length: int, id_col: str,
+                    text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc_id, version, text in bytes), and (doc_id, version, first, last):
+    ranges of window starts that a document with a smaller id has too. The version tells rows
+    apart that share an id but not the text; it is 0 where no such rows exist."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -421,13 +420,24 @@ def repeated_passages(docs: DataFrame, length: int = 50, with_text: bool = False
                                         F.max("doc_id").alias("most")).where("least < most")
     repeated = windows.join(least, "hash").where("doc_id > least") \
         .select("doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last"))
-    removed = ranges.where(F.col("kind") == SETTLED).select(*repeated.columns) \
+    return rows, ranges.where(F.col("kind") == SETTLED).select(*repeated.columns) \
         .unionByName(repeated)
 
+
+def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """Finds each byte covered by ``length`` bytes that also start in a document with a smaller
+    id. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans.
+
+    Texts are UTF-8 bytes, null ones empty. Rows that share an id never remove each other's
+    bytes. Rows without an id are kept whole and remove nothing. An empty table gives no rows;
+    other columns are ignored.
+    """
+    rows, removed = removed_windows(docs, length, id_col, text_col)
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
-              "spans array<struct<start: bigint, end: bigint>>, kept binary")
+              "spans array<struct<start: bigint, end: bigint>>")
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct(
-        [("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+        [("start", pa.int64()), ("end", pa.int64())]))]
 
     def work(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -438,19 +448,55 @@ def repeated_passages(docs: DataFrame, length: int = 50, with_text: bool = False
                         part.column(0).to_pylist(), part.column(2), _lists(part.column(3)),
                         strict=True):
                     text = unpack(packed.as_buffer())
-                    runs = _kept(text, first, last, length)
-                    ends = [0, *[b for _, b in runs]]
-                    left = b"".join([text[a:b] for a, b in zip(
-                        ends, [*[a for a, _ in runs], len(text)], strict=True)])
+                    runs = _runs(first, last, length)
+                    left = _without(text, runs)
                     out.append((doc, len(text), len(text) - len(left), len(runs),
                                 hashlib.sha256(left).hexdigest(),
-                                [{"start": a, "end": b} for a, b in runs],
-                                left if with_text else None))
+                                [{"start": a, "end": b} for a, b in runs]))
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types,
                                                         strict=True)],
-                        [c.split()[0] for c in schema.split(", ")[:5]] + ["spans", "kept"])
+                        [c.split()[0] for c in schema.split(", ")[:5]] + ["spans"])
+
+    return _with_text(rows, removed, "left").mapInArrow(work, schema)
+
 
-    found = _with_text(rows, removed, "left").mapInArrow(work, schema)
-    return found if with_text else found.drop("kept")
+def cut_repeated(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
+                 text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The documents without their repeated passages, in the same columns; ``count_col``, if
+    there, gets the new number of characters. Of a character that is cut in two nothing stays.
+    Documents of which nothing is left go; texts without repeats stay as they are, null ones too.
+    """
+    _, removed = removed_windows(docs, length, id_col, text_col)
+    own = removed.groupBy("doc_id", "version").agg(
+        F.collect_list(F.struct("first", "last")).alias("_cut_ranges"),
+        (F.min("version") != 0).alias("_cut_named")) \
+        .withColumnsRenamed({"doc_id": "_cut_id", "version": "_cut_version"})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    joined = docs.join(own.hint("shuffle_merge"), (F.col(id_col).cast("long") == F.col("_cut_id")) & (
+        ~F.col("_cut_named") | (F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+                                == F.col("_cut_version"))), "left") \
+        .select(*[docs[c] for c in docs.columns], "_cut_ranges")
+    at = docs.columns.index(text_col)
+    count_at = docs.columns.index(count_col) if count_col in docs.columns else None
+
+    def work(batches):
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            texts, keep = columns[at].to_pylist(), np.ones(batch.num_rows, bool)
+            counts = None if count_at is None else columns[count_at].to_pylist()
+            for i, (first, last) in enumerate(_lists(batch.column(batch.num_columns - 1))):
+                if len(first):
+                    left = _without(texts[i].encode(), _runs(first, last, length))
+                    texts[i] = left.decode(errors="ignore")
+                    keep[i] = bool(texts[i])
+                    if counts is not None:
+                        counts[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if counts is not None:
+                columns[count_at] = pa.array(counts, columns[count_at].type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names).filter(pa.array(keep))
+
+    docs_names = list(docs.columns)
+    return joined.mapInArrow(work, docs.schema)
