@@ -44,3 +44,6 @@ EMPTY_RECORDS_MESSAGE = (
     "in the collated dataset are empty."
 )
 DUPLICATE_IDS_MESSAGE = "The collated dataset contains duplicate '{id}' records."
+
+# --- fixed values: message of a failed version --------------------------------
+VERSION_FAILED = "Version {} failed to complete successfully on record {}"

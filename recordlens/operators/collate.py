@@ -49,8 +49,10 @@ def keep_present(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
 
 
 def row_key(columns: list[str]) -> Column:
-    """Stable row id: a digest of the given columns, with null apart from empty text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    """Stable row id: a digest of the given columns. Each value comes with its length, so that
+    no two rows of different values share a key; null differs from empty text."""
+    values = [F.col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

@@ -21,13 +21,15 @@ def extracted_files(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def requested_sources(
-    files: DataFrame, sources: list[str] | str | None = None, key: str = "path"
+    files: DataFrame, sources: list[str] | str | None = None, key: str | None = None
 ) -> DataFrame:
     """Add ``source`` and its ``ordinal`` in the request.
 
     The request is a list or a comma-separated text. A file belongs to every requested
-    source its ``key`` starts with. Without a request the default sources are used.
+    source its ``key`` starts with: by default the column ``key`` of a listing, where there is
+    one, else ``path``. Without a request the default sources are used.
     """
+    key = key or ("key" if "key" in files.columns else "path")
     if isinstance(sources, str):
         sources = [name.strip() for name in sources.split(",")]
     names = list(dict.fromkeys(sources or fixed.DEFAULT_SOURCES))
@@ -67,7 +69,7 @@ def since_last_full(
 
 def input_manifest(
     files: DataFrame, sources: list[str] | str | None = None, path: str = "path",
-    key: str = "path",
+    key: str | None = None,
 ) -> DataFrame:
     """Input files of all requested sources in processing order."""
     asked = requested_sources(extracted_files(files, path), sources, key)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULT, Columns
 
-MAX_FIELDS = 10_000
-
 
 def field_list(cols: Columns = DEFAULT) -> Column:
     """Changed fields of a record; empty where none are stored."""
@@ -50,24 +48,19 @@ def distinct_sources(diffs: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
     return diffs.select(cols.source).distinct()
 
 
-def name_list(fields: DataFrame, max_fields: int = MAX_FIELDS) -> list[str]:
+def name_list(fields: DataFrame) -> list[str]:
     """Distinct values of the column ``field`` as a sorted list, to become column names.
 
-    They come to the driver, so their number is checked first. Beyond ``max_fields`` a wide
-    matrix makes no sense; the long form and all counts work with any number of fields.
+    Only a wide matrix needs it, since its schema is made of the names; the stored list of
+    changed fields, the long form and all counts work without.
     """
     named = fields.filter(F.col("field").isNotNull()).select("field").distinct()
-    rows = named.limit(max_fields + 1).collect()
-    if len(rows) > max_fields:
-        raise ValueError(f"more than {max_fields} changed fields: use field_cells")
-    return sorted(row.field for row in rows)
+    return sorted(row.field for row in named.collect())
 
 
-def field_names(
-    diffs: DataFrame, cols: Columns = DEFAULT, max_fields: int = MAX_FIELDS
-) -> list[str]:
+def field_names(diffs: DataFrame, cols: Columns = DEFAULT) -> list[str]:
     """Fields changed in at least one record, sorted."""
-    return name_list(changed_fields(diffs, cols), max_fields)
+    return name_list(changed_fields(diffs, cols))
 
 
 def matrix_columns(fields: list[str], cols: Columns = DEFAULT) -> dict[str, str]:

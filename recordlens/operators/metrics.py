@@ -13,8 +13,6 @@ from ..columns import DEFAULT, Columns
 from ..sources.datasets import read_dataset, write_dataset
 from .matrix import field_list, has_diff_flag
 
-MAX_DOCUMENT_CELLS = 1_000_000
-
 
 def count_cells(
     diffs: DataFrame, cols: Columns = DEFAULT, path: str | None = None
@@ -75,28 +73,33 @@ def field_counts(cells: DataFrame) -> DataFrame:
     )
 
 
-def _field_list(cells: DataFrame) -> Column:
-    named = cells.filter(F.col("field").isNotNull()).select("field").distinct()
-    return named.agg(F.array_sort(F.collect_set("field"))).scalar()
-
+def source_field_counts(cells: DataFrame, zeros: bool = False) -> DataFrame:
+    """Records changed per source and field.
 
-def source_field_counts(cells: DataFrame) -> DataFrame:
-    """Records changed per source and field, with zeros for absent pairs.
-
-    The list of field names goes into each source's row as a scalar subquery, so the grid
-    needs no cross join. Cells are used twice: pass stored ones for large diffs. Read the
-    rows by source, or by field for the transposed view.
+    ``zeros`` adds the absent pairs: every source's row then lists all field names, which is
+    meant for a report, so for as many fields as a report can show. Cells are used twice then:
+    pass stored ones for large diffs. Read the rows by source, or by field for the transposed
+    view.
     """
+    named = cells.filter(F.col("field").isNotNull())
+    if not zeros:
+        return named.select("source", "field", F.col("records").alias("n"))
     counted = F.when(F.col("field").isNotNull(), F.struct("field", "records"))
     by_source = cells.groupBy("source").agg(
         F.map_from_entries(F.collect_list(counted)).alias("counted"))
-    grid = by_source.select("source", "counted", F.explode(_field_list(cells)).alias("field"))
+    fields = named.select("field").distinct().agg(F.array_sort(F.collect_set("field"))).scalar()
+    grid = by_source.select("source", "counted", F.explode(fields).alias("field"))
     return grid.select(
         "source", "field", F.coalesce(F.col("counted")[F.col("field")], F.lit(0)).alias("n"))
 
 
 def metrics_rows(cells: DataFrame) -> DataFrame:
-    """The metrics as flat rows (``path``, ``value``); works for any number of pairs."""
+    """The metrics as flat rows (``path``, ``value``), for any number of pairs that occur.
+
+    A null source is written ``(null)`` in paths; ``metrics_document`` keeps it apart from a
+    source of that name.
+    """
+    cells = cells.withColumn("source", F.coalesce("source", F.lit("(null)")))
     summary = global_counts(cells).select(F.explode(F.create_map(
         F.lit("summary.total_records"), F.col("total_records").cast("double"),
         F.lit("summary.total_records_with_diff"),
@@ -120,51 +123,27 @@ def metrics_rows(cells: DataFrame) -> DataFrame:
     return summary.unionByName(by_source).unionByName(by_field).unionByName(pairs)
 
 
-def metrics_document(
-    cells: DataFrame, max_cells: int = MAX_DOCUMENT_CELLS
-) -> DataFrame:
-    """One row, ``metrics``: the whole document as JSON text.
+def metrics_document(cells: DataFrame) -> DataFrame:
+    """The metrics as JSON, one row each (``part``, ``source``, ``field``, ``metrics``): the
+    summary, every source, every field, and every pair of them that occurs.
 
-    The document is one value with two numbers per pair of source and field, so the number
-    of pairs is checked before they are put together; ``metrics_rows`` has the same content
-    without that bound. Cells are used twice: pass stored ones for large diffs. Records with
-    a null source count in the summary only.
+    All rows are grouped aggregates of the cells, so sources, fields and pairs may be any
+    number. A null and an empty source have rows of their own, and a field's count includes the
+    records of all sources. Cells are used several times: pass stored ones for large diffs.
     """
-    pairs = cells.agg(F.count_distinct("source") * F.count_distinct("field")).scalar()
-    fits = F.assert_true(pairs <= max_cells, F.lit(
-        f"more than {max_cells} pairs of source and field: use metrics_rows")).isNull()
-    is_record = F.col("field").isNull()
-    per_source = cells.filter(fits).groupBy("source").agg(
-        F.sum(F.when(is_record, F.col("records"))).alias("records"),
-        F.sum(F.when(is_record, F.col("with_diff"))).alias("with_diff"),
-        F.collect_list(F.when(~is_record, F.struct("field", "records"))).alias("by_field"))
-    entries = F.array_sort(F.collect_list(F.when(
-        F.col("source").isNotNull(), F.struct("source", "with_diff", "by_field"))))
-    whole = per_source.agg(
-        F.coalesce(F.sum("records"), F.lit(0)).alias("total_records"),
-        F.coalesce(F.sum("with_diff"), F.lit(0)).alias("total_records_with_diff"),
-        entries.alias("entries"))
-    listed = whole.selectExpr(
-        "*", "entries.source AS sources",
-        "array_sort(array_distinct(flatten(transform(entries, e -> e.by_field.field)))) AS fields",
-    )
-    by_source = """
-        map_from_arrays(sources, transform(entries, e -> named_struct(
-            'count', e.with_diff,
-            'field_counts', map_from_arrays(fields, transform(
-                fields, f -> coalesce(map_from_entries(e.by_field)[f], 0L))))))"""
-    by_field = """
-        map_from_arrays(fields, transform(transform(
-            fields, f -> transform(
-                entries, e -> coalesce(map_from_entries(e.by_field)[f], 0L))),
-            counts -> named_struct(
-                'count', aggregate(counts, 0L, (total, n) -> total + n),
-                'source_counts', map_from_arrays(sources, counts))))"""
-    return listed.select(F.to_json(F.struct(
-        F.struct(
-            "total_records", "total_records_with_diff",
-            percent(F.col("total_records_with_diff"), F.col("total_records"))
-            .alias("records_with_diff_percent"),
-            "sources", F.col("fields").alias("fields_with_diffs")).alias("summary"),
-        F.struct(F.expr(by_source).alias("by_source"), F.expr(by_field).alias("by_field"))
-        .alias("analysis"))).alias("metrics"))
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, part: str, source: Column, field: Column, *values: Column):
+        return df.select(F.lit(part).alias("part"), source.alias("source"),
+                         field.alias("field"), F.to_json(F.struct(*values)).alias("metrics"))
+
+    count = F.col("n").alias("count")
+    names = cells.agg(F.count_if(F.col("field").isNull()).alias("sources"))
+    fields = field_counts(cells).agg(F.count("*")).scalar()
+    summary = global_counts(cells).select("*", names.scalar().alias("sources"),
+                                          fields.alias("fields_with_diffs"))
+    source, field = F.col("source"), F.col("field")
+    return rows(summary, "summary", none, none, *map(F.col, summary.columns)) \
+        .unionByName(rows(source_counts(cells), "source", source, none, count)) \
+        .unionByName(rows(field_counts(cells), "field", none, field, count)) \
+        .unionByName(rows(source_field_counts(cells), "pair", source, field, count))

@@ -12,8 +12,10 @@ from .. import fixed
 from ..columns import DEFAULT, Columns
 from ..functions.filenames import version_label
 from ..sources.datasets import read_dataset, write_dataset
+from ..session import scratch_dir
 from .collate import union_versions
 
+_FAILED = "_failed"
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -30,30 +32,35 @@ def run_versions(
     strict: bool = True,
     failed: Column | None = None,
     cols: Columns = DEFAULT,
+    staging: str | None = None,
 ) -> VersionRun:
-    """Run both transforms over ``inputs``.
+    """Run both transforms over ``inputs``, each once: its output is stored below ``staging``
+    (by default a new scratch folder) with a flag for failed rows, and all results read that.
 
     A row has failed when ``failed`` holds; by default when it has no payload and is not a
     deletion, which is what a transform built on Spark's ``try_*`` functions leaves. Strict
-    mode ends the job at the first failed row. Lenient mode goes on without them and hands
-    them over as ``rejects``, with the version that failed.
+    mode ends the job if a row failed. Lenient mode goes on without them and hands them over
+    as ``rejects``, with the version that failed.
     """
     if failed is None:
         failed = F.col(cols.payload).isNull() & (
             F.coalesce(F.col(cols.action), F.lit("")) != fixed.DELETE_ACTION)
-    failed = F.coalesce(failed, F.lit(False))
+    staging = staging or scratch_dir(inputs.sparkSession, "staged")
     kept, rejected = {}, {}
     for label, transform in (("a", transform_a), ("b", transform_b)):
         out = inputs.transform(transform)
-        rejected[label] = out.filter(failed).select(*cols.version)
+        flagged = out.withColumn(_FAILED, F.coalesce(failed, F.lit(False)))
+        # the flag is computed from the stored columns' values in the same step, so both agree
+        flagged.write.mode("overwrite").parquet(f"{staging}/{label}")
+        stored = inputs.sparkSession.read.schema(flagged.schema).parquet(f"{staging}/{label}")
         if strict:
-            stop = F.raise_error(F.concat(
-                F.lit(f"Version {label} failed to complete successfully on record "),
-                F.coalesce(F.col(cols.id).cast("string"), F.lit("null")))).cast("boolean")
-            kept[label] = out.filter(F.when(failed, stop).otherwise(F.lit(True)))
-        else:
-            kept[label] = out.filter(~failed)
-    return VersionRun(kept["a"], kept["b"], union_versions(rejected))
+            first = stored.filter(_FAILED).select(cols.id).first()
+            if first is not None:
+                raise ValueError(fixed.VERSION_FAILED.format(label, first[0]))
+        kept[label] = stored.filter(~F.col(_FAILED)).drop(_FAILED)
+        rejected[label] = stored.filter(_FAILED).select(*cols.version)
+    rejects = union_versions(rejected)
+    return VersionRun(kept["a"], kept["b"], rejects.limit(0) if strict else rejects)
 
 
 def version_path(output: str, label: str) -> str:
@@ -64,10 +71,7 @@ def write_versions(
     run: VersionRun, output: str, partition_by: list[str] | None = None,
     cols: Columns = DEFAULT,
 ) -> None:
-    """Store both versions, and the rejects of a lenient run, below ``output``.
-
-    Each transform then runs once, however often its version is compared.
-    """
+    """Store both versions, and the rejects of a lenient run, below ``output``."""
     for label, version in (("a", run.a), ("b", run.b)):
         write_dataset(version.select(*cols.version), version_path(output, label),
                       partition_by, keep_other_partitions=False)

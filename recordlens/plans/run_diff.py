@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,6 +26,10 @@ class RunResult(NamedTuple):
     metrics: DataFrame
 
 
+_PUBLISHED = "run string, published_at timestamp"
+_PART = "source_part"
+
+
 def run_diff(
     a: DataFrame,
     b: DataFrame,
@@ -32,7 +37,8 @@ def run_diff(
     ignore_order: bool = True,
     root_overlap_threshold: float = 0.0,
     write_records: bool = False,
-    rebalance: bool = False,
+    rebalance: bool = True,
+    wide: bool = False,
     cols: Columns = DEFAULT,
 ) -> RunResult:
     """Compare two versions and store the results below ``output``.
@@ -40,14 +46,19 @@ def run_diff(
     The diffs are written once, to shared storage, before anything else uses them: parsing
     happens once, and a lost executor costs no more than the tasks it ran. The counts the
     checks need are observed during that write. All counts read narrow columns of the
-    stored diffs, and the field names come from the counts.
+    stored diffs. Every run has a folder of its own, and is published by a row that names it
+    once all checks have passed: a run that fails leaves the one before as it is.
 
-    The final records are a projection of the stored diffs, which are already partitioned
-    by source and ``has_diff``, so payloads are stored once. ``write_records`` stores a
-    second copy with the matrix columns in it, for readers other than ``load_run``.
-    ``rebalance`` shuffles the diffs once more before the write, for few, even files where
-    there are many sources; otherwise each task writes one file per source and flag.
+    The diffs are partitioned by source and ``has_diff``. The folder names escape the source
+    (hive keys can't tell null from empty), the column itself is stored as it is. ``wide`` adds
+    a column per changed field to records and matrix, as ``load_run`` does. ``write_records``
+    stores a second copy with these columns in it, for readers other than ``load_run``.
+    ``rebalance`` shuffles the diffs once more before the write, for few, even files; otherwise
+    each task writes one file per source and flag.
     """
+    spark = a.sparkSession
+    run = uuid.uuid4().hex
+    place = f"{output}/runs/{run}"
     diffs = diff_records(
         collate(a, b, cols), cols, ignore_order, root_overlap_threshold,
         keep_missing_flag=True)
@@ -57,32 +68,63 @@ def run_diff(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(F.col(cols.record_a).isNull()).alias("record_a_nulls"),
         F.count_if(F.col(cols.record_b).isNull()).alias("record_b_nulls"))
-    partitions = [cols.source, cols.has_diff]
-    write_dataset(observed, f"{output}/diffs", partitions, rebalance=rebalance,
+    partitions = [_PART, cols.has_diff]
+    write_dataset(_parted(observed, cols), f"{place}/diffs", partitions, rebalance=rebalance,
                   keep_other_partitions=False)
+    stored = spark.read.schema(_parted(diffs, cols).schema).parquet(f"{place}/diffs")
+    if stored.isEmpty():  # such a plan has no observation, and its folder no files
+        raise_for({"total_records": 0, "record_a_nulls": 0, "record_b_nulls": 0,
+                   "duplicate_ids": 0}, cols)
     raise_for({**seen.get, "duplicate_ids": 0}, cols)
-    stored = read_dataset(a.sparkSession, f"{output}/diffs")
     raise_for({**seen.get, "duplicate_ids": duplicate_ids(stored, cols).first()[0]}, cols)
-    count_cells(stored, cols, f"{output}/counts")
-
-    result = load_run(a.sparkSession, output, cols)
+    stored = _stored(spark, place)
+    count_cells(stored, cols, f"{place}/counts")
     if write_records:
-        write_dataset(result.records, f"{output}/records", partitions,
+        records = _load(spark, place, True, cols).records
+        write_dataset(_parted(records, cols), f"{place}/records", partitions,
                       keep_other_partitions=False)
+    spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at")) \
+        .write.mode("append").parquet(f"{output}/published")
+    result = load_run(spark, output, wide or write_records, cols)
+    if write_records:
         columns = result.records.columns
-        records = read_dataset(a.sparkSession, f"{output}/records").select(
+        records = read_dataset(spark, f"{place}/records").select(
             *[F.col(f"`{name}`") for name in columns])
-        result = result._replace(records=register_records(records))
+        result = result._replace(records=records)
+    return result
+
+
+def _parted(diffs: DataFrame, cols: Columns) -> DataFrame:
+    return diffs.withColumn(_PART, F.coalesce(F.concat(F.lit("="), cols.source), F.lit("null")))
+
+
+def load_run(
+    spark: SparkSession, output: str, wide: bool = False, cols: Columns = DEFAULT,
+    view: str | None = None,
+) -> RunResult:
+    """Results of the run published last.
+
+    Records hold the list of changed fields. With ``wide`` they and the matrix also have a
+    column per changed field, whose names come to the driver. ``view`` registers the records.
+    """
+    published = spark.read.schema(_PUBLISHED).parquet(f"{output}/published")
+    run = published.agg(F.max_by("run", F.struct("published_at", "run"))).first()[0]
+    result = _load(spark, f"{output}/runs/{run}", wide, cols)
+    if view:
+        register_records(result.records, view)
     return result
 
 
-def load_run(spark: SparkSession, output: str, cols: Columns = DEFAULT) -> RunResult:
-    """Results of a stored run; registers its final records as the view ``records``."""
-    diffs = read_dataset(spark, f"{output}/diffs")
-    cells = read_dataset(spark, f"{output}/counts")
-    names = name_list(cells)
-    records = register_records(final_records(diffs, names, cols))
-    return RunResult(records, field_matrix(diffs, names, cols), cells, metrics_document(cells))
+def _stored(spark: SparkSession, place: str) -> DataFrame:
+    return read_dataset(spark, f"{place}/diffs").drop(_PART)
+
+
+def _load(spark: SparkSession, place: str, wide: bool, cols: Columns) -> RunResult:
+    diffs = _stored(spark, place)
+    cells = read_dataset(spark, f"{place}/counts")
+    names = name_list(cells) if wide else []
+    return RunResult(final_records(diffs, names, cols), field_matrix(diffs, names, cols), cells,
+                     metrics_document(cells))
 
 
 def compare_transforms(
@@ -96,7 +138,7 @@ def compare_transforms(
 ) -> RunResult:
     """Run two versions of a transform over the same inputs and compare their results."""
     spark = inputs.sparkSession
-    write_versions(
-        run_versions(inputs, transform_a, transform_b, strict, cols=cols), output, cols=cols)
+    versions = run_versions(inputs, transform_a, transform_b, strict, cols=cols)
+    write_versions(versions, output, cols=cols)
     a, b = (read_version(spark, version_path(output, label), cols) for label in "ab")
     return run_diff(a, b, output, cols=cols, **options)

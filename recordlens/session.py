@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,10 +28,9 @@ def shuffle_partitions(input_bytes: int) -> int:
     """Number of shuffle partitions for an input of that size.
 
     Half a gigabyte each, so that a task's sort stays in memory; at least Spark's default of
-    200 and at most 100,000, where the bookkeeping per shuffle block starts to dominate and
-    a larger run is better split by source or read from bucketed tables.
+    200. It grows with the input without a bound.
     """
-    return max(200, min(100_000, -(-input_bytes // PARTITION_BYTES)))
+    return max(200, -(-input_bytes // PARTITION_BYTES))
 
 
 def with_large_run_conf(builder, input_bytes: int | None = None):
@@ -48,13 +46,11 @@ def with_large_run_conf(builder, input_bytes: int | None = None):
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder is used instead.
+    Where that is unset, the folder lies below the warehouse, which executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="recordlens-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

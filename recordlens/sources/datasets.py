@@ -2,32 +2,24 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..columns import DEFAULT, Columns, version_schema
+from ..operators.collate import latest_state
 
-MAX_ROWS_PER_FILE = 100_000
-_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
-
-
-@contextmanager
-def _text_partition_values(spark: SparkSession):
-    """Keep hive partition values as text, so a source named ``0123`` stays so."""
-    before = spark.conf.get(_INFERENCE)
-    spark.conf.set(_INFERENCE, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(_INFERENCE, before)
+MAX_ROWS_PER_FILE = 0  # no limit: rebalancing sizes files by bytes
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Hive-partitioned parquet dataset."""
-    with _text_partition_values(spark):
-        return spark.read.parquet(path)
+    """Hive-partitioned parquet dataset. Partition values stay text, so a source named ``0123``
+    stays so; no session setting is touched."""
+    stored = spark.read.parquet(path).schema
+    in_files = spark.read.option("recursiveFileLookup", "true").parquet(path).schema.names
+    schema = StructType([f if f.name in in_files else StructField(f.name, StringType())
+                         for f in stored])
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_version(spark: SparkSession, path: str, cols: Columns = DEFAULT) -> DataFrame:
@@ -43,15 +35,15 @@ def write_dataset(
     partition_by: list[str] | None = None,
     max_rows_per_file: int = MAX_ROWS_PER_FILE,
     rows_per_group: int | None = None,
-    rebalance: bool = False,
+    rebalance: bool = True,
     keep_other_partitions: bool = True,
 ) -> None:
     """Write parquet, replacing the partitions that get rows (or the whole folder).
 
     Without ``keep_other_partitions`` the whole folder is replaced in any case.
-    ``rebalance`` adds a shuffle that gives each hive partition files of even size; AQE
-    splits a hot partition over many tasks. Without it every task writes its own file per
-    hive partition and nothing is shuffled.
+    With hive partitions, ``rebalance`` adds a shuffle that gives each of them files of even
+    size in bytes; AQE splits a hot partition over many tasks. Without it every task writes its
+    own file per hive partition and nothing is shuffled.
     """
     keys = partition_by or []
     if rebalance and keys:
@@ -68,13 +60,15 @@ def write_dataset(
 def write_bucketed(
     df: DataFrame, table: str, buckets: int, cols: Columns = DEFAULT, path: str | None = None
 ) -> DataFrame:
-    """Save a version as a table bucketed by record id, and return it.
+    """Save the latest state of a version as a table bucketed by record id, and return it.
 
     Two versions with the same number of buckets are collated without any shuffle: both the
     choice of the latest row and the join use the buckets. Worth it when a version is
     compared more than once, such as the released version A against every candidate B.
     """
-    # one task per bucket: bucket files are written by the tasks that hold the bucket's rows
+    # one row per id first, in the map tasks, so that no bucket gets a hot id whole; then one
+    # task per bucket writes its file
+    df = latest_state(df, cols, drop_deleted=False)
     writer = (
         df.repartition(buckets, cols.id).write.mode("overwrite")
         .bucketBy(buckets, cols.id).sortBy(cols.id)

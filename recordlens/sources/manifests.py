@@ -5,19 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
+
+_LISTED = "path string, key string, is_folder boolean"
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root``: their ``path``, and their ``key`` below ``root``.
 
-    File contents are not read.
+    Every name counts, empty files and names that begin with ``_`` or ``.`` too. One job lists
+    the folders of a level, spread over the executors, and finds those of the next one. The
+    root is a folder's address, not a pattern. Files are not opened.
     """
-    top = root.removeprefix("file://").rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .load(root).select("path")
-    )
-    start = F.instr("path", F.lit(top)) + len(top)
-    return files.withColumn("key", F.substring("path", start, F.length("path")))
+    if any(sign in root for sign in "*?[]{}"):
+        raise ValueError(f"a folder is needed, not a pattern: {root}")
+    top = root.rstrip("/")
+    top = top if "://" in top else top.removeprefix("file:")
+
+    def children(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(top)
+        base = base.rstrip("/")
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{key}".rstrip("/")))
+                keys = [f.path[len(base) + 1:] for f in found]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f"{top}/{k}" for k in keys], pa.string()),
+                    pa.array(keys, pa.string()),
+                    pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_())],
+                    ["path", "key", "is_folder"])
+
+    scratch = scratch_dir(spark, "listing")
+    folders, level, levels = spark.range(1).select(F.lit("").alias("key")), 0, []
+    while True:
+        place = f"{scratch}/level{level}"
+        folders.mapInArrow(children, _LISTED).write.parquet(place)
+        levels.append(place)
+        found = spark.read.schema(_LISTED).parquet(place)
+        folders = found.where("is_folder").select("key")
+        n = folders.count()
+        if not n:
+            return spark.read.schema(_LISTED).parquet(*levels).where("NOT is_folder") \
+                .select("path", "key")
+        folders = folders.repartition(min(n, spark.sparkContext.defaultParallelism * 4), "key")
+        level += 1
 
 
 def read_manifest(spark: SparkSession, value: str, column: str = "path") -> DataFrame:

@@ -22,15 +22,15 @@ def save_run(
     inputs: DataFrame | None = None,
     datasets: dict[str, str] | None = None,
 ) -> None:
-    """Append one run: its metrics document and locations, and its input files."""
+    """Append one run: the rows of its metrics, its locations, and its input files."""
     places = datasets or {}
-    row = metrics_document.select(
+    rows = metrics_document.select(
         F.lit(run_timestamp).alias("run_timestamp"),
         F.lit(message).cast("string").alias("run_message"),
         F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
         .cast("map<string,string>").alias("datasets"),
-        F.col("metrics"))
-    row.write.mode("append").parquet(f"{history}/runs")
+        "part", "source", "field", "metrics")
+    rows.write.mode("append").parquet(f"{history}/runs")
     if inputs is not None:
         (
             inputs.select(F.lit(run_timestamp).alias("run_timestamp"), "path")
@@ -39,7 +39,7 @@ def save_run(
 
 
 def read_history(spark: SparkSession, history: str) -> DataFrame:
-    """All saved runs, oldest first."""
+    """All saved runs, oldest first: a row per metrics row, the summary's with null names."""
     runs = spark.read.parquet(f"{history}/runs")
     return runs.orderBy(run_time(F.col("run_timestamp")).asc_nulls_last())
 

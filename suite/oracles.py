@@ -72,9 +72,9 @@ metric AS (
   UNION ALL SELECT 'analysis.by_field.' || field || '.count', CAST(count(*) AS DOUBLE)
             FROM cells GROUP BY field
   UNION ALL SELECT 'analysis.by_source.' || source || '.field_counts.' || field,
-                   CAST(n AS DOUBLE) FROM grid
+                   CAST(n AS DOUBLE) FROM grid WHERE n > 0
   UNION ALL SELECT 'analysis.by_field.' || field || '.source_counts.' || source,
-                   CAST(n AS DOUBLE) FROM grid)
+                   CAST(n AS DOUBLE) FROM grid WHERE n > 0)
 """
 
 _CHANGES = """
@@ -116,8 +116,7 @@ _ONLY_B = "CASE WHEN NOT in_a THEN concat_ws(',', 'cust', 'date', " \
 
 _RUNS = f"""
 WITH {_PATHS}, o AS (
-  SELECT count(*) AS total FROM orders WHERE o_totalprice < 490000
-  AND (o_orderdate < TIMESTAMP '2001-06-01' OR o_totalprice >= 5000))
+  SELECT count(*) AS total FROM orders WHERE o_totalprice < 490000)
 SELECT '2024-11-07_03-56-22' AS run_timestamp, 'run of 2024-11-07' AS run_message,
        (SELECT total FROM o) AS total_records, (SELECT count(*) FROM paths) AS input_files
 UNION ALL SELECT '2024-10-17_14-01-18', 'run of 2024-10-17',
@@ -126,7 +125,8 @@ UNION ALL SELECT '2024-10-17_14-01-18', 'run of 2024-10-17',
 
 # all orders in both versions
 _ALL_ORDERS_SQL = (
-    ORDERS_SQL.replace("o_orderdate < TIMESTAMP '2001-06-01' AS in_a", "true AS in_a")
+    ORDERS_SQL.replace("o_orderdate < TIMESTAMP '2001-06-01' OR o_totalprice < 5000 AS in_a",
+                       "true AS in_a")
     .replace("o_totalprice >= 5000 AS in_b", "true AS in_b"))
 
 _FINAL_COLUMNS = f"""
@@ -147,8 +147,9 @@ ORACLES = {
                CAST(event_a AS VARCHAR) AS event_a, CAST(event_b AS VARCHAR) AS event_b
         FROM collated"""),
     "row_key": orders("""
-        SELECT record_id, sha256(concat_ws('|', record_id, source, CAST(run_date AS VARCHAR),
-               run_type, action)) AS row_key FROM collated"""),
+        SELECT record_id, sha256(concat_ws('|', length(record_id) || ':' || record_id,
+               length(source) || ':' || source, '10:' || CAST(run_date AS VARCHAR),
+               length(run_type) || ':' || run_type, length(action) || ':' || action)) AS row_key FROM collated"""),
     "checks": f"""
         WITH {ORDERS_SQL}
         SELECT 'orders' AS dataset, count(*) AS total_records,
@@ -217,11 +218,23 @@ ORACLES = {
     "field_source_counts": f"WITH {DOCUMENTS_SQL}, {_GRID} SELECT field, source, n FROM grid",
     "metrics_rows": f"WITH {ORDERS_SQL}, {_GRID}, {_METRIC_ROWS} SELECT path, value FROM metric",
     "metrics_document": f"""
-        WITH {ORDERS_SQL}, {_GRID}, {_METRIC_ROWS} SELECT path, value FROM metric
-        UNION ALL SELECT 'sources=' || string_agg(source, ',' ORDER BY source), 1.0
-        FROM (SELECT DISTINCT source FROM records)
-        UNION ALL SELECT 'fields=' || string_agg(field, ',' ORDER BY field), 1.0
-        FROM (SELECT DISTINCT field FROM cells)""",
+        WITH {ORDERS_SQL}, named AS (
+          SELECT record_id, has_diff, CASE WHEN source = '2-HIGH' THEN ''
+                 WHEN source <> '5-LOW' THEN source END AS source FROM records),
+        changes AS (SELECT n.source, c.field FROM cells c JOIN named n USING (record_id))
+        SELECT 'summary' AS part, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS field,
+               '{{"total_records":' || count(*) || ',"total_records_with_diff":'
+               || count(*) FILTER (has_diff = 'true') || ',"records_with_diff_percent":'
+               || round(count(*) FILTER (has_diff = 'true') / count(*) * 100, 2) || ',"sources":'
+               || (SELECT count(*) FROM (SELECT DISTINCT source FROM named))
+               || ',"fields_with_diffs":' || (SELECT count(DISTINCT field) FROM changes)
+               || '}}' AS metrics FROM named
+        UNION ALL SELECT 'source', source, NULL,
+               '{{"count":' || count(*) FILTER (has_diff = 'true') || '}}' FROM named GROUP BY source
+        UNION ALL SELECT 'field', NULL, field, '{{"count":' || count(*) || '}}'
+               FROM changes GROUP BY field
+        UNION ALL SELECT 'pair', source, field, '{{"count":' || count(*) || '}}'
+               FROM changes GROUP BY source, field""",
     "final_records": _FINAL,
     "final_records_join": _FINAL,
     "matrix_sql": f"""
@@ -318,4 +331,7 @@ ORACLES = {
                       count(DISTINCT source) AS sources FROM documents)
         SELECT '2024-10-17 14:01:18' AS run_time, with_diff, sources FROM dd
         UNION ALL SELECT '2024-11-07 03:56:22', with_diff, sources FROM od""",
+    "listed_manifest": _CHOSEN.replace("FROM paths p JOIN", "FROM (SELECT DISTINCT path FROM paths) p JOIN") + """
+        SELECT ordinal, source, daily, path AS key, CAST(extract_date AS VARCHAR) AS extract_date
+        FROM chosen""",
 }

@@ -150,7 +150,14 @@ def distinct_sources(spark, sf_dir):
 
 
 def field_matrix(spark, sf_dir):
-    return rl.field_matrix(order_diffs(spark, sf_dir), v.ORDER_FIELDS)
+    return rl.field_matrix(stored_diffs(spark, order_diffs(spark, sf_dir)))
+
+
+def stored_diffs(spark, diffs) -> DataFrame:
+    """Diffs, or a matrix, written to shared storage, so that each is computed once."""
+    folder = scratch_dir(spark, "stored")
+    diffs.write.parquet(folder)
+    return spark.read.schema(diffs.schema).parquet(folder)
 
 
 def order_cells(spark, sf_dir):
@@ -171,7 +178,7 @@ def stored_cells(spark, diffs) -> DataFrame:
 
 
 def source_field_counts(spark, sf_dir):
-    return rl.source_field_counts(stored_cells(spark, order_diffs(spark, sf_dir)))
+    return rl.source_field_counts(stored_cells(spark, order_diffs(spark, sf_dir)), zeros=True)
 
 
 def field_counts(spark, sf_dir):
@@ -180,59 +187,26 @@ def field_counts(spark, sf_dir):
 
 def field_source_counts(spark, sf_dir):
     cells = stored_cells(spark, document_diffs(spark, sf_dir))
-    return rl.source_field_counts(cells).select("field", "source", "n")
+    return rl.source_field_counts(cells, zeros=True).select("field", "source", "n")
 
 
 def metrics_rows(spark, sf_dir):
     return rl.metrics_rows(stored_cells(spark, order_diffs(spark, sf_dir)))
 
 
-METRICS_TYPE = """
-    summary struct<total_records: bigint, total_records_with_diff: bigint,
-                   records_with_diff_percent: double, sources: array<string>,
-                   fields_with_diffs: array<string>>,
-    analysis struct<by_source: map<string, struct<count: bigint, field_counts: map<string, bigint>>>,
-                    by_field: map<string, struct<count: bigint, source_counts: map<string, bigint>>>>
-"""
-
-
-def _document_rows(document: DataFrame) -> DataFrame:
-    """Document parsed back to the rows of its leaves."""
-    parsed = document.select(F.from_json("metrics", METRICS_TYPE).alias("m")).select("m.*")
-    summary = parsed.select(F.explode(F.create_map(
-        F.lit("summary.total_records"), F.col("summary.total_records").cast("double"),
-        F.lit("summary.total_records_with_diff"),
-        F.col("summary.total_records_with_diff").cast("double"),
-        F.lit("summary.records_with_diff_percent"), F.col("summary.records_with_diff_percent"),
-        F.concat(F.lit("sources="), F.array_join("summary.sources", ",")), F.lit(1.0),
-        F.concat(F.lit("fields="), F.array_join("summary.fields_with_diffs", ",")), F.lit(1.0),
-    )).alias("path", "value"))
-    rows = [summary]
-    for group, inner in (("by_source", "field_counts"), ("by_field", "source_counts")):
-        entries = parsed.select(F.explode(f"analysis.{group}").alias("name", "entry"))
-        prefix = F.concat_ws(".", F.lit(f"analysis.{group}"), "name")
-        rows.append(entries.select(
-            F.concat_ws(".", prefix, F.lit("count")).alias("path"),
-            F.col("entry.count").cast("double").alias("value")))
-        rows.append(entries.select(
-            prefix.alias("prefix"), F.explode(f"entry.{inner}").alias("other", "n")).select(
-            F.concat_ws(".", "prefix", F.lit(inner), "other").alias("path"),
-            F.col("n").cast("double").alias("value")))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def metrics_document(spark, sf_dir):
-    cells = stored_cells(spark, order_diffs(spark, sf_dir))
-    return _document_rows(rl.metrics_document(cells))
+    """Over orders of which some have no source and some an empty one."""
+    source = F.when(F.col("source") == "2-HIGH", "").when(
+        F.col("source") != "5-LOW", F.col("source"))
+    diffs = order_diffs(spark, sf_dir).withColumn("source", source)
+    return rl.metrics_document(stored_cells(spark, diffs))
 
 
 # --- final records and queries over them ---------------------------------------------
 
 def order_records(spark, sf_dir) -> DataFrame:
-    return rl.final_records(order_diffs(spark, sf_dir), v.ORDER_FIELDS)
+    """Final records with the fields that changed, found in the stored diffs."""
+    return rl.final_records(stored_diffs(spark, order_diffs(spark, sf_dir)))
 
 
 def _record_columns(records):
@@ -246,8 +220,9 @@ def final_records(spark, sf_dir):
 
 
 def final_records_join(spark, sf_dir):
-    diffs = order_diffs(spark, sf_dir)
-    return _record_columns(rl.join_matrix(diffs, rl.field_matrix(diffs, v.ORDER_FIELDS)))
+    diffs = stored_diffs(spark, order_diffs(spark, sf_dir))
+    matrix = stored_diffs(spark, rl.field_matrix(diffs))
+    return _record_columns(rl.join_matrix(diffs, matrix))
 
 
 MATRIX_SQL = """
@@ -271,7 +246,7 @@ def lookup_record(spark, sf_dir):
     orders = v.table(spark, sf_dir, "orders")
     dearest = orders.filter(F.col("o_totalprice") < 490000).agg(
         F.max_by(F.col("o_orderkey").cast("string"), F.struct("o_totalprice", "o_orderkey")))
-    return rl.record_payloads(order_diffs(spark, sf_dir), dearest.scalar())
+    return rl.record_payloads(stored_diffs(spark, order_diffs(spark, sf_dir)), dearest.scalar())
 
 
 def record_summary(spark, sf_dir):
@@ -282,24 +257,24 @@ def record_summary(spark, sf_dir):
 
 def browse_page(spark, sf_dir):
     return rl.browse(
-        document_diffs(spark, sf_dir), search="the",
+        stored_diffs(spark, document_diffs(spark, sf_dir)), search="the",
         sources=["src0", "src1", "src2", "src3", "src5", "src6", "src7", "src8"],
         fields=["stats", "lang"], order_column=1, direction="desc", start=5, length=20)
 
 
 def browse_by_fields(spark, sf_dir):
-    return rl.browse(order_diffs(spark, sf_dir), order_column=3, direction="asc",
+    return rl.browse(stored_diffs(spark, order_diffs(spark, sf_dir)), order_column=3, direction="asc",
                      start=100, length=25)
 
 
 def browse_filtered(spark, sf_dir):
     from recordlens.operators.browse import filtered_records
     condition = rl.record_filter("PENDING", ["1-URGENT", "5-LOW"], ["status", "total"])
-    return filtered_records(order_diffs(spark, sf_dir), condition)
+    return filtered_records(stored_diffs(spark, order_diffs(spark, sf_dir)), condition)
 
 
 def browse_counts(spark, sf_dir):
-    diffs = document_diffs(spark, sf_dir)
+    diffs = stored_diffs(spark, document_diffs(spark, sf_dir))
     searches = [
         rl.browse_counts(diffs, search="100%_x").withColumn("filter", F.lit("wildcards")),
         rl.browse_counts(diffs, search="é", fields=["lines"]).withColumn("filter", F.lit("accent")),
@@ -412,7 +387,7 @@ def version_scan(spark, sf_dir):
 
 
 def run_diff(spark, sf_dir):
-    result = rl.run_diff(*v.order_versions(spark, sf_dir), scratch_dir(spark, "run"))
+    result = rl.run_diff(*v.order_versions(spark, sf_dir), scratch_dir(spark, "run"), wide=True)
     return _record_columns(result.records)
 
 
@@ -420,7 +395,7 @@ def compare_transforms(spark, sf_dir):
     """Both order transforms over all orders, stored, collated, compared and counted."""
     result = rl.compare_transforms(
         v.table(spark, sf_dir, "orders"), v.transform_orders_a, v.transform_orders_b,
-        scratch_dir(spark, "compare"))
+        scratch_dir(spark, "compare"), wide=True)
     return _record_columns(result.records)
 
 
@@ -451,23 +426,46 @@ def run_history(spark, sf_dir):
     history = _saved_runs(spark, sf_dir)
     inputs = rl.read_run_inputs(spark, history).groupBy("run_timestamp").agg(
         F.count("*").alias("input_files"))
-    total = F.get_json_object("metrics", "$.summary.total_records").cast("bigint")
-    return rl.read_history(spark, history).join(inputs, "run_timestamp").select(
+    total = F.get_json_object("metrics", "$.total_records").cast("bigint")
+    runs = rl.read_history(spark, history).where("part = 'summary'")
+    return runs.join(inputs, "run_timestamp").select(
         "run_timestamp", "run_message", total.alias("total_records"), "input_files")
 
 
 def run_documents(spark, sf_dir):
     """Run documents written as JSON files, read back oldest first."""
     history = _saved_runs(spark, sf_dir)
-    runs = rl.read_history(spark, history)
+    runs = rl.read_history(spark, history).where("part = 'summary'")
     folder = scratch_dir(spark, "documents")
-    runs.select("run_timestamp", F.from_json("metrics", METRICS_TYPE).alias("metrics")).write.option(
+    summary = "total_records_with_diff bigint, sources bigint"
+    runs.select("run_timestamp", F.from_json("metrics", summary).alias("metrics")).write.option(
         "maxRecordsPerFile", 1).json(folder)
     found = rl.read_run_documents(spark, f"{folder}/*.json")
     return found.select(
         run_time(F.col("run_timestamp")).cast("string").alias("run_time"),
-        F.col("metrics.summary.total_records_with_diff").alias("with_diff"),
-        F.size("metrics.summary.sources").cast("bigint").alias("sources"))
+        F.col("metrics.total_records_with_diff").alias("with_diff"),
+        F.col("metrics.sources").alias("sources"))
+
+
+def listed_manifest(spark, sf_dir):
+    """Empty files named like the extracts, listed and put in order."""
+    folder = scratch_dir(spark, "extracts")
+    paths = event_paths(spark, sf_dir).distinct()
+
+    def touch(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(f"{folder}/{path}")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                system.open_output_stream(place).close()
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    paths.mapInArrow(touch, "n long").agg(F.sum("n")).collect()
+    chosen = rl.input_manifest(rl.list_files(spark, folder), MANIFEST_SOURCES)
+    return chosen.select("ordinal", "source", "daily", "key", text("extract_date"))
 
 
 QUERIES = {
@@ -484,5 +482,5 @@ QUERIES = {
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
         compare_transforms, labelled_versions,
-        run_history, run_documents)
+        run_history, run_documents, listed_manifest)
 }

@@ -71,7 +71,9 @@ def transform_orders_b(orders: DataFrame) -> DataFrame:
 
 
 def _a_orders(orders):
-    return orders.filter(F.col("o_orderdate") < F.lit("2001-06-01").cast("timestamp"))
+    """Early orders, and the cheap ones, which B leaves out: every order has a version."""
+    early = F.col("o_orderdate") < F.lit("2001-06-01").cast("timestamp")
+    return orders.filter(early | (F.col("o_totalprice") < 5000))
 
 
 def _b_orders(orders):
@@ -145,7 +147,8 @@ o AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_orderpriority AS source,
          CAST(o_orderdate AS DATE) AS run_date, 'full' AS run_type,
          CASE WHEN o_totalprice >= 490000 THEN 'delete' ELSE 'index' END AS action,
-         o_orderdate < TIMESTAMP '2001-06-01' AS in_a, o_totalprice >= 5000 AS in_b,
+         o_orderdate < TIMESTAMP '2001-06-01' OR o_totalprice < 5000 AS in_a,
+         o_totalprice >= 5000 AS in_b,
          o_custkey AS cust, o_totalprice < 20000 AS cust_text,
          strftime(o_orderdate, '%Y-%m-%d') AS date_a,
          CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN strftime(o_orderdate, '%Y/%m/%d')

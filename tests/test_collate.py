@@ -155,20 +155,43 @@ def test_run_versions_lenient_and_strict(spark):
     assert (run.a.count(), run.b.count()) == (3, 2)
     assert [(r.version, r.record_id) for r in run.rejects.collect()] == [("b", "0")]
     assert run_versions(inputs, good, good).b.count() == 3
-    strict = run_versions(inputs, good, bad)
-    assert strict.a.count() == 3
-    with pytest.raises(Exception, match="failed to complete successfully"):
-        strict.b.count()
+    with pytest.raises(ValueError, match="Version b failed to complete successfully on record 0"):
+        run_versions(inputs, good, bad)
     assert union_versions({"a": run.a, "b": run.b}).count() == 5
 
 
+def test_each_transform_runs_once(spark, tmp_path):
+    import pyspark.sql.functions as F
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(n):
+        calls.add(1)
+        return str(n) if n else None
+
+    def apply(inputs):
+        return transform("n")(inputs).withColumn(
+            "transformed_record", counted("record_id").cast("binary"))
+
+    inputs = spark.createDataFrame([(i,) for i in range(10)], "n int")
+    run = run_versions(inputs, apply, apply, strict=False)
+    assert (run.a.count(), run.b.count(), run.rejects.count()) == (10, 10, 0)
+    assert calls.value == 20
+
+
+def test_row_keys_of_different_values_differ(spark):
+    rows = spark.createDataFrame([("x|y", "z"), ("x", "y|z"), ("x", None)], "a string, b string")
+    assert rows.select(row_key(["a", "b"]).alias("k")).distinct().count() == 3
+
+
 def test_compare_transforms(spark, tmp_path):
     inputs = spark.createDataFrame([(0,), (1,), (2,)], "n int")
 
     def numbered(expression):
         return transform(f"to_json(named_struct('v', {expression}))")
 
-    result = compare_transforms(inputs, numbered("n"), numbered("n div 2 * 2"), str(tmp_path))
+    result = compare_transforms(inputs, numbered("n"), numbered("n div 2 * 2"), str(tmp_path),
+                                wide=True)
     assert {r.record_id: r.v for r in result.records.collect()} == {"0": 0, "1": 1, "2": 0}
     labelled = read_labelled_versions(spark, str(tmp_path))
     assert {tuple(r) for r in labelled.groupBy("version").count().collect()} == {
