@@ -75,8 +75,7 @@ def item_windows(benchmark: DataFrame, width: int, min_literal: int, id_col: str
     own = F.filter("slots", lambda s: (s["at"] >= F.col("item_at")) &
                    (s["at"] < F.col("item_at") + width))
     return rows.withColumn("item_slots", own).where(F.size("item_slots") <= width - min_literal) \
-        .select("item_id", "item_words", "item_at", "window", "item_slots",
-                F.slice("words", F.col("item_at") + 1, width).alias("item_window"))
+        .select("item_id", "item_words", "item_at", "window", "item_slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_literal: int = 4,
@@ -94,23 +93,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_lite
     spark = docs.sparkSession
     items = Scratch(spark, "decontaminate").keep(
         item_windows(benchmark, width, min_literal, item_id_col, item_text_col), "windows")
-    if items.count() <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
+    small = items.count() <= BROADCAST_WINDOWS
+    items = F.broadcast(items) if small else items
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = templates(docs, text_col, width, F.col(id_col).cast("long").alias("doc_id"),
                      F.xxhash64(text).alias("version"))
-    hits = rows.select("doc_id", "version", "words", "slots",
-                       F.posexplode_outer("windows").alias("at", "window"))  # outer: else Spark
-    # derives a filter that computes every array again below
-    hits = hits.join(items, "window")
+    # outer: else Spark derives a filter that computes every array again below the explode
+    found = rows.select("doc_id", "version", *(["slots"] if small else []),
+                        F.posexplode_outer("windows").alias("at", "window")).join(items, "window")
+    if not small:  # don't shuffle the slots with every window
+        found = found.join(rows.select("doc_id", "version", "slots").distinct(),
+                           ["doc_id", "version"])
     own = F.filter("slots", lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + width))
-    unlike = F.exists(F.zip_with(F.slice("words", F.col("at") + 1, width), "item_window",
-                                 lambda a, b: a != b), lambda x: x)
-    hits = hits.where(~unlike) \
-        .select("doc_id", "version", "item_id", "item_words", "item_at",
-                (F.col("at") - F.col("item_at")).alias("shift"),
-                F.zip_with("item_slots", own, lambda a, b: F.struct(
-                    a["value"].alias("a"), b["value"].alias("b"))).alias("pairs"))
+    hits = found.select(
+        "doc_id", "version", "item_id", "item_words", "item_at",
+        (F.col("at") - F.col("item_at")).alias("shift"),
+        F.zip_with("item_slots", own, lambda a, b: F.struct(
+            a["value"].alias("a"), b["value"].alias("b"))).alias("pairs"))
     aligned = hits.groupBy("doc_id", "version", "item_id", "item_words", "shift").agg(
         F.collect_set("item_at").alias("at"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
