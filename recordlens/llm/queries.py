@@ -75,7 +75,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label columns are the categories: low quality first, which then informs toxic."""
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), {
-        "low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+        "low_quality": "quality = 0", "toxic": "toxic = 1"})
     return toxicity.classify(docs, chain)
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.llm.scratch import Scratch
@@ -25,6 +25,9 @@ FEATURES = 1 << 17
 MAX_LABELLED = 12_000
 FOLDS = 4
 STEPS = 120
+#: Standard deviations by which a word's share of positive documents must differ from the whole,
+#: else its many chance differences would outweigh a few telling words in a long text.
+SIGNIFICANT = 4.0
 _WORD = re.compile(r"\w+")
 
 
@@ -63,9 +66,11 @@ def fit(features: list[np.ndarray], earlier: np.ndarray,
     n = np.bincount(words, minlength=FEATURES)
     ratio = np.log((yes + 0.5) / (label.sum() + 1)) - np.log(
         (n - yes + 0.5) / (len(label) - label.sum() + 1))
-    ratio[n < 3] = 0
+    share = label.sum() / max(len(label), 1)
+    distance = (yes - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    ratio[(n < 3) | (np.abs(distance) < SIGNIFICANT)] = 0
     value = ratio[words]
-    keep = np.abs(value) > 0.2
+    keep = value != 0
     words, row, value = words[keep], row[keep], value[keep]
     w, v, b = np.zeros(FEATURES), np.zeros(earlier.shape[1]), float(np.log(
         (label.sum() + 1) / (len(label) - label.sum() + 1)))
@@ -118,12 +123,12 @@ def _trainer(name: str, before: list[str]):
     return train
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
               max_labelled: int = MAX_LABELLED, id_col: str = "doc_id",
               text_col: str = "text") -> Chain:
     """Fit on at most ``max_labelled`` labelled documents, the first by hash of their id.
 
-    ``categories`` names the labels in the order of the chain. Repeated labels of a document
+    ``categories`` has an SQL condition on the labels per name, in the order of the chain. Repeated labels of a document
     count as true if one is; rows with a null label or id are left out, and of rows that share
     an id one text is used. The folds of a category are fitted side by side, as are the models.
     """
@@ -131,7 +136,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     scratch = Scratch(spark, "toxicity")
     names = list(categories)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[
-        c.cast("int").alias(n) for n, c in categories.items()]).dropna() \
+        F.expr(c).cast("int").alias(n) for n, c in categories.items()]).dropna() \
         .groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     known = scratch.keep(known.orderBy(F.xxhash64("doc_id")).limit(max_labelled), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)
