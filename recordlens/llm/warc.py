@@ -100,7 +100,7 @@ def inflate(source) -> Iterator[bytes]:
     while data := source.read(CHUNK):
         while data:
             yield engine.decompress(data, 4 * CHUNK)
-            while engine.unconsumed_tail:
+            while engine.unconsumed_tail and not engine.eof:
                 yield engine.decompress(engine.unconsumed_tail, 4 * CHUNK)
             data = engine.unused_data
             if engine.eof:
