@@ -51,10 +51,14 @@ def browse(
     direction: str = "asc",
     start: int = 0,
     length: int = 10,
+    after: tuple | None = None,
     cols: Columns = DEFAULT,
 ) -> DataFrame:
     """One page of matching records.
 
+    ``after`` (value of the ordering column, id) is the last row of the page before: the next
+    page then costs the same at any depth, while ``start`` counts all rows before it.
+
     ``order_column`` is 0 id, 1 source, 2 has_diff, 3 modified fields (as text). Nulls come
     last in both directions and ties are ordered by id. Spark plans this as a top-k: only
     the four narrow columns are sorted and no full sort takes place.
@@ -62,6 +66,12 @@ def browse(
     column = F.col([cols.id, cols.source, cols.has_diff, cols.fields][int(order_column)])
     order = {"asc": column.asc_nulls_last(), "desc": column.desc_nulls_last()}
     matching = filtered_records(records, record_filter(search, sources, fields, cols), cols)
+    if after is not None:
+        value, record_id = (F.lit(x) for x in after)
+        beyond = column > value if direction.lower() == "asc" else column < value
+        beyond = F.when(value.isNull(), False).otherwise(beyond | column.isNull())
+        behind = F.col(cols.id).isNull() | (F.col(cols.id) > record_id)
+        matching = matching.filter(beyond | (column.eqNullSafe(value) & behind))
     return (
         matching.orderBy(order[direction.lower()], F.col(cols.id).asc_nulls_last())
         .offset(start).limit(length)

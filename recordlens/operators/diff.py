@@ -56,7 +56,8 @@ def diff_records(
     root_overlap_threshold: float = 0.0,
     keep_missing_flag: bool = False,
 ) -> DataFrame:
-    """Diffs dataset: payloads, change document, changed root fields and ``has_diff``.
+    """Diffs dataset: payloads (binary, as its schema has them), change document, changed root
+    fields and ``has_diff``.
 
     ``keep_missing_flag`` adds ``a_or_b_missing``, so later steps need not read payloads.
     """
@@ -67,7 +68,7 @@ def diff_records(
     return changed.select(
         F.col(cols.id).cast("string").alias(cols.id),
         F.col(cols.source).cast("string").alias(cols.source),
-        cols.record_a, cols.record_b,
+        *[F.col(side).cast("binary").alias(side) for side in (cols.record_a, cols.record_b)],
         document.alias(cols.document), cols.fields, cols.has_diff,
         *([cols.missing] if keep_missing_flag else []))
 

@@ -135,6 +135,14 @@ SELECT record_id, source, has_diff, CAST(missing AS INTEGER) AS a_or_b_missing,
 FROM records"""
 _FINAL = orders(_FINAL_COLUMNS)
 
+
+def _page(order: str) -> str:
+    return orders(f"""
+        SELECT record_id, source, has_diff,
+               '[' || replace(fields, ',', ', ') || ']' AS modified_fields
+        FROM records ORDER BY {order}""")
+
+
 ORACLES = {
     "collate_full_outer": orders("""
         SELECT record_id, source, CAST(run_date AS VARCHAR) AS run_date, run_type, action,
@@ -265,7 +273,7 @@ ORACLES = {
         SELECT record_id, source, has_diff, '[' || replace(fields, ',', ', ') || ']' AS modified_fields
         FROM records WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src5', 'src6', 'src7', 'src8') AND contains(fields, 'stats')
           AND record_id IN (SELECT id FROM d)
-        ORDER BY source DESC, record_id LIMIT 20 OFFSET 5"""),
+        ORDER BY source DESC, record_id LIMIT 20 OFFSET 1"""),
     "browse_by_fields": orders("""
         SELECT record_id, source, has_diff, '[' || replace(fields, ',', ', ') || ']' AS modified_fields
         FROM records ORDER BY modified_fields, record_id LIMIT 25 OFFSET 100"""),
@@ -334,4 +342,19 @@ ORACLES = {
     "listed_manifest": _CHOSEN.replace("FROM paths p JOIN", "FROM (SELECT DISTINCT path FROM paths) p JOIN") + """
         SELECT ordinal, source, daily, path AS key, CAST(extract_date AS VARCHAR) AS extract_date
         FROM chosen""",
+    "browse_after": _page("modified_fields, record_id LIMIT 25 OFFSET 100"),
+    "browse_by_id": _page("record_id DESC LIMIT 30"),
+    "browse_by_flag": _page("has_diff DESC, record_id LIMIT 30 OFFSET 10"),
+    "record_summary_strict": orders(f"""
+        , wanted AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
+                     ORDER BY o_totalprice, o_orderkey LIMIT 1)
+        SELECT record_id,
+               CAST(CASE WHEN fields = '' THEN 0 ELSE len(string_split(fields, ',')) END
+                    AS INTEGER) AS fields_changed,
+               fields AS modified_fields, {_ONLY_A} AS fields_only_in_a,
+               {_ONLY_B} AS fields_only_in_b
+        FROM records WHERE record_id = (SELECT id FROM wanted)"""),
+    "manifest_list": """
+        SELECT event_type AS path, row_number() OVER (ORDER BY event_type) - 1 AS line
+        FROM (SELECT DISTINCT event_type FROM events)""",
 }

@@ -259,7 +259,7 @@ def browse_page(spark, sf_dir):
     return rl.browse(
         stored_diffs(spark, document_diffs(spark, sf_dir)), search="the",
         sources=["src0", "src1", "src2", "src3", "src5", "src6", "src7", "src8"],
-        fields=["stats", "lang"], order_column=1, direction="desc", start=5, length=20)
+        fields=["stats", "lang"], order_column=1, direction="desc", start=1, length=20)
 
 
 def browse_by_fields(spark, sf_dir):
@@ -267,6 +267,42 @@ def browse_by_fields(spark, sf_dir):
                      start=100, length=25)
 
 
+def browse_after(spark, sf_dir):
+    """The page of ``browse_by_fields``, found from the row before it instead of an offset."""
+    records = stored_diffs(spark, order_diffs(spark, sf_dir))
+    last = rl.browse(records, order_column=3, start=99, length=1).first()
+    after = (last.modified_fields, last.record_id) if last else None
+    return rl.browse(records, order_column=3, length=25, after=after)
+
+
+def browse_by_id(spark, sf_dir):
+    return rl.browse(stored_diffs(spark, order_diffs(spark, sf_dir)), order_column=0,
+                     direction="desc", length=30)
+
+
+def browse_by_flag(spark, sf_dir):
+    return rl.browse(stored_diffs(spark, order_diffs(spark, sf_dir)), order_column=2,
+                     direction="desc", start=10, length=30)
+
+
+def record_summary_strict(spark, sf_dir):
+    """Summary of the cheapest order that isn't deleted."""
+    least = v.table(spark, sf_dir, "orders").agg(
+        F.min_by(F.col("o_orderkey").cast("string"), F.struct("o_totalprice", "o_orderkey")))
+    records = stored_diffs(spark, order_diffs(spark, sf_dir))
+    return rl.record_summary(records, least.first()[0], strict=True).select(
+        "record_id", "fields_changed", joined("modified_fields"),
+        joined("fields_only_in_a"), joined("fields_only_in_b"))
+
+
+def manifest_list(spark, sf_dir):
+    """The event types as a comma-separated list, read as a manifest in order."""
+    kinds = v.table(spark, sf_dir, "events").select("event_type").distinct()
+    value = kinds.agg(F.array_join(F.sort_array(F.collect_set("event_type")), " , ")).first()[0]
+    return rl.read_manifest(spark, value).select(
+        "path", F.col("position.line").cast("bigint").alias("line"))
+
+
 def browse_filtered(spark, sf_dir):
     from recordlens.operators.browse import filtered_records
     condition = rl.record_filter("PENDING", ["1-URGENT", "5-LOW"], ["status", "total"])
@@ -482,5 +518,6 @@ QUERIES = {
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
         compare_transforms, labelled_versions,
-        run_history, run_documents, listed_manifest)
+        run_history, run_documents, listed_manifest, browse_after,
+        browse_by_id, browse_by_flag, record_summary_strict, manifest_list)
 }
