@@ -87,4 +87,27 @@ QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_suffix_array_dedup, op3_language_evidence, op4_warc_normaliser,
     op5_feistel_sharding, op6_simhash_components, op7_suffix_repetition,
     op8_template_decontamination, op9_toxicity_chain, op10_main_text)}
-ORACLES: dict[str, str] = {}
+#: SQL for the queries that it can express. Tokenizers, XXH64 with a seed, CRC-32, suffix order and
+#: fitted models are not in it; tests hold those queries against brute force.
+ORACLES: dict[str, str] = {
+    "op4_warc_normaliser": """
+        WITH hexed AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                 sha1(coalesce(html, '')) AS sha FROM pages),
+        bits AS (
+          SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c: lpad(bin(
+                   strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM hexed),
+        coded AS (
+          SELECT page_id, payload_bytes, sha, array_to_string(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER)
+                          + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+                          + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER)
+                          + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+                          + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), '')
+                   AS payload_digest,
+                 min(page_id) OVER (PARTITION BY sha) AS least FROM bits)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to FROM coded""",
+}
