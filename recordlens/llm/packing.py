@@ -26,7 +26,7 @@ BINS = f"done boolean, used int, members array<struct<{MEMBER.replace(' long', '
 _NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
 _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
 #: Words remembered with their ids in a Python worker.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 
 
 @functools.lru_cache(maxsize=2)

@@ -26,13 +26,19 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # texts and packed arrays are wide: bound what a Python worker holds at a time by bytes
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table and reads it again. Shuffle files of the write go when it ends, since
+        nothing behind the table needs them."""
+        self.spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def remove(self) -> None:
+    def remove(self, name: str = "") -> None:
+        """Deletes one table, or all."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

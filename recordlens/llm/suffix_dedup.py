@@ -30,7 +30,7 @@ from recordlens.llm.scratch import Scratch
 
 GRAM = 12
 #: Bits of a position within a block; blocks are a little smaller.
-POSITION_BITS = 20
+POSITION_BITS = 18
 BLOCK = (1 << POSITION_BITS) - 4096
 #: Suffixes for which a bucket is planned, and the most buckets.
 BUCKET_SUFFIXES = 1_000_000
@@ -38,7 +38,7 @@ MOST_BUCKETS = 100_000
 #: Suffixes gathered in the sample for the splitters, at most (bounds the driver's memory).
 SAMPLE = 1_000_000
 #: Bytes of text that a task holds before it sends suffixes on.
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 8 << 20
 SUFFIXES = ("bucket int, keys binary, segs binary, sides binary, places binary, docs binary, "
             "versions binary, counts binary")
 _FIELDS = [c.split()[0] for c in SUFFIXES.split(", ")]
@@ -235,6 +235,8 @@ def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     agree = np.zeros(len(order), np.int8)
     tied = np.arange(len(order))
     for depth, column in enumerate(columns):
+        if not len(tied):
+            break
         if depth:
             within = np.cumsum(agree[tied] < depth)
             own = order[tied]
@@ -420,6 +422,8 @@ def removed_windows(docs: DataFrame, length: int, id_col: str,
                                         F.max("doc_id").alias("most")).where("least < most")
     repeated = windows.join(least, "hash").where("doc_id > least") \
         .select("doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last"))
+    repeated = scratch.keep(repeated, "repeated")
+    scratch.remove("windows")
     return rows, ranges.where(F.col("kind") == SETTLED).select(*repeated.columns) \
         .unionByName(repeated)
 
