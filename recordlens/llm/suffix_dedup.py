@@ -117,7 +117,7 @@ def block_segments(data: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.n
 
 
 def suffixes(texts: list[memoryview | bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of several texts: text number, place, key, segment hash (32 bits), sides (16 bits each).
+    """Of several texts: text number, place, key, segment hash, sides (16 bits each).
     A place is the first window start, the number of further ones and the anchor's distance."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -130,20 +130,20 @@ def suffixes(texts: list[memoryview | bytes], length: int) -> tuple[np.ndarray,
                                                                     length)
         number = doc[at + first]
         place = ((at + first - starts[number]) << 12 | (last - first) << 6 | (anchor - first))
-        found.append((number, place, key, (seg >> _U(32)).astype(np.uint32),
+        found.append((number, place, key, seg,
                       ((left >> _U(48)) | (left & _U(1))) << _U(16)
                       | (right >> _U(48)) | (right & _U(1))))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int32, np.int64, _U, np.uint32, np.uint32))
+        return tuple(np.zeros(0, t) for t in (np.int32, np.int64, _U, _U, np.uint32))
     return tuple(np.concatenate(c).astype(t) for c, t in zip(
-        zip(*found, strict=True), (np.int32, np.int64, _U, np.uint32, np.uint32), strict=True))
+        zip(*found, strict=True), (np.int32, np.int64, _U, _U, np.uint32), strict=True))
 
 
 def _composite(key: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Sort key of fixed width in byte order; the sign of a document id is shifted."""
-    out = np.empty(len(key), [("k", ">u8"), ("s", ">u4"), ("d", ">u8")])
+    out = np.empty(len(key), [("k", ">u8"), ("s", ">u8"), ("d", ">u8")])
     out["k"], out["s"], out["d"] = key, seg, doc.astype(np.int64).view(_U) ^ _U(1 << 63)
-    return out.view("S20").ravel()
+    return out.view("S24").ravel()
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list]]:
@@ -185,12 +185,12 @@ def splitters(docs: DataFrame, length: int, buckets: int, n_docs: int) -> np.nda
             number, _, key, seg, _ = suffixes(texts, length)
             pick = np.sort(np.random.default_rng(0).permutation(len(key))[:each * len(ids)])
             made = _composite(key[pick], seg[pick], np.array(ids, np.int64)[number[pick]])
-            yield pa.RecordBatch.from_pydict({"s": pa.array([x.ljust(20, b"\0") for x in
+            yield pa.RecordBatch.from_pydict({"s": pa.array([x.ljust(24, b"\0") for x in
                                                              made.tolist()], pa.binary())})
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
                         < int(share * 1_000_000) + 1)
-    found = np.sort(np.array([r[0] for r in chosen.mapInArrow(work, "s binary").collect()], "S20"))
+    found = np.sort(np.array([r[0] for r in chosen.mapInArrow(work, "s binary").collect()], "S24"))
     at = (np.arange(1, buckets) * len(found)) // buckets
     return found[at] if len(found) else found
 
@@ -269,7 +269,7 @@ def _judge(rows: list[tuple[bytes, ...]], length: int) -> pa.RecordBatch:
     """Settled and open ranges of window starts of one bucket."""
     counts = [np.frombuffer(r[6], np.uint32) for r in rows]
     key = np.concatenate([np.frombuffer(r[0], _U) for r in rows])
-    seg = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+    seg = np.concatenate([np.frombuffer(r[1], _U) for r in rows])
     sides = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
     place = np.concatenate([np.frombuffer(r[3], np.uint32 if len(r[3]) * 2 == len(r[0]) else _U)
                             .astype(np.int64) for r in rows])

@@ -95,3 +95,20 @@ def test_blocks_are_seamless(monkeypatch):
         starts = sorted(p for a, m in zip(own >> 12, own >> 6 & 63) for p in range(a, a + m + 1))
         assert starts == list(range(size - 49))
     assert not (number == 1).any()
+
+
+def test_segments_that_agree_in_half_of_their_hash(spark):
+    """Same anchor, and the same upper 32 bits of the segment hash, but not the same bytes."""
+    texts = ["gdnhukplaepknquwsacqxgvperswmfwlrrpjifsfaxjdfymdxy",
+             "clyzohiyuwnjrfathbuqxgvperswmfwerwcekhsracdhnworpz"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, _, _, key, seg, *_ = suffix_dedup.block_segments(data, np.repeat([0, 1], 50), 50)
+    assert key[0] == key[1] and seg[0] >> np.uint64(32) == seg[1] >> np.uint64(32)
+    rows = [*enumerate(texts), (2, texts[1])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one bucket, with no bound between them
+    try:
+        found = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [e[2] for e in found] == [0, 0, 50]
