@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens.llm import (
+    bpe,
+    collocations,
     decontaminate,
     html_text,
     language_id,
+    lexical_search,
     packing,
     quality,
     sharding,
@@ -20,8 +22,8 @@ from recordlens.llm import (
     warc,
 )
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: File of the public tokenizer that the contracts name.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +85,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op12_de_bruijn_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, shortest=2,
+                                     least=10, share=50, top=2000)
+
+
+def op13_dense_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_suffix_array_dedup, op3_language_evidence, op4_warc_normaliser,
     op5_feistel_sharding, op6_simhash_components, op7_suffix_repetition,
-    op8_template_decontamination, op9_toxicity_chain, op10_main_text)}
+    op8_template_decontamination, op9_toxicity_chain, op10_main_text, op11_pair_index_bpe,
+    op12_de_bruijn_collocations, op13_dense_block_search)}
 #: SQL for the queries that it can express. Tokenizers, XXH64 with a seed, CRC-32, suffix order and
 #: fitted models are not in it; tests hold those queries against brute force.
 ORACLES: dict[str, str] = {
@@ -110,4 +127,64 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> least THEN least END AS refers_to FROM coded""",
+    "op12_de_bruijn_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(
+                   coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        runs AS (
+          SELECT lang, m AS words, unnest(list_transform(range(1, len(w) - m + 2),
+                   lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+          FROM lists, (VALUES (1), (2), (3)) AS t(m) WHERE len(w) >= m),
+        f AS (SELECT lang, words, phrase, count(*) AS f FROM runs GROUP BY ALL),
+        totals AS (SELECT lang, sum(f) AS n FROM f WHERE words = 1 GROUP BY lang),
+        candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 10),
+        longer AS (
+          SELECT lang, phrase, max(f) AS most FROM (
+            SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')])
+                     AS phrase FROM candidates WHERE words = 3) GROUP BY ALL),
+        kept AS (
+          SELECT candidates.* FROM candidates LEFT JOIN longer USING (lang, phrase)
+          WHERE most IS NULL OR words = 3 OR 100 * most < 50 * f),
+        cuts AS (
+          SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS head,
+                 array_to_string(w[k + 1:], ' ') AS tail
+          FROM kept, (VALUES (1), (2)) AS t(k) WHERE k < words),
+        scored AS (
+          SELECT cuts.*, x.f AS l, y.f AS r,
+                 (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head
+          JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (
+                   PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+                 AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
+    "op13_dense_block_search": r"""
+        WITH lists AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        whole AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM lists WHERE len(w) > 0),
+        asked AS (
+          SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+          GROUP BY ALL),
+        tf AS (
+          SELECT doc_id, n, term, count(*) AS tf FROM (
+            SELECT doc_id, len(w) AS n, unnest(w) AS term FROM lists)
+          WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (
+          SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+          FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+        hits AS (
+          SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (
+                   1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+          FROM tf JOIN asked USING (term) JOIN weights USING (term), whole GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+                 ::INTEGER AS rank, doc_id, score
+        FROM hits WHERE score > 0 QUALIFY rank <= 20""",
 }

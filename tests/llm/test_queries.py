@@ -11,7 +11,7 @@ def test_one_query_per_operator():
     import __spark_entry__ as entry
 
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
 
 
