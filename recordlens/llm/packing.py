@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.llm import words as W
 from recordlens.llm.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -33,9 +34,14 @@ CACHED_WORDS = 300_000
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _special(path: str) -> re.Pattern:
+    """Strings of special tokens, in any case: they are ids of their own within a text."""
+    added = _tokenizer(path).get_added_tokens_decoder().values()
+    return re.compile("|".join(re.escape(t.content) for t in added) or "(?!)", re.IGNORECASE)
 
 
 @functools.lru_cache(maxsize=2)
@@ -46,15 +52,15 @@ def _known(path: str) -> dict[str, bytes]:
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
-    The tokenizer lower-cases, drops white space and never joins across it, and it always
-    separates a letter or digit from the punctuation behind it. So texts are taken apart there,
-    every distinct word is encoded once, and the rest is looked up.
+    The tokenizer lower-cases, drops white space and never joins across it. So texts are taken
+    apart there, every distinct piece is encoded once, and the rest is looked up.
     """
-    known = _known(path)
-    split = [_words(t) for t in texts]
+    known, special = _known(path), _special(path)
+    split = [W.pieces(t, not special.search(t)) for t in texts]
     new = set().union(*split).difference(known)
     if len(known) + len(new) > CACHED_WORDS:
         known.clear()
+        known[""] = b""
         new = set().union(*split)
     fresh = _encode(list(new), path)
     known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
@@ -62,15 +68,6 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     return [b"".join(map(get, words)) for words in split]
 
 
-_BEHIND = re.compile(r"(?<=[^\W_])([!-/:-@\[-^`{-~]+)(?=[ \n])")
-
-
-def _words(text: str) -> list[str]:
-    if "\u03a3" not in text and "\u0130" not in text:  # their lower case depends on the place
-        text = text.lower()
-    return _BEHIND.sub(r" \1", text).replace("\n", " ").split(" ")
-
-
 def _encode(words: list[str], path: str) -> dict[str, bytes]:
     """Plain words share one call and are told apart by their word numbers; others go alone."""
     tokenizer, coded = _tokenizer(path), {}
@@ -168,14 +165,17 @@ def first_round(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ful
         ids, rest = [], []
         for batch in batches:
             for docs_, texts in _some(batch):
+                held, known = [], []
                 for doc, pieces in zip(docs_, cut(texts, tokenizer, capacity, end_id),
                                        strict=True):
                     for n, data in enumerate(pieces):
-                        ids.append(doc)
-                        rest.append((n, n * capacity, len(data) // 4, zlib.crc32(data)))
+                        held.append(doc)
+                        known.append((n, n * capacity, len(data) // 4, zlib.crc32(data)))
+                ids.append(pa.array(held, pa.int64()))
+                rest.append(np.array(known, np.int64))
         if ids:
-            table = np.array(rest, np.int64)
-            columns = [pa.array(ids, pa.int64()), pa.array(table[:, 0], pa.int32()),
+            ids, table = pa.concat_arrays(ids), np.concatenate(rest)
+            columns = [ids, pa.array(table[:, 0], pa.int32()),
                        pa.array(table[:, 1]), pa.array(table[:, 2], pa.int32()),
                        pa.array(table[:, 3]), pa.array(np.zeros(len(ids), np.int64))]
             at = np.arange(len(ids))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,6 @@ from tests.llm.conftest import TOKENIZER
 
 def expected_pieces(rows, capacity):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     out = []
     for doc, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -45,6 +45,18 @@ def test_pieces_and_places(odd_docs):
     check(rows, odd_docs.repartition(7), 64, fan_in=2)
 
 
+def test_ids_are_the_plain_tokenizers():
+    """Fuzzed: letters whose lower case or normal form is more than a letter, special tokens."""
+    pick, tokenizer = random.Random(7), Tokenizer.from_file(TOKENIZER)
+    signs = [*"abHJTWYi İıΣß,.!'-7é\n\u0307\u0331\u030c\u0301क़ǅﬁ\xa0\x85", "<|endoftext|>",
+             "<|ENDOFTEXT|>", "xİ. y", "it's", " the "]
+    texts = ["".join(pick.choices(signs, k=pick.randint(0, 30))) for _ in range(10_000)]
+    texts += ["İ, b", "xİ. y", "İ! x", "a<|endoftext|>. b", "H\u0331. J\u030c, x"]
+    for text, ids in zip(texts, packing.token_bytes(texts, TOKENIZER), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(
+            text, add_special_tokens=False).ids
+
+
 def test_table_is_packed_tightly(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     bins, tokens = check(rows, docs.repartition(8), 4096)
