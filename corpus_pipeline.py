@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm import decontaminate, language_id, near_copies, packing, suffix_dedup
-from recordlens.llm.queries import TOKENIZERS, table
+from recordlens.llm import decontaminate, language_id, packing, simhash, suffix_dedup
+from recordlens.llm.queries import TOKENIZER, table
 from recordlens.llm.scratch import Scratch
 
 
@@ -21,8 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 0.8 of their five-word shingles with a kept one of a smaller id go."""
-    return near_copies.deduplicate(docs, width=5, similarity=0.8)
+    """Of documents whose SimHash over three-word shingles is linked at 3 or fewer differing
+    bits, the one with the smallest id stays."""
+    return simhash.deduplicate(docs, width=3, distance=3)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +37,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [
     ("language_id", identify_language),
-    ("near_copies", drop_near_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("repeated_passages", cut_repeated_passages),
     ("decontamination", drop_contaminated),
     ("packing", pack_sequences),
