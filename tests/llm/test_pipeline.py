@@ -5,7 +5,7 @@ from tests.llm.test_packing import expected_pieces, key
 from tests.llm.test_simhash import brute_components, plain_fingerprint
 from tests.llm.test_suffix_dedup import brute
 
-NAMES = ["language_id", "near_copies", "repeated_passages", "decontamination", "packing"]
+NAMES = ["language_id", "simhash_near_dedup", "repeated_passages", "decontamination", "packing"]
 
 
 def test_stages_against_brute_force(spark, docs, tmp_path):
@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     first, known, unlike, cut, clean, packed = ([*df.collect()] for df in tables)
     assert len(known) == len(first)  # all are in a known language
 
-    prints = [(r.doc_id, plain_fingerprint(r.text, 5)) for r in known]
+    prints = [(r.doc_id, plain_fingerprint(r.text, 3)) for r in known]
     assert sorted(r.doc_id for r in unlike) == sorted(
         {c for _, _, c in brute_components(prints, 3)})
 
