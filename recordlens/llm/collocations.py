@@ -29,7 +29,9 @@ INSIDE = ~(BREAKS | W.byte_set(b" \t"))
 #: Text whose edges are counted together before they are sent.
 BLOCK_BYTES = 8 << 20
 #: Text whose edges meet in one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
+#: Names that are Python objects at a time.
+SOME_NAMES = 1 << 16
 #: Buckets that a block is dealt to at a time; more are reached in further rounds.
 FAN_OUT = 1024
 MOST_PARTITIONS = 20_000
@@ -44,25 +46,28 @@ class Edges:
 
     def __init__(self, names: pa.Array, ids: list[np.ndarray], counts: np.ndarray):
         self.names = names
-        keys = [c.astype(np.int64) for c in ids]
-        key, room = keys[0], len(names) + 1
-        for column in keys[1:]:
+        key, room = ids[0].astype(np.int64), len(names) + 1
+        for column in ids[1:]:
             if len(key) and (int(key.max()) + 1) * room >= 1 << 62:
                 key = np.unique(key, return_inverse=True)[1]
-            key = key * room + column
-        order = np.argsort(key, kind="stable")
+            key *= room
+            key += column
+        order = np.argsort(key)
         first = np.flatnonzero(_changes(key[order]))
+        del key
         self.counts = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-        self.ids = [c[order[first]] for c in keys]
+        order = order[first]
+        self.ids = [c[order] for c in ids]
 
     def prefixes(self) -> Edges:
         """The same with a word less: the flow that leaves each node."""
         return Edges(self.names, self.ids[:-1], self.counts)
 
     def hashes(self) -> np.ndarray:
-        own = np.fromiter(map(xxhash.xxh64_intdigest, self.names.to_pylist()), np.uint64,
-                          len(self.names))
-        own, total = np.append(np.uint64(0), own), np.zeros(len(self.counts), np.uint64)
+        own, total = np.zeros(len(self.names) + 1, np.uint64), np.zeros(len(self.counts), np.uint64)
+        for i in range(0, len(self.names), SOME_NAMES):
+            some = self.names.slice(i, SOME_NAMES).to_pylist()
+            own[i + 1:i + 1 + len(some)] = list(map(xxhash.xxh64_intdigest, some))
         for column in self.ids:
             total = (total ^ own[column]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
@@ -80,11 +85,12 @@ class Edges:
                                       return_inverse=True)
             inverse = inverse + (used[0] != 0)
             names = self.names.take(pa.array(used[used > 0] - 1))
-            lengths = pc.binary_length(names).to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(names.buffers()[1], np.int64)[:len(names) + 1]
             body = b"".join([
                 np.array([len(names), len(rows), len(self.ids)], "<i8").tobytes(),
-                lengths.astype("<u4").tobytes(), inverse.astype("<u4").tobytes(),
-                self.counts[rows].astype("<i8").tobytes(), b"".join(names.to_pylist())])
+                np.diff(ends).astype("<u4").tobytes(), inverse.astype("<u4").tobytes(),
+                self.counts[rows].astype("<i8").tobytes(),
+                memoryview(names.buffers()[2])[:ends[-1]] if len(names) else b""])
             packed = pa.compress(body, "zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[rows[0]])], pa.int64()), pa.array([len(body)], pa.int64()),
@@ -136,15 +142,15 @@ def unpack(rows: list[tuple[int, bytes]]) -> Edges:
         n, m, k = np.frombuffer(body[:24], "<i8").tolist()
         at = 24 + 4 * n
         ends = np.cumsum(np.append(0, np.frombuffer(body[24:at], "<u4"))).astype(np.int64)
-        ids = np.frombuffer(body[at:at + 4 * k * m], "<u4").astype(np.int64).reshape(k, m)
+        ids = np.frombuffer(body[at:at + 4 * k * m], "<i4").reshape(k, m)
         at += 4 * k * m
         counts.append(np.frombuffer(body[at:at + 8 * m], "<i8"))
         names.append(pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(body[at + 8 * m:])]))
-        columns.append(np.where(ids > 0, ids + base, 0))
+        columns.append(np.where(ids > 0, ids + np.int32(base), np.int32(0)))
         base += n
     coded = pa.concat_arrays(names).dictionary_encode()
-    number = np.append(0, coded.indices.to_numpy().astype(np.int64) + 1)
+    number = np.append(np.int32(0), coded.indices.to_numpy() + np.int32(1))
     return Edges(coded.dictionary, list(number[np.concatenate(columns, axis=1)]),
                  np.concatenate(counts))
 
@@ -157,12 +163,12 @@ def count_runs(langs: pa.Array, texts: pa.Array, longest: int) -> Edges:
     piece = np.cumsum(BREAKS[data], dtype=np.int64)[at] if len(at) else at
     langs = pc.fill_null(langs.cast(pa.large_binary()), LANG.encode())
     both = pa.concat_arrays([langs, found]).dictionary_encode()
-    number = both.indices.to_numpy().astype(np.int64) + 1
+    number = both.indices.to_numpy() + np.int32(1)
     columns = [number[:len(langs)][row], number[len(langs):]]
     joined = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)[:len(at)]
     for _ in range(longest - 1):
-        behind = np.append(columns[-1][1:], 0)[:len(at)]
-        columns.append(np.where(joined, behind, 0))
+        behind = np.append(columns[-1][1:], np.int32(0))[:len(at)]
+        columns.append(np.where(joined, behind, np.int32(0)))
     return Edges(both.dictionary, columns, np.ones(len(at), np.int64))
 
 
@@ -230,11 +236,14 @@ def counts(docs: DataFrame, longest: int, least: int, scratch: Scratch, lang_col
     for level in range(longest, 0, -1):
         def merge(batches, level=level):
             for edges in _grouped(batches, 0):
-                if level > 1:
-                    yield from map(_wide, edges.prefixes().pack(buckets))
                 yield edges.phrases(least)
                 if level == 1:
                     yield edges.totals()
+                else:
+                    edges = edges.prefixes()
+                    yield from map(_wide, edges.pack(buckets))
+                del edges
+                pa.default_memory_pool().release_unused()  # the next bucket follows
 
         table = scratch.keep(packed.repartition(partitions, "bucket")
                              .sortWithinPartitions("bucket").mapInArrow(merge, COUNTED),
