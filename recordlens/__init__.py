@@ -11,6 +11,7 @@ from .operators.collate import (
 from .operators.diff import (
     change_table, diff_records, flat_changed_fields, key_differences, record_changes,
 )
+from .operators.isolation import Isolated
 from .operators.manifest import (
     extracted_files, input_manifest, parse_filenames, requested_sources, since_last_full,
 )
@@ -24,7 +25,8 @@ from .operators.metrics import (
 )
 from .operators.records import final_records, join_matrix
 from .operators.versions import (
-    VersionRun, read_labelled_versions, run_versions, write_versions,
+    VersionFailed, VersionRun, read_failures, read_labelled_versions, run_versions,
+    write_versions,
 )
 from .plans.run_diff import RunResult, compare_transforms, load_run, run_diff
 from .sources.datasets import (

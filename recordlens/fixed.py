@@ -47,3 +47,4 @@ DUPLICATE_IDS_MESSAGE = "The collated dataset contains duplicate '{id}' records.
 
 # --- fixed values: message of a failed version --------------------------------
 VERSION_FAILED = "Version {} failed to complete successfully on record {}"
+PARTS_FAILED = "{} / {} parts failed to complete successfully."

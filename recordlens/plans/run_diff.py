@@ -15,7 +15,7 @@ from ..operators.diff import diff_records
 from ..operators.matrix import field_matrix, name_list
 from ..operators.metrics import count_cells, metrics_document
 from ..operators.records import final_records
-from ..operators.versions import Transform, run_versions, version_path, write_versions
+from ..operators.versions import Transform, run_versions, version_path
 from ..sources.datasets import read_dataset, read_version, register_records, write_dataset
 
 
@@ -136,9 +136,13 @@ def compare_transforms(
     cols: Columns = DEFAULT,
     **options,
 ) -> RunResult:
-    """Run two versions of a transform over the same inputs and compare their results."""
+    """Run two versions of a transform over the same inputs and compare their results.
+
+    Each version is stored once, below ``output``, failed rows included, which readers drop;
+    a lenient run lists its rejects beside them."""
     spark = inputs.sparkSession
-    versions = run_versions(inputs, transform_a, transform_b, strict, cols=cols)
-    write_versions(versions, output, cols=cols)
+    run = run_versions(inputs, transform_a, transform_b, strict, cols=cols, staging=output)
+    if not strict:
+        write_dataset(run.rejects, f"{output}/rejects")
     a, b = (read_version(spark, version_path(output, label), cols) for label in "ab")
     return run_diff(a, b, output, cols=cols, **options)

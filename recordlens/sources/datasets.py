@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..columns import DEFAULT, Columns, version_schema
 from ..operators.collate import latest_state
 
+#: Column of a stored version that marks the rows which are no part of it.
+FAILED = "_failed"
 MAX_ROWS_PER_FILE = 0  # no limit: rebalancing sizes files by bytes
 
 
@@ -24,11 +26,16 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def read_version(spark: SparkSession, path: str, cols: Columns = DEFAULT) -> DataFrame:
     """The six columns of one version's dataset, any of them possibly a hive key."""
-    df = read_dataset(spark, path)
+    df = without_failed(read_dataset(spark, path))
     return df.select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in version_schema(cols)])
 
 
+def without_failed(stored: DataFrame) -> DataFrame:
+    """The rows of a stored version that did not fail."""
+    return stored.filter(~F.col(FAILED)).drop(FAILED) if FAILED in stored.columns else stored
+
+
 def write_dataset(
     df: DataFrame,
     path: str,

@@ -327,6 +327,21 @@ ORACLES = {
           UNION ALL SELECT 'b', CASE WHEN regexp_extract(url, '^https://([^/]+)', 1) <> ''
                                 THEN 'kept' ELSE 'rejected' END FROM pages)
         GROUP BY version, outcome""",
+    "versions_isolated": """
+        SELECT 'a' AS version, CAST(page_id AS VARCHAR) AS record_id, NULL AS part,
+               NULL AS message FROM pages
+        UNION ALL SELECT 'b', CAST(page_id AS VARCHAR),
+               CASE WHEN url NOT LIKE 'https://%' THEN CAST(page_id // 100 AS VARCHAR) END,
+               CASE WHEN url NOT LIKE 'https://%' THEN 'ValueError: not secure: ' || url END
+        FROM pages""",
+    "compare_isolated": """
+        SELECT CAST(page_id AS VARCHAR) AS record_id,
+               CASE WHEN url LIKE 'https://%' THEN 'false' ELSE 'true' END AS has_diff,
+               CASE WHEN url LIKE 'https://%' THEN 0 ELSE 1 END AS a_or_b_missing,
+               '{"host":"' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || '"}' AS record_a,
+               CASE WHEN url LIKE 'https://%' THEN
+                 '{"host":"' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || '"}' END AS record_b
+        FROM pages""",
     "run_history": _RUNS,
     "run_documents": f"""
         WITH {ORDERS_SQL},

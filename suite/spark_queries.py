@@ -446,6 +446,53 @@ def labelled_versions(spark, sf_dir):
         F.count("*").alias("n"))
 
 
+def _page_records(rows, payloads):
+    import pyarrow as pa
+
+    n = rows.num_rows
+    return pa.table({
+        "record_id": rows["page_id"].cast(pa.string()), "source": ["pages"] * n,
+        "run_date": pa.array(["2024-01-01"] * n).cast(pa.date32()), "run_type": ["full"] * n,
+        "action": ["index"] * n, "transformed_record": pa.array(payloads, pa.binary())})
+
+
+def _isolated_pages(raising: bool):
+    """A page transform by Arrow tables; version B raises at the first address without https."""
+    record = _page_records
+
+    def work(rows):
+        hosts = []
+        for url in rows["url"].to_pylist():
+            scheme, _, rest = (url or "").partition("://")
+            if raising and scheme != "https":
+                raise ValueError(f"not secure: {url}")
+            hosts.append(f'{{"host":"{rest.partition("/")[0]}"}}'.encode())
+        return record(rows, hosts)
+
+    return rl.Isolated(work, part=F.expr("page_id div 100"), row=F.col("page_id"),
+                       rows_per_call=64)
+
+
+def versions_isolated(spark, sf_dir):
+    """Rows of both versions, and the rows that version B raised on, with part and message."""
+    run = rl.run_versions(v.table(spark, sf_dir, "pages"), _isolated_pages(False),
+                          _isolated_pages(True), strict=False)
+    none = F.lit(None).cast("string")
+    kept = rl.union_versions({"a": run.a, "b": run.b}).select(
+        "version", "record_id", none.alias("part"), none.alias("message"))
+    return kept.unionByName(run.failures.select(
+        "version", F.col("row").alias("record_id"), "part", "message"))
+
+
+def compare_isolated(spark, sf_dir):
+    """A comparison that goes on without the pages that version B raised on."""
+    result = rl.compare_transforms(
+        v.table(spark, sf_dir, "pages"), _isolated_pages(False), _isolated_pages(True),
+        scratch_dir(spark, "isolated"), strict=False)
+    return result.records.select("record_id", "has_diff", "a_or_b_missing", text("record_a"),
+                                 text("record_b"))
+
+
 RUN_STAMPS = ["2024-11-07_03-56-22", "2024-10-17_14-01-18"]
 
 
@@ -517,7 +564,7 @@ QUERIES = {
         browse_by_fields, browse_filtered, browse_counts, manifest_parse,
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
-        compare_transforms, labelled_versions,
+        compare_transforms, labelled_versions, versions_isolated, compare_isolated,
         run_history, run_documents, listed_manifest, browse_after,
         browse_by_id, browse_by_flag, record_summary_strict, manifest_list)
 }
