@@ -26,6 +26,8 @@ UNKNOWN = "und"
 OVERLAP = 3.0
 #: Bytes of text counted at a time.
 CHUNK = 1 << 22
+#: Languages with a class of their own, and languages counted at a time in a task.
+MOST_LANGUAGES, HELD = 400, 64
 DECLARED = r"^([a-z]{2,3})(?:[-_].*)?$"
 
 
@@ -81,34 +83,47 @@ def _letters(text: pa.Scalar) -> Iterator[np.ndarray]:
         yield trigrams(data[i:i + CHUNK + 2])
 
 
-def fit_text_model(rows: DataFrame, min_share: float = 0.005) -> TextModel:
-    """From columns text (binary) and declared, over all documents that declare a language which
-    at least ``min_share`` of them declare, so of at most 1 / min_share languages."""
-    shares = rows.where("declared IS NOT NULL").groupBy("declared").count()
-    total = shares.agg(F.sum("count")).first()[0] or 0
-    names = sorted(r[0] for r in shares.where(F.col("count") >= min_share * total).collect())
-    if not names:
-        return TextModel((UNKNOWN,), np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
+def fit_text_model(rows: DataFrame, min_trigrams: int = 1000,
+                   most: int = MOST_LANGUAGES) -> TextModel:
+    """From columns text (binary) and declared, over all documents that declare a language.
 
+    Every language with ``min_trigrams`` of text gets a class, however small its share; of more
+    than ``most`` those with the most text. Counts stay in Spark; the driver gets one row per
+    bucket of the chosen languages.
+    """
     def work(batches):
         counts: dict[str, np.ndarray] = {}
+
+        def told():
+            for name, count in counts.items():
+                at = np.flatnonzero(count)
+                yield pa.RecordBatch.from_pydict({"declared": [name] * len(at), "bucket": at,
+                                                  "n": count[at]})
+            counts.clear()
+
         for batch in batches:
             for text, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for found in _letters(text):
                     if name not in counts:
+                        if len(counts) >= HELD:
+                            yield from told()
                         counts[name] = np.zeros(BUCKETS, np.int64)
                     counts[name] += np.bincount(found, minlength=BUCKETS)
-        for name, count in counts.items():
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_pydict({"declared": [name] * len(at), "bucket": at,
-                                              "n": count[at]})
-
-    counted = rows.where(F.col("declared").isin(names)).select("text", "declared") \
-        .mapInArrow(work, "declared string, bucket long, n long") \
-        .groupBy("declared", "bucket").agg(F.sum("n").alias("n")) \
-        .groupBy("declared").agg(F.collect_list("bucket"), F.collect_list("n"))
+        yield from told()
+
+    scratch = Scratch(rows.sparkSession, "language-model")
+    counted = scratch.keep(
+        rows.where("declared IS NOT NULL").select("text", "declared")
+        .mapInArrow(work, "declared string, bucket long, n long")
+        .groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    chosen = counted.groupBy("declared").agg(F.sum("n").alias("n")) \
+        .where(F.col("n") >= min_trigrams).orderBy(F.desc("n"), "declared").limit(most)
+    names = sorted(r[0] for r in chosen.collect())
+    if not names:
+        return TextModel((UNKNOWN,), np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
     counts = np.full((BUCKETS, len(names)), 0.5)
-    for name, buckets, values in counted.collect():
+    for name, buckets, values in counted.where(F.col("declared").isin(names)) \
+            .groupBy("declared").agg(F.collect_list("bucket"), F.collect_list("n")).collect():
         counts[buckets, names.index(name)] += values
     weights = np.log(counts / counts.sum(0))
     flat = np.full((BUCKETS, 1), -np.log(BUCKETS))
@@ -160,10 +175,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The posterior of a language is its text likelihood times the chance of the declaration given
     the language times the host's prior. A host's counts are smoothed by ``smoothing`` pseudo-
     counts from its suffix, a suffix's by as many from the whole. ``kept``: the best language
-    isn't UNKNOWN and has at least ``min_posterior``. Texts that are null or have no
-    letters say nothing; they get UNKNOWN and aren't kept. A missing
-    declaration, host or suffix is a value like any other. Repeated rows are judged alike, an
-    empty table gives no rows, and other columns are ignored.
+    isn't UNKNOWN and has at least ``min_posterior``. A text that is most like UNKNOWN but
+    declares a language without a class, for want of text, is taken at its word. Texts that are
+    null or have no letters say nothing; they get UNKNOWN and aren't kept. A missing
+    declaration, host or suffix is a value like any other. Of equal posteriors the first name
+    in the alphabet wins, and UNKNOWN comes last. Repeated rows are judged alike, a long text is
+    counted in chunks, an empty table gives no rows, and other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "language-id")
     none = F.lit(None).cast("string")
@@ -218,7 +235,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       lambda a, b: a + F.log(b))
     fused = fused.withColumn("logs", logs).withColumn("odds", _posterior(F.col("logs"))) \
         .withColumn("best", F.array_position("odds", F.array_max("odds")).cast("int"))
-    chosen = F.when(F.col("silent"), UNKNOWN).otherwise(F.element_at(names, F.col("best")))
+    unclassed = (F.col("best") == n) & (F.col("declared") != "") & ~F.col("declared").isin(
+        list(model.languages))
+    chosen = F.when(F.col("silent"), UNKNOWN).when(unclassed, F.col("declared")) \
+        .otherwise(F.element_at(names, F.col("best")))
     posterior = F.lit(1.0) / F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     text_best = F.array_position("loglik", F.array_max("loglik")).cast("int")
     return fused.select(

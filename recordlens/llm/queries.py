@@ -40,11 +40,24 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence: text, declaration, and the source as host; documents have no address."""
     return language_id.identify(
         table(spark, sf_dir, "documents"), declared=language_id.declared_language("lang"),
         host=F.col("source"))
 
 
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages, with the markup's declaration, the address's host and its suffix."""
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.withColumns({
+        "words": F.regexp_replace("html", r"(?is)<(script|style|title)\b.*?</\1\s*>|<[^>]*>", " "),
+        "markup": language_id.markup_language("html")})
+    host = language_id.host_of("url")
+    return language_id.identify(
+        pages, "page_id", "words", language_id.declared_language("markup"), host,
+        language_id.suffix_of(host)).withColumnRenamed("doc_id", "page_id")
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -103,7 +116,7 @@ QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_suffix_array_dedup, op3_language_evidence, op4_warc_normaliser,
     op5_feistel_sharding, op6_simhash_components, op7_suffix_repetition,
     op8_template_decontamination, op9_toxicity_chain, op10_main_text, op11_pair_index_bpe,
-    op12_de_bruijn_collocations, op13_dense_block_search)}
+    op12_de_bruijn_collocations, op13_dense_block_search, pages_language)}
 #: SQL for the queries that it can express. Tokenizers, XXH64 with a seed, CRC-32, suffix order and
 #: fitted models are not in it; tests hold those queries against brute force.
 ORACLES: dict[str, str] = {

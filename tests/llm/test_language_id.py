@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from recordlens.llm import language_id as li
@@ -72,3 +73,55 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert li.keep_identified(odd_docs, declared=li.declared_language("lang")).columns \
         == odd_docs.columns
     assert identify(no_docs).count() == 0
+
+
+POLISH = "Wszystkie przedsięwzięcia żółtych gęsi źdźbłem trawy świadczą że chrząszcz brzmi w trzcinie. "
+
+
+def test_rare_languages_are_not_lost(spark, docs):
+    """A few documents of a language among many others; with a class, and without."""
+    columns = ["doc_id", "text", "lang", "source"]
+    rare = spark.createDataFrame(
+        [(30_001 + i, POLISH * 4, "pl", f"s{i}") for i in range(4)]
+        + [(30_010, "Ők húszan voltak a zűrzavaros történetben, és öten győztek. " * 3, "hu", "s")],
+        "doc_id long, text string, lang string, source string")
+    rows = docs.select(columns).unionByName(rare)
+    found = {r.doc_id: (r.lang, r.kept) for r in identify(rows).where("doc_id > 30000").collect()}
+    assert found == {**{30_001 + i: ("pl", True) for i in range(4)}, 30_010: ("hu", True)}
+    kept = li.keep_identified(rows, declared=li.declared_language("lang"), host=F.col("source"))
+    assert kept.where("doc_id > 30000").count() == 5
+    undeclared = rows.withColumn("lang", F.when(F.col("doc_id") <= 30_000, F.col("lang")))
+    found = identify(undeclared).where("doc_id > 30000").collect()
+    assert {(r.lang, r.kept) for r in found} == {("und", False)}
+
+
+def test_posterior_is_the_product_of_the_evidence(spark):
+    """All numbers by hand, from the model's own weights."""
+    rows = [(1, "aaa bbb aaa", "xx", "h1"), (2, "aaa aaa", "xx", "h1"), (3, "ccc ddd", "yy", "h2"),
+            (4, "ccc ccc ddd", "yy", "h1"), (5, "aaa ddd", None, "h2"), (6, "aaa ddd", "xx", "h2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    raw = df.select(F.col("text").cast("binary").alias("text"), F.col("lang").alias("declared"))
+    model = li.fit_text_model(raw, min_trigrams=1)
+    assert model.languages == ("xx", "yy", "und")
+    logs = {}
+    for doc, text, _, _ in rows:
+        data = np.frombuffer(f" {text} ".encode(), np.uint8)
+        logs[doc] = model.weights[li.trigrams(data)].sum(0, dtype=float) / li.OVERLAP
+    post = {d: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for d, x in logs.items()}
+    total = sum(post.values()) + 1.0
+    share = total / total.sum()
+
+    def smooth(counts, prior):
+        return (counts + 20 * prior) / (counts.sum() + 20)
+
+    def summed(position, value):
+        return sum((post[r[0]] for r in rows if r[position] == value), np.zeros(3))
+
+    suffix = smooth(sum(post.values()), share)
+    found = {r.doc_id: r for r in identify(df, model=model).collect()}
+    for doc, _, lang, host in rows:
+        said = (summed(2, lang) + 1 / 3) / total
+        odds = np.exp(logs[doc]) * smooth(summed(3, host), suffix) * said
+        odds /= odds.sum()
+        assert found[doc].lang == model.languages[odds.argmax()]
+        assert abs(found[doc].posterior - odds.max()) < 1e-6
