@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from recordlens.llm import html_text, queries
@@ -58,3 +59,70 @@ def test_pages_without_labels_or_text(spark):
     assert (None, "plain words <b> only") in found and (5, "") in found and (7, "") in found
     assert (9, "a < b") in found
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = "".join(f"<p>Paragraph number {i} of the article with quite a few words in it.</p>"
+                  for i in range(6))
+LINES = "\n".join(f"Paragraph number {i} of the article with quite a few words in it."
+                  for i in range(6))
+MENU = "<ul>" + "<li><a href='/'>Entry</a></li>" * 8 + "</ul>"
+
+
+def found(spark, body):
+    weights = html_text.fit_weights(spark.read.parquet(f"{SF}/pages.parquet"))
+    return html_text.main_text(f"<html><body><nav>{MENU}</nav>{body}<footer>The end of the site"
+                               "</footer></body></html>", weights)
+
+
+def test_marks_yield_to_the_article(spark):
+    for around in ('<div class="post comments-open">{}</div>',
+                   '<div class="layout has-sidebar"><article>{}</article></div>',
+                   '<form id="aspnetForm">{}</form>', '<form id="f"><article>{}</article></form>',
+                   '<div class="widget"><main>{}</main></div>', '<div id="social">{}</div>',
+                   "<section class='related-price'>{}</section>"):
+        assert found(spark, around.format(ARTICLE)) == LINES, around
+
+
+def test_a_section_of_the_article_with_an_unlucky_name(spark):
+    inner = f"<p>Opening words of it.</p><section class='share-price-history'>{ARTICLE}</section>"
+    assert found(spark, f"<article>{inner}</article>") == f"Opening words of it.\n{LINES}"
+
+
+def test_nothing_of_the_article_is_dropped(spark):
+    rows = "".join(f"<tr><td>{i}</td><td>x</td></tr>" for i in range(20))
+    items = "".join(f"<li>w{i}</li>" for i in range(30))
+    end = f"<table>{rows}</table><ul>{items}</ul><p>End.</p>"
+    text = "\n".join([LINES, *(t for i in range(20) for t in (str(i), "x")),
+                      *(f"w{i}" for i in range(30)), "End."])
+    assert found(spark, f"<article>{ARTICLE}{end}</article>") == text
+    assert found(spark, f"<div class='story'>{ARTICLE * 6}{end}</div>") == \
+        "\n".join([LINES] * 6) + text[len(LINES):]
+
+
+def test_asides_still_go(spark):
+    clutter = [
+        '<div class="comments"><p>A reader says a thing or two about it here.</p></div>',
+        '<aside><article>Teaser of some other article.</article></aside>',
+        '<div class="cookie-notice">We use cookies.</div>', '<div id="sidebar-left">Left</div>',
+        '<div class="siteFooter">Foot</div>', '<p class="ad-1">Buy</p>', "<form>Mail us</form>",
+        '<div style="display: none">Hidden</div>']
+    for one in clutter:
+        assert found(spark, f"<article>{ARTICLE}{one}</article>") == LINES, one
+        assert found(spark, f"{one}<article>{ARTICLE}</article>{one}") == LINES, one
+
+
+def test_scan_against_all_regions():
+    pick = random.Random(3)
+    for _ in range(300):
+        values = [pick.choice([-8, -3, -1, 0, 1, 2, 5]) for _ in range(pick.randint(0, 25))]
+        first, end = html_text.best_region(values)
+        best = max((sum(values[i:j]) for i in range(len(values))
+                    for j in range(i + 1, len(values) + 1)), default=0)
+        assert sum(values[first:end]) == max(best, 0)
+
+
+def test_long_and_deep_pages():
+    weights = {"": 1.0, "p": -0.1}
+    page = "<div class=ad>" * 3000 + "<p>some words here</p>" * 3000
+    assert html_text.main_text(page, weights).count("some words here") == 3000
+    assert html_text.main_text("<b>" * 50_000 + "word", weights) == "word"
