@@ -42,6 +42,9 @@ _ARROW_CHANGE = [
     pa.field("old_indexes", pa.list_(pa.int32())),
     pa.field("new_indexes", pa.list_(pa.int32())),
 ]
+#: Unequal items of two arrays are paired up to this product of their numbers; beyond it they
+#: are removed and added ones.
+MOST_PAIRS = 4096
 _SCALARS = (str, int, float, bool, type(None))
 
 _encode = json.JSONEncoder(
@@ -99,25 +102,26 @@ def _child(path: str, key: str) -> str:
 
 # A change is (path, kind, old text, new text, old indexes, new indexes).
 
-def _member_changes(path: str, key: str, old: dict, new: dict, ignore_order: bool):
+def _member_changes(path: str, key: str, old: dict, new: dict, ignore_order: bool,
+                    pair_limit: float):
     """Changes of one key that is not the same in two objects; none if it is."""
     if key not in new:
         yield _child(path, key), "removed", _text(old[key]), None, None, None
     elif key not in old:
         yield _child(path, key), "added", None, _text(new[key]), None, None
     elif _differs(old[key], new[key], ignore_order):
-        yield from _changes(_child(path, key), old[key], new[key], ignore_order)
+        yield from _changes(_child(path, key), old[key], new[key], ignore_order, pair_limit)
 
 
-def _changes(path: str, old, new, ignore_order: bool):
+def _changes(path: str, old, new, ignore_order: bool, pair_limit: float = 0.0):
     """Changes between two unequal values."""
     if type(old) is not type(new):
         yield path, "type_changed", _text(old), _text(new), None, None
     elif isinstance(old, dict):
         for key in sorted(old.keys() | new.keys()):
-            yield from _member_changes(path, key, old, new, ignore_order)
+            yield from _member_changes(path, key, old, new, ignore_order, pair_limit)
     elif isinstance(old, list) and ignore_order:
-        yield from _multiset_changes(path, old, new)
+        yield from _multiset_changes(path, old, new, pair_limit)
     elif isinstance(old, list):
         for i in range(max(len(old), len(new))):
             child = f"{path}[{i}]"
@@ -131,39 +135,126 @@ def _changes(path: str, old, new, ignore_order: bool):
         yield path, "changed", _text(old), _text(new), None, None
 
 
-def _multiset_changes(path: str, old: list, new: list):
+def _size(value) -> int:
+    """Number of single values in a value; an empty object or array is one."""
+    if isinstance(value, dict):
+        return sum(map(_size, value.values())) or 1
+    return sum(map(_size, value)) or 1 if isinstance(value, list) else 1
+
+
+def _common(old, new) -> int:
+    """Number of single values at the same place, or for arrays anywhere, in both."""
+    if type(old) is not type(new):
+        return 0
+    if isinstance(old, dict):
+        return sum(_common(old[k], new[k]) for k in old.keys() & new.keys()) or int(old == new)
+    if isinstance(old, list):
+        after = {text: len(at) for text, at in _positions(new, True).items()}
+        return sum(_size(old[at[0]]) * min(len(at), after.get(text, 0))
+                   for text, at in _positions(old, True).items()) or int(old == new)
+    return int(not _differs(old, new, True))
+
+
+def distance(old, new) -> float:
+    """0 for equal values, 1 for such that share nothing: the part of both that differs."""
+    return 1 - 2 * _common(old, new) / (_size(old) + _size(new))
+
+
+def least_cost_pairs(cost: list[list[float]], limit: float) -> list[tuple[int, int]]:
+    """Row and column pairs below ``limit`` with the least sum of their costs, where a row and a
+    column that stay alone cost half the limit each. Rows join one by one, each along a
+    cheapest augmenting path; equal costs go to the first column."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    inf = float("inf")
+    # a row's own last column stands for staying alone
+    gain = [[min(c - limit, 0.0) for c in row] + [0.0] * n for row in cost]
+    by_row, by_column, match = [0.0] * n, [0.0] * (m + n), [-1] * (m + n)
+    for row in range(n):
+        best, came, seen = [inf] * (m + n), [-1] * (m + n), [False] * (m + n)
+        here, at = row, -1
+        while True:
+            if at >= 0:
+                seen[at] = True
+                here = match[at]
+            step, nearest = inf, -1
+            for j in range(m + n):
+                if not seen[j]:
+                    reduced = gain[here][j] - by_row[here] - by_column[j]
+                    if reduced < best[j]:
+                        best[j], came[j] = reduced, at
+                    if best[j] < step:
+                        step, nearest = best[j], j
+            by_row[row] += step
+            for j in range(m + n):
+                if seen[j]:
+                    by_row[match[j]] += step
+                    by_column[j] -= step
+                else:
+                    best[j] -= step
+            at = nearest
+            if match[at] < 0:
+                break
+        while at >= 0:
+            match[at] = match[came[at]] if came[at] >= 0 else row
+            at = came[at]
+    return sorted((match[j], j) for j in range(m) if match[j] >= 0 and cost[match[j]][j] < limit)
+
+
+def _similar(old: list, new: list, gone: list[int], added: list[int],
+             limit: float) -> dict[int, int]:
+    """Places of edited items: objects with objects, arrays with arrays."""
+    pairs = {}
+    for kind in (dict, list):
+        left = [i for i in gone if isinstance(old[i], kind)] if limit > 0 else []
+        right = [j for j in added if isinstance(new[j], kind)]
+        if left and right and len(left) * len(right) <= MOST_PAIRS:
+            cost = [[distance(old[i], new[j]) for j in right] for i in left]
+            pairs.update((left[i], right[j]) for i, j in least_cost_pairs(cost, limit))
+    return pairs
+
+
+def _multiset_changes(path: str, old: list, new: list, pair_limit: float = 0.0):
     before, after = _positions(old, True), _positions(new, True)
+    gone = [i for text, indexes in before.items() if text not in after for i in indexes]
+    added = [j for text, indexes in after.items() if text not in before for j in indexes]
+    pairs = _similar(old, new, gone, added, pair_limit)
     for text, indexes in before.items():
         others = after.get(text)
         if others is None:
             for i in indexes:
-                yield f"{path}[{i}]", "item_removed", _text(old[i]), None, [i], None
+                if i in pairs:
+                    yield from _changes(f"{path}[{i}]", old[i], new[pairs[i]], True, pair_limit)
+                else:
+                    yield f"{path}[{i}]", "item_removed", _text(old[i]), None, [i], None
         elif len(others) != len(indexes):
             first = indexes[0]
             yield (f"{path}[{first}]", "repetition_changed", _text(old[first]),
                    _text(new[others[0]]), indexes, others)
-    for text, indexes in after.items():
-        if text not in before:
-            for i in indexes:
-                yield f"{path}[{i}]", "item_added", None, _text(new[i]), None, [i]
+    paired = set(pairs.values())
+    for i in added:
+        if i not in paired:
+            yield f"{path}[{i}]", "item_added", None, _text(new[i]), None, [i]
 
 
-def record_delta(old, new, ignore_order: bool = True, root_overlap_threshold: float = 0.0):
+def record_delta(old, new, ignore_order: bool = True, root_overlap_threshold: float = 0.0,
+                 pair_limit: float = 0.0):
     """Changed root fields and changes (root field first) of one record.
 
-    None if the record did not change.
+    None if the record did not change. Items of arrays that compare as multisets are paired if
+    they differ in less than ``pair_limit``, and then their own changes are told.
     """
     if not (isinstance(old, dict) and isinstance(new, dict)):
         if not _differs(old, new, ignore_order):
             return None
         keys = sorted(key for side in (old, new) if isinstance(side, dict) for key in side)
-        return keys, [(None, *change) for change in _changes("root", old, new, ignore_order)]
+        return keys, [(None, *change) for change in _changes(
+            "root", old, new, ignore_order, pair_limit)]
     keys = sorted(old.keys() | new.keys())
     if keys and len(old.keys() & new.keys()) / len(keys) < root_overlap_threshold:
         return keys, [(None, "root", "changed", _text(old), _text(new), None, None)]
     changes = [
         (key, *change) for key in keys
-        for change in _member_changes("root", key, old, new, ignore_order)]
+        for change in _member_changes("root", key, old, new, ignore_order, pair_limit)]
     return (list(dict.fromkeys(c[0] for c in changes)), changes) if changes else None
 
 
@@ -190,7 +281,8 @@ def _delta_array(deltas: list) -> pa.Array:
 
 
 def record_deltas(
-    a: Column, b: Column, ignore_order: bool = True, root_overlap_threshold: float = 0.0
+    a: Column, b: Column, ignore_order: bool = True, root_overlap_threshold: float = 0.0,
+    pair_limit: float = 0.0,
 ) -> Column:
     """Arrow-batched ``record_delta``. Null on either side gives null, without parsing."""
 
@@ -198,7 +290,8 @@ def record_deltas(
     def deltas(left: pa.Array, right: pa.Array) -> pa.Array:
         return _delta_array([
             None if old is None or new is None else
-            record_delta(json.loads(old), json.loads(new), ignore_order, root_overlap_threshold)
+            record_delta(json.loads(old), json.loads(new), ignore_order, root_overlap_threshold,
+                         pair_limit)
             for old, new in zip(left.to_pylist(), right.to_pylist())])
 
     return deltas(a, b)

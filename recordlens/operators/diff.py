@@ -24,6 +24,7 @@ def record_changes(
     cols: Columns = DEFAULT,
     ignore_order: bool = True,
     root_overlap_threshold: float = 0.0,
+    pair_limit: float = 0.0,
 ) -> DataFrame:
     """Add ``modified_fields``, ``changes``, ``has_diff`` and ``a_or_b_missing``.
 
@@ -32,13 +33,17 @@ def record_changes(
     Python, as the condition sits inside the arguments. Arrays compare as multisets unless
     ``ignore_order`` is false. Records whose shared share of root keys is below
     ``root_overlap_threshold`` count as changed in every field. Array items are compared
-    by value; similar items are not paired. Two unequal records with no root keys at all
+    by value. With a ``pair_limit``, unequal objects (or arrays) in two arrays are paired at the
+    least total distance, each pair below the limit, and compared in turn; the distance is
+    the part of their single values that differs. Arrays with more than 4,096 pairs of such
+    items (64 x 64) are not paired: their items are removed and added. Two unequal records with no root keys at all
     (other JSON than objects) are a diff with no fields.
     """
     a, b = F.col(cols.record_a), F.col(cols.record_b)
     open_row = a.isNotNull() & b.isNotNull() & (a != b)
     compared = collated.withColumn("_delta", record_deltas(
-        F.when(open_row, a), F.when(open_row, b), ignore_order, root_overlap_threshold))
+        F.when(open_row, a), F.when(open_row, b), ignore_order, root_overlap_threshold,
+        pair_limit))
     one_missing = a.isNull() != b.isNull()
     return compared.select(
         *collated.columns,
@@ -55,6 +60,7 @@ def diff_records(
     ignore_order: bool = True,
     root_overlap_threshold: float = 0.0,
     keep_missing_flag: bool = False,
+    pair_limit: float = 0.0,
 ) -> DataFrame:
     """Diffs dataset: payloads (binary, as its schema has them), change document, changed root
     fields and ``has_diff``.
@@ -63,7 +69,7 @@ def diff_records(
     """
     described = [cols.id, cols.source, cols.record_a, cols.record_b]
     changed = record_changes(
-        collated.select(*described), cols, ignore_order, root_overlap_threshold)
+        collated.select(*described), cols, ignore_order, root_overlap_threshold, pair_limit)
     document = F.when(F.col(cols.missing) == 0, change_document("changes"))
     return changed.select(
         F.col(cols.id).cast("string").alias(cols.id),

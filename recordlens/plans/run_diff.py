@@ -40,6 +40,7 @@ def run_diff(
     rebalance: bool = True,
     wide: bool = False,
     cols: Columns = DEFAULT,
+    pair_limit: float = 0.0,
 ) -> RunResult:
     """Compare two versions and store the results below ``output``.
 
@@ -61,7 +62,7 @@ def run_diff(
     place = f"{output}/runs/{run}"
     diffs = diff_records(
         collate(a, b, cols), cols, ignore_order, root_overlap_threshold,
-        keep_missing_flag=True)
+        keep_missing_flag=True, pair_limit=pair_limit)
     seen = Observation()
     observed = diffs.observe(
         seen,

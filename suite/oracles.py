@@ -192,6 +192,24 @@ ORACLES = {
         UNION ALL SELECT record_id, 'value', 'root[''value'']', 'changed',
                CAST(value_a AS VARCHAR), CAST(value_b AS VARCHAR)
         FROM both_sides WHERE value_a <> value_b"""),
+    "change_table_items": """
+        WITH lines AS (
+          SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS record_id, l_linenumber AS line,
+                 l_partkey AS part, CAST(trunc(l_quantity) AS BIGINT) AS qty, l_suppkey AS supp
+          FROM lineitem),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY line, part, qty, supp) - 1
+                   AS i, part % 11 <> 0 AS in_b, (part + line) % 5 = 0 AS edited,
+                 count(*) FILTER (part % 11 <> 0) OVER (PARTITION BY record_id) AS left_in_b
+          FROM lines)
+        SELECT record_id, 'items' AS field,
+               'root[''items''][' || i || ']' || CASE WHEN in_b THEN '[''qty'']' ELSE '' END
+                 AS path,
+               CASE WHEN in_b THEN 'changed' ELSE 'item_removed' END AS kind,
+               CASE WHEN in_b THEN CAST(qty AS VARCHAR) ELSE '{"line":' || line || ',"part":'
+                 || part || ',"qty":' || qty || ',"supp":' || supp || '}' END AS old,
+               CASE WHEN in_b THEN CAST(qty + 100 AS VARCHAR) END AS new
+        FROM placed WHERE left_in_b > 0 AND (NOT in_b OR edited)""",
     "change_table_repetition": documents("""
         , line AS (SELECT record_id, unnest(lines) AS line,
                           generate_subscripts(lines, 1) - 1 AS i FROM records WHERE repeats)

@@ -122,6 +122,13 @@ def change_table_repetition(spark, sf_dir):
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("old_repeat", "new_repeat")])
 
 
+def change_table_items(spark, sf_dir):
+    """Edited items of arrays with their own changes, the others as removed."""
+    changes = rl.change_table(rl.record_changes(
+        rl.collate(*v.item_versions(spark, sf_dir)), pair_limit=0.5))
+    return changes.select("record_id", "field", "path", "kind", "old", "new")
+
+
 def change_document(spark, sf_dir):
     return order_diffs(spark, sf_dir).select("record_id", "ab_diff")
 
@@ -555,7 +562,8 @@ QUERIES = {
     fn.__name__: fn for fn in (
         collate_full_outer, latest_state, latest_collated, row_key, checks,
         diff_status, modified_fields, modified_fields_typed, ordered_vs_unordered,
-        change_table, change_table_nested, change_table_repetition, change_document,
+        change_table, change_table_nested, change_table_repetition, change_table_items,
+        change_document,
         keys_only_one_side, record_flags, field_long, changed_fields, distinct_sources,
         field_matrix, global_counts, source_counts, source_field_counts, field_counts,
         field_source_counts, metrics_rows, metrics_document, final_records,

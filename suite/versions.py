@@ -70,6 +70,24 @@ def transform_orders_b(orders: DataFrame) -> DataFrame:
         *[value.alias(name) for name, value in values.items()])))
 
 
+def item_versions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Orders with their distinct lines as an array. Version B gives some lines another quantity
+    and leaves out others."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("record_id"),
+        F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"),
+        F.col("l_quantity").cast("long").alias("qty"), F.col("l_suppkey").alias("supp")).distinct()
+    edited = F.when((F.col("part") + F.col("line")) % 5 == 0, F.col("qty") + 100) \
+        .otherwise(F.col("qty")).alias("qty")
+    sides = [lines, lines.where("part % 11 <> 0").select(
+        "record_id", "line", "part", edited, "supp")]
+    return [side.groupBy("record_id").agg(_binary_json(F.array_sort(F.collect_list(
+        F.struct("line", "part", "qty", "supp"))).alias("items"))).select(
+            "record_id", F.lit("lines").alias("source"),
+            F.lit("2024-01-01").cast("date").alias("run_date"), F.lit("full").alias("run_type"),
+            F.lit("index").alias("action"), "transformed_record") for side in sides]
+
+
 def _a_orders(orders):
     """Early orders, and the cheap ones, which B leaves out: every order has a version."""
     early = F.col("o_orderdate") < F.lit("2001-06-01").cast("timestamp")

@@ -1,3 +1,4 @@
+import itertools
 import json
 import random
 from collections import Counter
@@ -6,6 +7,7 @@ import pytest
 
 from recordlens import change_table, diff_records, key_differences, record_changes
 from recordlens.columns import diffs_schema
+from recordlens.functions import canonical
 from recordlens.functions.canonical import canonical_text, record_delta
 from recordlens.sources.datasets import dataset_files, read_dataset, write_dataset
 
@@ -221,3 +223,56 @@ def test_lone_surrogates_survive(spark):
     row = diff_records(rows).first()
     assert row.has_diff == "true"
     assert "\\udc00" in row.ab_diff
+
+
+def brute_cost(cost, limit):
+    """Least cost over all ways to pair rows and columns; one alone costs half the limit."""
+    n, m = len(cost), len(cost[0])
+    slots = [*range(m), *[None] * n]
+    return min(sum(limit / 2 if j is None else cost[i][j] for i, j in enumerate(way))
+               + limit / 2 * (m - sum(j is not None for j in way))
+               for way in set(itertools.permutations(slots, n)))
+
+
+def test_pairs_cost_least():
+    pick = random.Random(4)
+    for _ in range(150):
+        n, m = pick.randint(1, 4), pick.randint(1, 4)
+        cost = [[pick.choice([0.1, 0.25, 0.3, 0.5, 0.7, 1.0]) for _ in range(m)] for _ in range(n)]
+        limit = pick.choice([0.3, 0.6, 1.0])
+        pairs = canonical.least_cost_pairs(cost, limit)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        assert all(cost[i][j] < limit for i, j in pairs)
+        total = sum(cost[i][j] for i, j in pairs) + limit / 2 * (n + m - 2 * len(pairs))
+        assert abs(total - brute_cost(cost, limit)) < 1e-9
+    assert canonical.least_cost_pairs([], 0.5) == []
+
+
+def test_edited_items_are_compared_in_turn():
+    old = {"a": [{"id": 1, "n": "x", "t": [1, 2]}, {"id": 2, "n": "y", "t": []}, 5, {"id": 3}]}
+    new = {"a": [{"id": 2, "n": "z", "t": []}, {"id": 1, "n": "x", "t": [1, 3, 2]}, 6]}
+    _, changes = canonical.record_delta(old, new, pair_limit=0.5)
+    assert [c[1:5] for c in changes] == [
+        ("root['a'][0]['t'][1]", "item_added", None, "3"),
+        ("root['a'][1]['n']", "changed", '"y"', '"z"'),
+        ("root['a'][2]", "item_removed", "5", None),
+        ("root['a'][3]", "item_removed", '{"id":3}', None),
+        ("root['a'][2]", "item_added", None, "6")]
+    _, plain = canonical.record_delta(old, new)
+    assert {c[2] for c in plain} == {"item_removed", "item_added"} and len(plain) == 7
+    assert canonical.record_delta(old, old, pair_limit=1.0) is None
+
+
+def test_distance():
+    d = canonical.distance
+    assert d({"a": 1, "b": 2}, {"a": 1, "b": 3}) == 0.5 and d([1, 2], [2, 1]) == 0
+    assert d({"a": 1}, {"a": True}) == 1 and d({}, {}) == 0 and d({"a": 1}, [1]) == 1
+
+
+def test_arrays_with_too_many_edited_items_are_not_paired(monkeypatch):
+    old = [{"i": i, "v": 0} for i in range(9)]
+    new = [{"i": i, "v": 1} for i in range(9)]
+    assert {c[2] for c in canonical.record_delta(old, new, pair_limit=0.6)[1]} == {"changed"}
+    monkeypatch.setattr(canonical, "MOST_PAIRS", 80)
+    kinds = [c[2] for c in canonical.record_delta(old, new, pair_limit=0.6)[1]]
+    assert kinds == ["item_removed"] * 9 + ["item_added"] * 9
