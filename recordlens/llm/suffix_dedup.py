@@ -33,7 +33,7 @@ GRAM = 12
 POSITION_BITS = 18
 BLOCK = (1 << POSITION_BITS) - 4096
 #: Suffixes for which a bucket is planned, and the most buckets.
-BUCKET_SUFFIXES = 1_000_000
+BUCKET_SUFFIXES = 600_000
 MOST_BUCKETS = 100_000
 #: Suffixes gathered in the sample for the splitters, at most (bounds the driver's memory).
 SAMPLE = 1_000_000
@@ -185,12 +185,13 @@ def splitters(docs: DataFrame, length: int, buckets: int, n_docs: int) -> np.nda
             number, _, key, seg, _ = suffixes(texts, length)
             pick = np.sort(np.random.default_rng(0).permutation(len(key))[:each * len(ids)])
             made = _composite(key[pick], seg[pick], np.array(ids, np.int64)[number[pick]])
-            yield pa.RecordBatch.from_pydict({"s": pa.array([x.ljust(24, b"\0") for x in
-                                                             made.tolist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"s": pa.array([made.astype("S24").tobytes()],
+                                                            pa.binary())})
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
                         < int(share * 1_000_000) + 1)
-    found = np.sort(np.array([r[0] for r in chosen.mapInArrow(work, "s binary").collect()], "S24"))
+    found = np.sort(np.frombuffer(
+        b"".join(r[0] for r in chosen.mapInArrow(work, "s binary").collect()), "S24"))
     at = (np.arange(1, buckets) * len(found)) // buckets
     return found[at] if len(found) else found
 
@@ -354,15 +355,16 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
     def work(batches):
         unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
                 ids, versions, ats, hashes = [], [], [], []
                 for doc, version, packed, (first, last) in zip(
                         part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2),
                         _lists(part.column(3)), strict=True):
                     text, n = unpack(packed.as_buffer()), last - first + 1
                     at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                    hashes += [digest(text[p:p + length]) for p in at.tolist()]
+                    hashes.append(np.fromiter((digest(text[p:p + length]) for p in at.tolist()),
+                                              _U, len(at)))
                     ids.append(np.full(len(at), doc, np.int64))
                     versions.append(np.full(len(at), version, np.int32))
                     ats.append(at)
@@ -370,7 +372,7 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(ids)), pa.array(np.concatenate(versions)),
                          pa.array(np.concatenate(ats)),
-                         pa.array(np.array(hashes, _U).view(np.int64))],
+                         pa.array(np.concatenate(hashes).view(np.int64))],
                         ["doc_id", "version", "at", "hash"])
 
     return joined.mapInArrow(work, "doc_id long, version int, at long, hash long")
