@@ -147,11 +147,11 @@ def _common(old, new) -> int:
     if type(old) is not type(new):
         return 0
     if isinstance(old, dict):
-        return sum(_common(old[k], new[k]) for k in old.keys() & new.keys()) or int(old == new)
+        return sum(_common(old[k], new[k]) for k in old.keys() & new.keys()) or int(not old and not new)
     if isinstance(old, list):
         after = {text: len(at) for text, at in _positions(new, True).items()}
         return sum(_size(old[at[0]]) * min(len(at), after.get(text, 0))
-                   for text, at in _positions(old, True).items()) or int(old == new)
+                   for text, at in _positions(old, True).items()) or int(not old and not new)
     return int(not _differs(old, new, True))
 
 
