@@ -45,6 +45,11 @@ EMPTY_RECORDS_MESSAGE = (
 )
 DUPLICATE_IDS_MESSAGE = "The collated dataset contains duplicate '{id}' records."
 
+# --- fixed values: messages about names and records -----------------------------
+INVALID_FILENAME = "Provided S3 URI and filename is invalid: "
+INVALID_VERSION_PATH = "Transformed filepath is invalid: "
+UNKNOWN_RECORD = "Could not find record in diff matrix for {id}: {value}"
+
 # --- fixed values: message of a failed version --------------------------------
 VERSION_FAILED = "Version {} failed to complete successfully on record {}"
 PARTS_FAILED = "{} / {} parts failed to complete successfully."

@@ -36,7 +36,7 @@ def parse_filename(path: Column, strict: bool = True) -> Column:
         if not strict:
             return matched
         return matched.otherwise(F.raise_error(F.concat(
-            F.lit("Provided S3 URI and filename is invalid: "),
+            F.lit(fixed.INVALID_FILENAME),
             F.coalesce(name, F.lit("null")), F.lit("."))))
 
     return F.transform(F.array(split_name), as_struct)
@@ -48,7 +48,7 @@ def version_label(path: Column, strict: bool = True) -> Column:
     matched = F.coalesce(path.rlike("^" + fixed.VERSION_PATH_PATTERN), F.lit(False))
     if strict:
         return F.when(matched, label).otherwise(F.raise_error(F.concat(
-            F.lit("Transformed filepath is invalid: "),
+            F.lit(fixed.INVALID_VERSION_PATH),
             F.coalesce(path, F.lit("null")), F.lit("."))))
     return F.when(matched, label)
 

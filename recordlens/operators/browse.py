@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..columns import DEFAULT, Columns
 from ..functions.canonical import root_sorted
 from ..functions.documents import any_of, list_text, payload_contains, root_keys
@@ -58,6 +59,8 @@ def browse(
 
     ``after`` (value of the ordering column, id) is the last row of the page before: the next
     page then costs the same at any depth, while ``start`` counts all rows before it.
+    Rows of one value that have no id share the last place there: give pages of such rows by
+    ``start``.
 
     ``order_column`` is 0 id, 1 source, 2 has_diff, 3 modified fields (as text). Nulls come
     last in both directions and ties are ordered by id. Spark plans this as a top-k: only
@@ -70,7 +73,8 @@ def browse(
         value, record_id = (F.lit(x) for x in after)
         beyond = column > value if direction.lower() == "asc" else column < value
         beyond = F.when(value.isNull(), False).otherwise(beyond | column.isNull())
-        behind = F.col(cols.id).isNull() | (F.col(cols.id) > record_id)
+        behind = F.when(record_id.isNull(), False).otherwise(
+            F.col(cols.id).isNull() | (F.col(cols.id) > record_id))
         matching = matching.filter(beyond | (column.eqNullSafe(value) & behind))
     return (
         matching.orderBy(order[direction.lower()], F.col(cols.id).asc_nulls_last())
@@ -118,5 +122,5 @@ def record_summary(
     """Summary of one record; strict mode raises for an unknown id."""
     summary = record_summaries(records.filter(F.col(cols.id) == record_id), cols)
     if strict and summary.isEmpty():
-        raise ValueError(f"Could not find record in diff matrix for {cols.id}: {record_id}")
+        raise ValueError(fixed.UNKNOWN_RECORD.format(id=cols.id, value=record_id))
     return summary

@@ -73,24 +73,22 @@ def field_counts(cells: DataFrame) -> DataFrame:
     )
 
 
-def source_field_counts(cells: DataFrame, zeros: bool = False) -> DataFrame:
-    """Records changed per source and field.
+def source_field_counts(cells: DataFrame, zeros: list[str] | None = None) -> DataFrame:
+    """Records changed per source and field, of the pairs that occur.
 
-    ``zeros`` adds the absent pairs: every source's row then lists all field names, which is
-    meant for a report, so for as many fields as a report can show. Cells are used twice then:
+    ``zeros`` names fields for which every source gets a row, with 0 where the pair doesn't
+    occur: the fields that a report shows. One aggregate gives both. Cells are used twice then:
     pass stored ones for large diffs. Read the rows by source, or by field for the transposed
     view.
     """
-    named = cells.filter(F.col("field").isNotNull())
+    named = cells.filter(F.col("field").isNotNull()) \
+        .select("source", "field", F.col("records").alias("n"))
     if not zeros:
-        return named.select("source", "field", F.col("records").alias("n"))
-    counted = F.when(F.col("field").isNotNull(), F.struct("field", "records"))
-    by_source = cells.groupBy("source").agg(
-        F.map_from_entries(F.collect_list(counted)).alias("counted"))
-    fields = named.select("field").distinct().agg(F.array_sort(F.collect_set("field"))).scalar()
-    grid = by_source.select("source", "counted", F.explode(fields).alias("field"))
-    return grid.select(
-        "source", "field", F.coalesce(F.col("counted")[F.col("field")], F.lit(0)).alias("n"))
+        return named
+    asked = cells.filter(F.col("field").isNull()).select(
+        "source", F.explode(F.array(*map(F.lit, zeros))).alias("field"),
+        F.lit(0).cast("long").alias("n"))
+    return named.unionByName(asked).groupBy("source", "field").agg(F.sum("n").alias("n"))
 
 
 def metrics_rows(cells: DataFrame) -> DataFrame:

@@ -185,7 +185,8 @@ def stored_cells(spark, diffs) -> DataFrame:
 
 
 def source_field_counts(spark, sf_dir):
-    return rl.source_field_counts(stored_cells(spark, order_diffs(spark, sf_dir)), zeros=True)
+    return rl.source_field_counts(stored_cells(spark, order_diffs(spark, sf_dir)),
+                                  zeros=v.ORDER_FIELDS)
 
 
 def field_counts(spark, sf_dir):
@@ -194,7 +195,7 @@ def field_counts(spark, sf_dir):
 
 def field_source_counts(spark, sf_dir):
     cells = stored_cells(spark, document_diffs(spark, sf_dir))
-    return rl.source_field_counts(cells, zeros=True).select("field", "source", "n")
+    return rl.source_field_counts(cells, zeros=["lines", "stats"]).select("field", "source", "n")
 
 
 def metrics_rows(spark, sf_dir):

@@ -52,6 +52,7 @@ def make_version(spark):
     return make
 
 
+# fixed values: golden inputs
 @pytest.fixture(scope="session")
 def collated(make_collated):
     return make_collated([

@@ -46,7 +46,8 @@ def test_counts(cells):
     assert pairs(source_field_counts(cells), "source", "field") == {
         ("alma", "color"): 1, ("libguides", "color"): 1, ("libguides", "fruit"): 1,
         ("libguides", "number"): 1}
-    assert pairs(source_field_counts(cells, zeros=True), "source", "field") == {
+    assert pairs(source_field_counts(
+            cells, zeros=["color", "fruit", "number"]), "source", "field") == {
         ("alma", "color"): 1, ("alma", "fruit"): 0, ("alma", "number"): 0,
         ("dspace", "color"): 0, ("dspace", "fruit"): 0, ("dspace", "number"): 0,
         ("libguides", "color"): 1, ("libguides", "fruit"): 1, ("libguides", "number"): 1}
