@@ -97,7 +97,10 @@ def browse_counts(
 
 
 def record_payloads(records: DataFrame, record_id, cols: Columns = DEFAULT) -> DataFrame:
-    """A and B of one record, root keys in order. No row for an unknown id."""
+    """A and B of one record, root keys in order. No row for an unknown id.
+
+    On the stored records of a run this reads only the pages around the id of the row groups
+    whose Bloom filter knows it."""
     found = records.filter(F.col(cols.id) == record_id)
     return found.select(
         cols.id,

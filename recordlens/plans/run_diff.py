@@ -55,7 +55,8 @@ def run_diff(
     a column per changed field to records and matrix, as ``load_run`` does. ``write_records``
     stores a second copy with these columns in it, for readers other than ``load_run``.
     ``rebalance`` shuffles the diffs once more before the write, for few, even files; otherwise
-    each task writes one file per source and flag.
+    each task writes one file per source and flag. Files are sorted by id and have Bloom filters
+    of it, for lookups of single records.
     """
     spark = a.sparkSession
     run = uuid.uuid4().hex
@@ -71,7 +72,7 @@ def run_diff(
         F.count_if(F.col(cols.record_b).isNull()).alias("record_b_nulls"))
     partitions = [_PART, cols.has_diff]
     write_dataset(_parted(observed, cols), f"{place}/diffs", partitions, rebalance=rebalance,
-                  keep_other_partitions=False)
+                  keep_other_partitions=False, cluster_by=cols.id)
     stored = spark.read.schema(_parted(diffs, cols).schema).parquet(f"{place}/diffs")
     if stored.isEmpty():  # such a plan has no observation, and its folder no files
         raise_for({"total_records": 0, "record_a_nulls": 0, "record_b_nulls": 0,
@@ -83,7 +84,7 @@ def run_diff(
     if write_records:
         records = _load(spark, place, True, cols).records
         write_dataset(_parted(records, cols), f"{place}/records", partitions,
-                      keep_other_partitions=False)
+                      keep_other_partitions=False, cluster_by=cols.id)
     spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at")) \
         .write.mode("append").parquet(f"{output}/published")
     result = load_run(spark, output, wide or write_records, cols)

@@ -44,6 +44,7 @@ def write_dataset(
     rows_per_group: int | None = None,
     rebalance: bool = True,
     keep_other_partitions: bool = True,
+    cluster_by: str | None = None,
 ) -> None:
     """Write parquet, replacing the partitions that get rows (or the whole folder).
 
@@ -51,11 +52,19 @@ def write_dataset(
     With hive partitions, ``rebalance`` adds a shuffle that gives each of them files of even
     size in bytes; AQE splits a hot partition over many tasks. Without it every task writes its
     own file per hive partition and nothing is shuffled.
+
+    With ``cluster_by`` the rows of each file are sorted by that column and every row group has
+    a Bloom filter of it. A file holds a random part of the values, so a lookup of one value
+    reads the pages of at most one row group per file that its filter doesn't rule out.
     """
     keys = partition_by or []
     if rebalance and keys:
         df = df.hint("rebalance", *keys)
+    if cluster_by:  # the writer sorts by the hive keys in any case
+        df = df.sortWithinPartitions(*keys, cluster_by)
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file)
+    if cluster_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{cluster_by}", "true")
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     if keys:

@@ -280,6 +280,14 @@ ORACLES = {
                replace(replace(record_a, ',"', ', "'), '":', '": ') AS record_a,
                replace(replace(record_b, ',"', ', "'), '":', '": ') AS record_b
         FROM records WHERE record_id = (SELECT id FROM wanted)"""),
+    "lookup_stored": orders("""
+        SELECT record_id,
+               replace(replace(record_a, ',"', ', "'), '":', '": ') AS record_a,
+               replace(replace(record_b, ',"', ', "'), '":', '": ') AS record_b,
+               CAST(len(string_split(fields, ',')) AS INTEGER) AS fields_changed,
+               fields AS modified_fields
+        FROM records WHERE record_id = (SELECT min(record_id) FROM records
+                                        WHERE has_diff = 'true' AND NOT missing)"""),
     "record_summary": orders(f"""
         SELECT record_id,
                CAST(CASE WHEN fields = '' THEN 0 ELSE len(string_split(fields, ',')) END

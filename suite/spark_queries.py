@@ -430,6 +430,19 @@ def version_scan(spark, sf_dir):
         text("transformed_record"))
 
 
+def lookup_stored(spark, sf_dir):
+    """One record of a stored run, by its id: files are sorted by id, with Bloom filters."""
+    folder = scratch_dir(spark, "lookup")
+    rl.run_diff(*v.order_versions(spark, sf_dir), folder)
+    records = rl.load_run(spark, folder).records
+    wanted = records.where("has_diff = 'true' AND a_or_b_missing = 0") \
+        .agg(F.min("record_id")).first()[0]
+    found = rl.record_payloads(records, wanted) \
+        .join(rl.record_summary(records, wanted), "record_id")
+    return found.select("record_id", text("record_a"), text("record_b"), "fields_changed",
+                        joined("modified_fields"))
+
+
 def run_diff(spark, sf_dir):
     result = rl.run_diff(*v.order_versions(spark, sf_dir), scratch_dir(spark, "run"), wide=True)
     return _record_columns(result.records)
@@ -572,7 +585,7 @@ QUERIES = {
         browse_page,
         browse_by_fields, browse_filtered, browse_counts, manifest_parse,
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
-        versions_applied, versions_lenient, write_read_back, version_scan, run_diff,
+        versions_applied, versions_lenient, write_read_back, version_scan, run_diff, lookup_stored,
         compare_transforms, labelled_versions, versions_isolated, compare_isolated,
         run_history, run_documents, listed_manifest, browse_after,
         browse_by_id, browse_by_flag, record_summary_strict, manifest_list)

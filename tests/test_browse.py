@@ -95,3 +95,35 @@ def test_record_view(odd):
     assert record_summary(odd, "none").count() == 0
     with pytest.raises(ValueError, match="Could not find record in diff matrix"):
         record_summary(odd, "none", strict=True)
+
+
+def scanned_rows(df):
+    """Rows that the scans of an executed query handed on."""
+    plan, rows = df._jdf.queryExecution().executedPlan(), 0
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        rows += leaves.apply(i).metrics().apply("numOutputRows").value()
+    return rows
+
+
+def test_a_lookup_reads_little_of_a_stored_run(spark, tmp_path):
+    from recordlens import read_dataset, write_dataset
+
+    n = 40_000
+    rows = spark.range(n).selectExpr(
+        "sha2(cast(id AS string), 256) AS record_id", "cast(id % 3 AS string) AS source",
+        "repeat(sha2(cast(id AS string), 512), 3) AS record_a", "'{}' AS record_b")
+    write_dataset(rows, str(tmp_path / "plain"), ["source"])
+    write_dataset(rows, str(tmp_path / "sorted"), ["source"], rows_per_group=2000,
+                  cluster_by="record_id")
+    known = rows.where("source = '0'").first().record_id
+    counts = {}
+    for name in ("plain", "sorted"):
+        found = read_dataset(spark, str(tmp_path / name)).filter(F.col("record_id") == known)
+        assert [r.record_id for r in found.collect()] == [known]
+        counts[name] = scanned_rows(found)
+        unknown = read_dataset(spark, str(tmp_path / name)).filter("record_id = 'ffnone'")
+        assert unknown.collect() == []
+        counts[name, "unknown"] = scanned_rows(unknown)
+    assert counts["sorted"] <= 2000 and counts["sorted", "unknown"] == 0
+    assert counts["plain"] >= n // 3
