@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -64,47 +65,84 @@ def record(page_id: int | None, url: str | None, payload: bytes, payload_digest:
     return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
-def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+class Fields(dict):
+    """Header fields by name without regard to case, as archives spell them differently."""
+
+    def __init__(self, head: bytes):
+        """A blank behind the colon is optional, and a line that begins with a blank goes on
+        with the field before it. Of fields of the same name the last counts."""
+        unfolded = re.sub(rb"\r?\n[ \t]+", b" ", head).decode("utf-8", "replace")
+        for line in unfolded.splitlines()[1:]:
+            name, _, value = line.partition(":")
+            self[name.strip().lower()] = value.strip()
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+_HEAD_END, _BLANK = re.compile(rb"\r?\n\r?\n"), re.compile(rb"[\r\n\0]*")
+
+
+def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[Fields, bytes, bytes]]:
     """Header, block and all bytes of each record of an inflated stream; what is held at a time
-    is one record and a chunk."""
+    is one record and a chunk.
+
+    Line ends may be bare line feeds, and the line ends behind a block may be missing or more
+    than two; what a record lacks of them is added. Zero bytes between and behind records are
+    padding. A record without a length, or one that the stream ends within, raises ValueError.
+    """
     held = bytearray()
 
-    def fill(least: int) -> None:
+    def fill(least: int) -> bool:
         while len(held) < least:
             more = next(chunks, None)
             if more is None:
-                raise ValueError("the archive ends within a record")
+                return False
             held.extend(more)
+        return True
 
     while True:
-        while not held.lstrip(b"\r\n"):
-            more = next(chunks, None)
-            if more is None:
+        while (blank := _BLANK.match(held).end()) == len(held):
+            held.clear()
+            if not fill(1):
                 return
-            held.extend(more)
+        del held[:blank]
         seen = 0
-        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        while not (end := _HEAD_END.search(held, max(0, seen - 4))):
             seen = len(held)
-            fill(seen + 1)
-        head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "")
-                    for line in held[:end].decode().split("\r\n")[1:])
-        size = end + 4 + int(head["Content-Length"])
-        fill(size + 4)
-        yield head, bytes(held[end + 4:size]), bytes(held[:size + 4])
-        del held[:size + 4]
+            if not fill(seen + 1):
+                raise ValueError("the archive ends within a record")
+        head = Fields(bytes(held[:end.start()]))
+        if not held.startswith(b"WARC/") or not (head.get("Content-Length") or "").isdecimal():
+            raise ValueError("a record without a version or length")
+        size = end.end() + int(head["Content-Length"])
+        if not fill(size):
+            raise ValueError("the archive ends within a record")
+        yield head, bytes(held[end.end():size]), bytes(held[:size]) + b"\r\n\r\n"
+        del held[:size]
 
 
 def inflate(source) -> Iterator[bytes]:
-    """Inflated chunks of a gzip file of one or more members, in bounded memory."""
-    engine = zlib.decompressobj(31)
+    """Inflated chunks of a gzip file of one or more members, in bounded memory. Zero bytes
+    behind the last member are padding; a member cut anywhere, its trailer included, raises
+    ValueError."""
+    engine, begun = zlib.decompressobj(31), False
     while data := source.read(CHUNK):
         while data:
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
             yield engine.decompress(data, 4 * CHUNK)
             while engine.unconsumed_tail and not engine.eof:
                 yield engine.decompress(engine.unconsumed_tail, 4 * CHUNK)
             data = engine.unused_data
             if engine.eof:
-                engine = zlib.decompressobj(31)
+                engine, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def _file_system(uri: str):
@@ -180,8 +218,8 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                         member = engine.compress(data) + engine.flush()
                         out.write(member)
                         rows.append({"archive": name, "offset": offset, "length": len(member),
-                                     "record_id": head["WARC-Record-ID"],
-                                     "record_type": head["WARC-Type"]})
+                                     "record_id": head.get("WARC-Record-ID"),
+                                     "record_type": head.get("WARC-Type")})
                         offset += len(member)
                 with system.open_output_stream(f"{name}.idx", compression=None) as side:
                     side.write("".join(json.dumps(r) + "\n" for r in rows).encode())

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+import zlib
 
 import pytest
 
@@ -77,7 +78,6 @@ def test_files(spark, pages, tmp_path):
             assert text.startswith(b"WARC/1.1\r\n") and r["record_id"].encode() in text
     for file in glob.glob(f"{tmp_path}/whole/*.gz"):
         raw = open(file, "rb").read()
-        import zlib
         engine = zlib.decompressobj(31)
         engine.decompress(raw)
         assert engine.eof and not engine.unused_data  # a single member
@@ -92,3 +92,45 @@ def test_splitting_needs_no_whole_stream(monkeypatch):
     assert [data for _, _, data in found] == records
     with pytest.raises(ValueError, match="ends within a record"):
         list(warc.split_records(iter([b"".join(records)[:-50]])))
+
+
+def parsed(data):
+    return [(dict(h), block) for h, block, _ in warc.split_records(warc.inflate(io.BytesIO(data)))]
+
+
+def test_archives_of_others():
+    """Other spellings of names, no blank, folded lines, bare line feeds, padding, many members."""
+    one = b"WARC/1.0\r\ncontent-length:5\r\nWARC-TYPE:response\r\n\r\nhello\r\n\r\n"
+    two = (b"WARC/1.1\nWarc-Record-Id: <a>\nWARC-Target-URI: http://x/\n y\nContent-Length: 3\n\n"
+           b"a\0b\n\n")
+    empty = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n\r\n\r\n"
+    last = b"WARC/1.1\r\nContent-Length: 2\r\n\r\n\r\n"  # no line ends behind the block
+    wanted = [({"content-length": "5", "warc-type": "response"}, b"hello"),
+              ({"warc-record-id": "<a>", "warc-target-uri": "http://x/ y", "content-length": "3"},
+               b"a\0b"), ({"content-length": "0"}, b""), ({"content-length": "2"}, b"\r\n")]
+    records = [one, two, empty, last]
+    members = b"".join(map(gzip.compress, records))
+    assert parsed(gzip.compress(b"".join(records))) == parsed(members) == wanted
+    assert parsed(members + b"\0" * 700) == wanted
+    assert parsed(b"\0\0".join(map(gzip.compress, records))) == wanted
+    head = next(warc.split_records(iter([one])))[0]
+    assert head["Content-Length"] == "5" and head.get("WARC-Type") == "response"
+    assert parsed(gzip.compress(b"")) == [] == parsed(b"")
+    for bad in (b"WARC/1.1\r\nA: b\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n",
+                b"HTTP/1.1 200\r\nContent-Length: 0\r\n\r\n"):
+        with pytest.raises(ValueError, match="without a version or length"):
+            parsed(gzip.compress(bad))
+
+
+def test_cut_archives_raise(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 16)
+    records = [warc.record(i, "u", b"p" * 50, warc.digest(b"p" * 50), None, "d") for i in range(5)]
+    data = gzip.compress(b"".join(records))
+    assert len(parsed(data)) == 5
+    for cut in range(1, len(data)):
+        with pytest.raises((ValueError, zlib.error)):
+            parsed(data[:cut])
+    engine = zlib.compressobj(6, zlib.DEFLATED, 31)  # cut where the writer flushed
+    flushed = engine.compress(b"".join(records[:3])) + engine.flush(zlib.Z_FULL_FLUSH)
+    with pytest.raises(ValueError, match="within a gzip member"):
+        parsed(flushed)
