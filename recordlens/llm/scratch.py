@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset, one is set below the
@@ -33,8 +35,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes a table and reads it again. Shuffle files of the write go when it ends, since
         nothing behind the table needs them."""
-        self.spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def remove(self, name: str = "") -> None:

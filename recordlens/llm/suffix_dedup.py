@@ -350,10 +350,24 @@ def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield first[a:b], last[a:b]
 
 
-def open_windows(joined: DataFrame, length: int) -> DataFrame:
-    """doc_id, version, at and the 64-bit hash of each window that is still open."""
+def _quick(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(text[p:p + length]) for p in at.tolist()), _U, len(at)) \
+        .view(np.int64)
+
+
+def _exact(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    return np.array([hashlib.blake2b(text[p:p + length], digest_size=16).digest()
+                     for p in at.tolist()], object)
+
+
+def open_windows(joined: DataFrame, length: int, exact: bool = False) -> DataFrame:
+    """doc_id, version, at and the hash of each window that is still open: 64 bits, which say
+    what may be equal, or if ``exact`` a digest of 128 bits that stands for the bytes."""
+    hashed, kind = (_exact, pa.binary()) if exact else (_quick, pa.int64())
+
     def work(batches):
-        unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
@@ -363,8 +377,7 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
                         _lists(part.column(3)), strict=True):
                     text, n = unpack(packed.as_buffer()), last - first + 1
                     at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                    hashes.append(np.fromiter((digest(text[p:p + length]) for p in at.tolist()),
-                                              _U, len(at)))
+                    hashes.append(hashed(text, at, length))
                     ids.append(np.full(len(at), doc, np.int64))
                     versions.append(np.full(len(at), version, np.int32))
                     ats.append(at)
@@ -372,10 +385,17 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(ids)), pa.array(np.concatenate(versions)),
                          pa.array(np.concatenate(ats)),
-                         pa.array(np.concatenate(hashes).view(np.int64))],
+                         pa.array(np.concatenate(hashes), kind)],
                         ["doc_id", "version", "at", "hash"])
 
-    return joined.mapInArrow(work, "doc_id long, version int, at long, hash long")
+    return joined.mapInArrow(work, "doc_id long, version int, at long, hash "
+                             + ("binary" if exact else "long"))
+
+
+def _shared_hashes(windows: DataFrame) -> DataFrame:
+    """Hashes that occur in two documents at least, with the least of them."""
+    return windows.groupBy("hash").agg(F.min("doc_id").alias("least"),
+                                       F.max("doc_id").alias("most")).where("least < most")
 
 
 def _runs(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -420,12 +440,16 @@ def removed_windows(docs: DataFrame, length: int, id_col: str,
 
     windows = scratch.keep(open_windows(_with_text(
         named, ranges.where(F.col("kind") == OPEN), "inner"), length), "windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"),
-                                        F.max("doc_id").alias("most")).where("least < most")
-    repeated = windows.join(least, "hash").where("doc_id > least") \
-        .select("doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last"))
-    repeated = scratch.keep(repeated, "repeated")
+    place = ["doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last")]
+    alike = scratch.keep(windows.join(_shared_hashes(windows), "hash").select(*place), "alike")
     scratch.remove("windows")
+    # few windows are left, so these can afford digests that stand for their bytes
+    windows = scratch.keep(open_windows(_with_text(named, alike, "inner"), length, exact=True),
+                           "digests")
+    repeated = scratch.keep(windows.join(_shared_hashes(windows), "hash")
+                            .where("doc_id > least").select(*place), "repeated")
+    scratch.remove("alike")
+    scratch.remove("digests")
     return rows, ranges.where(F.col("kind") == SETTLED).select(*repeated.columns) \
         .unionByName(repeated)
 

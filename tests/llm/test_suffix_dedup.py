@@ -112,3 +112,18 @@ def test_segments_that_agree_in_half_of_their_hash(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [e[2] for e in found] == [0, 0, 50]
+
+
+def test_windows_of_one_quick_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """With a quick hash that is the same for all windows, the digests still give exact results."""
+    monkeypatch.setattr(suffix_dedup, "_quick",
+                        lambda text, at, length: np.zeros(len(at), np.int64))
+    draw = random.Random(5)
+    shared = "".join(draw.choices("abcdefgh", k=70))
+    rows = []
+    for i in range(40):
+        a = draw.randint(0, 25)
+        rows.append((i, "".join(draw.choices("abcdefgh", k=40)) + shared[a:a + draw.randint(40, 70)]
+                     + "".join(draw.choices("abcdefgh", k=40))))
+    expected = check(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert any(e[2] for e in expected) and any(not e[2] for e in expected)
