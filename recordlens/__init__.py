@@ -35,5 +35,5 @@ from .sources.datasets import (
 )
 from .sources.manifests import list_files, read_manifest, write_manifest
 from .sources.runs import (
-    read_history, read_run_documents, read_run_inputs, save_run,
+    publish_run, published_runs, read_history, read_run_documents, read_run_inputs, save_run,
 )

@@ -17,6 +17,7 @@ from ..operators.metrics import count_cells, metrics_document
 from ..operators.records import final_records
 from ..operators.versions import Transform, run_versions, version_path
 from ..sources.datasets import read_dataset, read_version, register_records, write_dataset
+from ..sources.runs import publish_run, published_runs
 
 
 class RunResult(NamedTuple):
@@ -26,7 +27,6 @@ class RunResult(NamedTuple):
     metrics: DataFrame
 
 
-_PUBLISHED = "run string, published_at timestamp"
 _PART = "source_part"
 
 
@@ -47,8 +47,9 @@ def run_diff(
     The diffs are written once, to shared storage, before anything else uses them: parsing
     happens once, and a lost executor costs no more than the tasks it ran. The counts the
     checks need are observed during that write. All counts read narrow columns of the
-    stored diffs. Every run has a folder of its own, and is published by a row that names it
-    once all checks have passed: a run that fails leaves the one before as it is.
+    stored diffs. Every run has a folder of its own, and is published by a numbered commit that
+    names it once all checks have passed: a run that fails leaves the one before as it is, and
+    runs into one output at the same time are all kept.
 
     The diffs are partitioned by source and ``has_diff``. The folder names escape the source
     (hive keys can't tell null from empty), the column itself is stored as it is. ``wide`` adds
@@ -85,9 +86,8 @@ def run_diff(
         records = _load(spark, place, True, cols).records
         write_dataset(_parted(records, cols), f"{place}/records", partitions,
                       keep_other_partitions=False, cluster_by=cols.id)
-    spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at")) \
-        .write.mode("append").parquet(f"{output}/published")
-    result = load_run(spark, output, wide or write_records, cols)
+    publish_run(spark, output, run)
+    result = load_run(spark, output, wide or write_records, cols, run=run)
     if write_records:
         columns = result.records.columns
         records = read_dataset(spark, f"{place}/records").select(
@@ -102,15 +102,19 @@ def _parted(diffs: DataFrame, cols: Columns) -> DataFrame:
 
 def load_run(
     spark: SparkSession, output: str, wide: bool = False, cols: Columns = DEFAULT,
-    view: str | None = None,
+    view: str | None = None, run: str | None = None,
 ) -> RunResult:
-    """Results of the run published last.
+    """Results of the run published last, or of the published run of that name.
 
     Records hold the list of changed fields. With ``wide`` they and the matrix also have a
     column per changed field, whose names come to the driver. ``view`` registers the records.
     """
-    published = spark.read.schema(_PUBLISHED).parquet(f"{output}/published")
-    run = published.agg(F.max_by("run", F.struct("published_at", "run"))).first()[0]
+    published = published_runs(spark, output)
+    if run is not None:
+        published = published.where(F.col("run") == run)
+    run = published.agg(F.max_by("run", F.struct("number", "run"))).first()[0]
+    if run is None:
+        raise ValueError(f"No such published run below {output}")
     result = _load(spark, f"{output}/runs/{run}", wide, cols)
     if view:
         register_records(result.records, view)

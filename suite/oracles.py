@@ -346,6 +346,9 @@ ORACLES = {
         SELECT record_id, source, CAST(run_date AS VARCHAR) AS run_date, run_type, action,
                record_b AS transformed_record FROM joined WHERE in_b"""),
     "run_diff": _FINAL,
+    "run_commits": f"""
+        SELECT number, count(*) AS records, count(*) FILTER (has_diff = 'true') AS changed
+        FROM ({_FINAL}) CROSS JOIN (SELECT CAST(unnest([0, 1]) AS BIGINT) AS number) GROUP BY number""",
     "compare_transforms": f"WITH {_ALL_ORDERS_SQL} {_FINAL_COLUMNS}",
     "labelled_versions": """
         SELECT version, outcome, count(*) AS n FROM (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -448,6 +450,21 @@ def run_diff(spark, sf_dir):
     return _record_columns(result.records)
 
 
+def run_commits(spark, sf_dir):
+    """Two runs into one output, in the order of their commits, each read by its name."""
+    folder, (a, b) = scratch_dir(spark, "commits"), v.order_versions(spark, sf_dir)
+    for sides in ((a, b), (b, a)):
+        rl.run_diff(*sides, folder)
+    commits = rl.published_runs(spark, folder).orderBy("number", "run").collect()
+    counts = [
+        rl.load_run(spark, folder, run=c.run).records.agg(
+            F.count("*").alias("records"),
+            F.count_if(F.col("has_diff") == "true").alias("changed"))
+        .select(F.lit(c.number).cast("long").alias("number"), "records", "changed")
+        for c in commits]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def compare_transforms(spark, sf_dir):
     """Both order transforms over all orders, stored, collated, compared and counted."""
     result = rl.compare_transforms(
@@ -585,7 +602,8 @@ QUERIES = {
         browse_page,
         browse_by_fields, browse_filtered, browse_counts, manifest_parse,
         manifest_since_full, manifest_csv, extracted_listing, version_labels,
-        versions_applied, versions_lenient, write_read_back, version_scan, run_diff, lookup_stored,
+        versions_applied, versions_lenient, write_read_back, version_scan, run_diff, run_commits,
+        lookup_stored,
         compare_transforms, labelled_versions, versions_isolated, compare_isolated,
         run_history, run_documents, listed_manifest, browse_after,
         browse_by_id, browse_by_flag, record_summary_strict, manifest_list)
