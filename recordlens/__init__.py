@@ -23,7 +23,9 @@ from .operators.metrics import (
     count_cells, field_counts, global_counts, metrics_document, metrics_rows, source_counts,
     source_field_counts,
 )
+from .operators.ranks import jump, write_rank_index
 from .operators.records import final_records, join_matrix
+from .operators.search_index import narrowed, read_search_index, write_search_index
 from .operators.versions import (
     VersionFailed, VersionRun, read_failures, read_labelled_versions, run_versions,
     write_versions,

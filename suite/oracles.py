@@ -303,6 +303,22 @@ ORACLES = {
     "browse_by_fields": orders("""
         SELECT record_id, source, has_diff, '[' || replace(fields, ',', ', ') || ']' AS modified_fields
         FROM records ORDER BY modified_fields, record_id LIMIT 25 OFFSET 100"""),
+    "browse_jump": orders("""
+        , rows AS (
+            SELECT record_id, source, has_diff,
+                   '[' || replace(fields, ',', ', ') || ']' AS modified_fields,
+                   d_status OR d_total AS changed
+            FROM records),
+        whole AS (SELECT * EXCLUDE (changed), 'all' AS page FROM rows
+                  ORDER BY source DESC NULLS LAST, record_id LIMIT 40 OFFSET 700),
+        part AS (SELECT * EXCLUDE (changed), 'changed' AS page FROM rows WHERE changed
+                 ORDER BY source DESC NULLS LAST, record_id LIMIT 30 OFFSET 150)
+        SELECT * FROM whole UNION ALL SELECT * FROM part"""),
+    "search_stored": documents("""
+        , t AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents),
+        terms AS (SELECT unnest(['é', '100%_x', 'the', 'qu', 'nowhere to be found']) AS term)
+        SELECT term, record_id FROM records JOIN t ON id = record_id
+        JOIN terms ON contains(text, term)"""),
     "browse_filtered": orders("""
         SELECT record_id, source, has_diff, '[' || replace(fields, ',', ', ') || ']' AS modified_fields
         FROM records WHERE source IN ('1-URGENT', '5-LOW') AND (d_status OR d_total)

@@ -295,6 +295,32 @@ def browse_by_flag(spark, sf_dir):
                      direction="desc", start=10, length=30)
 
 
+def browse_jump(spark, sf_dir):
+    """Pages far behind the first, found by the sizes of sorted ranges: one of all orders, one
+    of those with changes in the status or the total."""
+    diffs, folder = stored_diffs(spark, order_diffs(spark, sf_dir)), scratch_dir(spark, "ranks")
+    rl.write_rank_index(diffs, folder, 1, "desc", rows_per_range=5000)
+    pages = (rl.jump(spark, folder, 1, "desc", start=700, length=40),
+             rl.jump(spark, folder, 1, "desc", fields=["status", "total"], start=150, length=30))
+    return pages[0].withColumn("page", F.lit("all")).unionByName(
+        pages[1].withColumn("page", F.lit("changed")))
+
+
+SEARCHES = ["é", "100%_x", "the", "qu", "nowhere to be found"]
+
+
+def search_stored(spark, sf_dir):
+    """Stored documents that hold a term, read from the files whose signatures know it."""
+    folder = scratch_dir(spark, "search") + "/diffs"
+    rl.write_dataset(document_diffs(spark, sf_dir), folder, ["has_diff"], cluster_by="record_id")
+    index = rl.write_search_index(spark, folder, scratch_dir(spark, "signatures"),
+                                  rows_per_block=512)
+    records = rl.read_dataset(spark, folder)
+    return reduce(DataFrame.unionByName, [
+        rl.narrowed(records, index, folder, term).filter(rl.record_filter(term))
+        .select(F.lit(term).alias("term"), "record_id") for term in SEARCHES])
+
+
 def record_summary_strict(spark, sf_dir):
     """Summary of the cheapest order that isn't deleted."""
     least = v.table(spark, sf_dir, "orders").agg(
@@ -606,5 +632,5 @@ QUERIES = {
         lookup_stored,
         compare_transforms, labelled_versions, versions_isolated, compare_isolated,
         run_history, run_documents, listed_manifest, browse_after,
-        browse_by_id, browse_by_flag, record_summary_strict, manifest_list)
+        browse_by_id, browse_by_flag, browse_jump, search_stored, record_summary_strict, manifest_list)
 }
