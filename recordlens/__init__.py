@@ -35,7 +35,7 @@ from .sources.datasets import (
     dataset_files, query_matrix, read_dataset, read_version, register_records, write_bucketed,
     write_dataset,
 )
-from .sources.manifests import list_files, read_manifest, write_manifest
+from .sources.manifests import list_files, listed_files, read_manifest, write_manifest
 from .sources.runs import (
     publish_run, published_runs, read_history, read_run_documents, read_run_inputs, save_run,
 )

@@ -41,6 +41,7 @@ def run_diff(
     wide: bool = False,
     cols: Columns = DEFAULT,
     pair_limit: float = 0.0,
+    fields: list[str] | None = None,
 ) -> RunResult:
     """Compare two versions and store the results below ``output``.
 
@@ -53,7 +54,8 @@ def run_diff(
 
     The diffs are partitioned by source and ``has_diff``. The folder names escape the source
     (hive keys can't tell null from empty), the column itself is stored as it is. ``wide`` adds
-    a column per changed field to records and matrix, as ``load_run`` does. ``write_records``
+    a column per changed field to records and matrix, and ``fields`` a column for each of these,
+    as ``load_run`` does. ``write_records``
     stores a second copy with these columns in it, for readers other than ``load_run``.
     ``rebalance`` shuffles the diffs once more before the write, for few, even files; otherwise
     each task writes one file per source and flag. Files are sorted by id and have Bloom filters
@@ -83,11 +85,11 @@ def run_diff(
     stored = _stored(spark, place)
     count_cells(stored, cols, f"{place}/counts")
     if write_records:
-        records = _load(spark, place, True, cols).records
+        records = _load(spark, place, True, cols, fields).records
         write_dataset(_parted(records, cols), f"{place}/records", partitions,
                       keep_other_partitions=False, cluster_by=cols.id)
     publish_run(spark, output, run)
-    result = load_run(spark, output, wide or write_records, cols, run=run)
+    result = load_run(spark, output, wide or write_records, cols, run=run, fields=fields)
     if write_records:
         columns = result.records.columns
         records = read_dataset(spark, f"{place}/records").select(
@@ -102,12 +104,14 @@ def _parted(diffs: DataFrame, cols: Columns) -> DataFrame:
 
 def load_run(
     spark: SparkSession, output: str, wide: bool = False, cols: Columns = DEFAULT,
-    view: str | None = None, run: str | None = None,
+    view: str | None = None, run: str | None = None, fields: list[str] | None = None,
 ) -> RunResult:
     """Results of the run published last, or of the published run of that name.
 
     Records hold the list of changed fields. With ``wide`` they and the matrix also have a
-    column per changed field, whose names come to the driver. ``view`` registers the records.
+    column per changed field, whose names come to the driver; with ``fields`` a column for each
+    of these instead, changed anywhere or not, and no look for names. ``view`` registers the
+    records.
     """
     published = published_runs(spark, output)
     if run is not None:
@@ -115,7 +119,7 @@ def load_run(
     run = published.agg(F.max_by("run", F.struct("number", "run"))).first()[0]
     if run is None:
         raise ValueError(f"No such published run below {output}")
-    result = _load(spark, f"{output}/runs/{run}", wide, cols)
+    result = _load(spark, f"{output}/runs/{run}", wide, cols, fields)
     if view:
         register_records(result.records, view)
     return result
@@ -125,10 +129,11 @@ def _stored(spark: SparkSession, place: str) -> DataFrame:
     return read_dataset(spark, f"{place}/diffs").drop(_PART)
 
 
-def _load(spark: SparkSession, place: str, wide: bool, cols: Columns) -> RunResult:
+def _load(spark: SparkSession, place: str, wide: bool, cols: Columns,
+          fields: list[str] | None = None) -> RunResult:
     diffs = _stored(spark, place)
     cells = read_dataset(spark, f"{place}/counts")
-    names = name_list(cells) if wide else []
+    names = fields if fields is not None else name_list(cells) if wide else []
     return RunResult(final_records(diffs, names, cols), field_matrix(diffs, names, cols), cells,
                      metrics_document(cells))
 

@@ -10,6 +10,36 @@ from ..session import scratch_dir
 
 _LISTED = "path string, key string, is_folder boolean"
 
+#: Schemes that the listing client knows, and its names for those that Spark users write.
+_SCHEMES = {"file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs",
+            "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def _client_address(root: str) -> str:
+    """The folder's address as the listing client takes it."""
+    scheme, found, rest = root.partition("://")
+    if not found:
+        return root
+    if scheme.lower() not in _SCHEMES:
+        raise ValueError(f"no client lists {scheme}:// folders, give an inventory of them to "
+                         f"listed_files: {root}")
+    return f"{_SCHEMES[scheme.lower()]}://{rest}"
+
+
+def listed_files(inventory: DataFrame, root: str = "", path: str = "path") -> DataFrame:
+    """The files below ``root`` that an inventory table names, as ``list_files`` gives them.
+
+    For stores that write inventories, or that no client here lists. Any columns may stand
+    beside the paths. Rows without a path, folders (paths that end with a slash) and files
+    elsewhere are left out; a file named twice counts once. The root is literal text.
+    """
+    top = root.rstrip("/") + "/" if root else ""
+    name = F.col(path)
+    found = inventory.where(F.startswith(name, F.lit(top)) & ~F.endswith(name, F.lit("/")))
+    return found.select(
+        name.alias("path"), F.substring(name, F.lit(len(top) + 1), F.length(name)).alias("key")
+    ).distinct()
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """All files below ``root``: their ``path``, and their ``key`` below ``root``.
@@ -22,12 +52,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         raise ValueError(f"a folder is needed, not a pattern: {root}")
     top = root.rstrip("/")
     top = top if "://" in top else top.removeprefix("file:")
+    address = _client_address(top)
 
     def children(batches):
         import pyarrow as pa
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(top)
+        system, base = fs.FileSystem.from_uri(address)
         base = base.rstrip("/")
         for batch in batches:
             for key in batch.column(0).to_pylist():

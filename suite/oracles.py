@@ -402,6 +402,9 @@ ORACLES = {
     "listed_manifest": _CHOSEN.replace("FROM paths p JOIN", "FROM (SELECT DISTINCT path FROM paths) p JOIN") + """
         SELECT ordinal, source, daily, path AS key, CAST(extract_date AS VARCHAR) AS extract_date
         FROM chosen""",
+    "inventory_manifest": _CHOSEN.replace("FROM paths p JOIN", "FROM (SELECT DISTINCT path FROM paths) p JOIN") + """
+        SELECT ordinal, source, daily, path AS key, CAST(extract_date AS VARCHAR) AS extract_date
+        FROM chosen""",
     "browse_after": _page("modified_fields, record_id LIMIT 25 OFFSET 100"),
     "browse_by_id": _page("record_id DESC LIMIT 30"),
     "browse_by_flag": _page("has_diff DESC, record_id LIMIT 30 OFFSET 10"),

@@ -615,6 +615,18 @@ def listed_manifest(spark, sf_dir):
     return chosen.select("ordinal", "source", "daily", "key", text("extract_date"))
 
 
+def inventory_manifest(spark, sf_dir):
+    """The extracts' paths as a store's inventory table, some twice and some elsewhere."""
+    here = event_paths(spark, sf_dir).select(
+        F.concat(F.lit("s3a://extracts/2024/"), "path").alias("object"),
+        F.length("path").alias("size"))
+    elsewhere = here.withColumn("object", F.replace("object", F.lit("/2024/"), F.lit("/20240/")))
+    files = rl.listed_files(here.unionByName(here).unionByName(elsewhere),
+                            "s3a://extracts/2024", "object")
+    return rl.input_manifest(files, MANIFEST_SOURCES).select(
+        "ordinal", "source", "daily", "key", text("extract_date"))
+
+
 QUERIES = {
     fn.__name__: fn for fn in (
         collate_full_outer, latest_state, latest_collated, row_key, checks,
@@ -631,6 +643,6 @@ QUERIES = {
         versions_applied, versions_lenient, write_read_back, version_scan, run_diff, run_commits,
         lookup_stored,
         compare_transforms, labelled_versions, versions_isolated, compare_isolated,
-        run_history, run_documents, listed_manifest, browse_after,
+        run_history, run_documents, listed_manifest, inventory_manifest, browse_after,
         browse_by_id, browse_by_flag, browse_jump, search_stored, record_summary_strict, manifest_list)
 }

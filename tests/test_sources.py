@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordlens import (
     collate, count_cells, dataset_files, diff_records, extracted_files, input_manifest,
-    list_files, load_run, metrics_document, parse_filenames, read_dataset, read_history, read_manifest,
+    list_files, listed_files, load_run, metrics_document, parse_filenames, read_dataset, read_history, read_manifest,
     read_run_documents, read_run_inputs, read_version, requested_sources, run_diff, save_run,
     since_last_full, write_bucketed, write_dataset, write_manifest,
 )
@@ -107,6 +107,44 @@ def test_listing(spark, tmp_path):
         assert input_manifest(files, ["dspace"], key="key").count() == 0
 
 
+def test_listing_schemes(spark):
+    from recordlens.sources.manifests import _client_address
+
+    assert _client_address("s3a://bucket/a b") == "s3://bucket/a b"
+    assert _client_address("/data/x") == "/data/x"
+    with pytest.raises(ValueError, match="give an inventory"):
+        list_files(spark, "wasbs://container/x")
+
+
+def test_files_of_an_inventory(spark):
+    table = spark.createDataFrame(
+        [("s3a://b/x/alma/1.xml", 5), ("s3a://b/x/alma/1.xml", 6), ("s3a://b/x/", 0), (None, 1),
+         ("s3a://b/xy/2.xml", 1), ("s3a://b/x/%_/3.xml", None)], "key string, size long")
+    for root in ("s3a://b/x", "s3a://b/x/"):
+        assert sorted(map(tuple, listed_files(table, root, "key").collect())) == [
+            ("s3a://b/x/%_/3.xml", "%_/3.xml"), ("s3a://b/x/alma/1.xml", "alma/1.xml")]
+    assert listed_files(table, "s3a://b/%", "key").count() == 0
+    assert listed_files(table, path="key").count() == 3
+
+
+def test_columns_for_given_fields_only(spark, make_version, tmp_path, monkeypatch):
+    from recordlens.plans import run_diff as plan
+
+    def no_names(*_):
+        raise AssertionError("names were collected")
+
+    monkeypatch.setattr(plan, "name_list", no_names)
+    sides = [make_version([(f"x{i}", "s", D1, "full", "index", {f"f{i}": n, "t": n * (i % 2)})
+                           for i in range(50)]) for n in (1, 2)]
+    result = run_diff(*sides, str(tmp_path / "run"), fields=["t", "f7", "none", "source"])
+    assert result.matrix.columns[-4:] == ["t", "f7", "none", "field_source"]
+    sums = result.matrix.groupBy().sum("t", "f7", "none", "field_source").first()
+    assert tuple(sums) == (25, 1, 0, 0)
+    again = load_run(spark, str(tmp_path / "run"), fields=["f7"]).records
+    assert [r.record_id for r in again.filter("f7 = 1").collect()] == ["x7"]
+    assert "f8" not in again.columns
+
+
 def test_partitioned_write(spark, tmp_path):
     target = str(tmp_path / "out")
     df = spark.createDataFrame(
