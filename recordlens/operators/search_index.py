@@ -151,7 +151,7 @@ def narrowed(
     ranges = blocks.limit(MOST_RANGES + 1).collect()
     if not 0 < len(ranges) <= MOST_RANGES:
         return kept
-    record_id, inside = F.col(cols.id), F.lit(False)
+    record_id, inside = F.col(cols.id).cast("string"), F.lit(False)  # as it was indexed
     if any(r.no_id for r in ranges):
         inside = record_id.isNull()
     for r in ranges:

@@ -94,6 +94,17 @@ def test_no_records_and_only_null_payloads(spark, tmp_path):
     assert candidate_blocks(index, "a").count() == 0
 
 
+def test_ids_that_are_numbers(spark, tmp_path):
+    folder = str(tmp_path / "numbers")
+    spark.range(0, 300, 1, 3).selectExpr(
+        "id AS record_id", "cast(concat('word', id) AS binary) AS record_a",
+        "cast(null AS binary) AS record_b").write.parquet(folder)
+    index = write_search_index(spark, folder, str(tmp_path / "index"), 20)
+    for term, n in (("word9", 11), ("word107", 1), ("word", 300)):
+        found = narrowed(spark.read.parquet(folder), index, folder, term)
+        assert found.filter(record_filter(term)).count() == n
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     """Few sources, lists of fields with nulls, ids with nulls and whole rows repeated."""
