@@ -5,11 +5,13 @@ from collections import Counter
 
 import pytest
 
-from recordlens import change_table, diff_records, key_differences, record_changes
+from recordlens import (change_table, changed_fields, diff_records, field_cells, join_versions,
+                        key_differences, record_changes)
 from recordlens.columns import diffs_schema
 from recordlens.functions import canonical
 from recordlens.functions.canonical import canonical_text, record_delta
 from recordlens.sources.datasets import dataset_files, read_dataset, write_dataset
+from suite.versions import item_versions
 
 
 def one(make_collated, a, b, **options):
@@ -276,3 +278,60 @@ def test_arrays_with_too_many_edited_items_are_not_paired(monkeypatch):
     monkeypatch.setattr(canonical, "MOST_PAIRS", 80)
     kinds = [c[2] for c in canonical.record_delta(old, new, pair_limit=0.6)[1]]
     assert kinds == ["item_removed"] * 9 + ["item_added"] * 9
+
+
+@pytest.mark.parametrize("rows", [
+    change_table, field_cells, changed_fields])
+def test_every_record_is_compared_once(make_collated, rows):
+    pairs = make_collated([("1", "s", {"a": 1, "b": [1]}, {"a": 2, "b": [2]}),
+                           ("2", "s", {"a": 1}, {"a": 1}), ("3", "s", {"a": 1}, None)])
+    found = rows(record_changes(pairs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    fields = [row.field for row in found.collect()]
+    assert sorted(set(fields)) == ["a", "b"] and len(fields) in (2, 3)
+
+
+def test_keys_of_values_tell_what_canonical_texts_tell():
+    values = [1, 1.0, True, 0.0, -0.0, None, "1", {}, [], {"a": 1, "b": [1, 2]},
+              {"b": [2, 1], "a": 1}, {"b": [2, 1.0], "a": 1}, {"a": True}, {"a": 1}, [[1], [2]],
+              [[2], [1]], {"a": -0.0}, {"a": 0.0}, {"a": {"c": 1, "b": 2}}, float("nan"), 10 ** 20]
+    for (x, y), order in itertools.product(itertools.product(values, values), (True, False)):
+        same = canonical_text(x, order) == canonical_text(y, order)
+        assert (canonical._key(x, order) == canonical._key(y, order)) == same
+
+
+def test_pairs_without_a_choice_need_no_search(monkeypatch):
+    cost = [[0.9, 0.2, 0.7], [0.1, 0.6, 0.5], [1.0, 0.5, 0.8]]
+    monkeypatch.setattr(canonical, "sorted", None, raising=False)  # the search ends with it
+    assert canonical.least_cost_pairs(cost, 0.5) == [(0, 1), (1, 0)]
+
+
+def test_item_versions_of_odd_lines(spark, tmp_path):
+    """Distinct lines, nulls, orders that B loses, in two versions from one shuffle."""
+    rows = [(1, 10, 7, 1, 2.0), (1, 10, 7, 1, 2.0), (1, 4, 7, 1, 3.0), (1, 22, 7, 2, 5.0),
+            (2, 11, 7, 1, 1.0), (3, None, 7, 1, 1.0), (3, 3, None, None, None),
+            (None, 8, 1, 2, 4.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, "
+                          "l_linenumber int, l_quantity double").write.parquet(
+                              str(tmp_path / "lineitem.parquet"))
+    a, b = item_versions(spark, str(tmp_path))
+
+    def payloads(side):
+        return {row.record_id: json.loads(row.transformed_record)["items"]
+                for row in side.collect()}
+
+    assert payloads(a) == {
+        "1": [{"line": 1, "part": 4, "qty": 3, "supp": 7},
+              {"line": 1, "part": 10, "qty": 2, "supp": 7},
+              {"line": 2, "part": 22, "qty": 5, "supp": 7}],
+        "2": [{"line": 1, "part": 11, "qty": 1, "supp": 7}],
+        "3": [{"part": 3}, {"line": 1, "qty": 1, "supp": 7}],
+        None: [{"line": 2, "part": 8, "qty": 4, "supp": 1}]}
+    assert payloads(b) == {
+        "1": [{"line": 1, "part": 4, "qty": 103, "supp": 7},
+              {"line": 1, "part": 10, "qty": 2, "supp": 7}],
+        "3": [{"part": 3}], None: [{"line": 2, "part": 8, "qty": 104, "supp": 1}]}
+    plan = join_versions(a, b)
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") > 0
