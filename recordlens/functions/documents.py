@@ -48,7 +48,7 @@ def _type_name(text: str) -> str:
              WHEN {text} RLIKE '[.eEIN]' THEN 'float' ELSE 'int' END"""
 
 
-_PATH = "substring(to_json(array(c.path)), 2, length(to_json(array(c.path))) - 2)"
+_PATH = "trim(BOTH '[]' FROM to_json(array(c.path)))"  # ends at the quotes of the text
 
 # JSON text of one change, by kind
 _ENTRIES = {

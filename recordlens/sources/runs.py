@@ -34,7 +34,7 @@ def published_runs(spark: SparkSession, output: str) -> DataFrame:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{output}/commits")
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(folder):
-        return spark.createDataFrame([], _COMMITS)
+        return spark.range(0).select(F.from_json(F.lit("{}"), _COMMITS).alias("c")).select("c.*")
     return spark.read.schema(_COMMITS).parquet(f"{output}/commits") \
         .select("number", "run", "published_at")
 

@@ -335,3 +335,25 @@ def test_item_versions_of_odd_lines(spark, tmp_path):
     plan = join_versions(a, b)
     plan.collect()
     assert plan._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") > 0
+
+
+def test_flat_records_are_told_apart_and_parsed_like_before():
+    old = '{"a":1,"b":0.0,"c":NaN,"d":"x","e":true,"f":null,"g":1}'
+    new = '{"a":1.0,"b":-0.0,"c":NaN,"d":"y","e":1,"f":null,"h":1}'
+    parsed = canonical._parser()
+    _, changes = record_delta(parsed(old.encode()), parsed(f" {new} ".encode("utf-16")))
+    assert [c[2:5] for c in changes] == [
+        ("type_changed", "1", "1.0"), ("changed", '"x"', '"y"'), ("type_changed", "true", "1"),
+        ("removed", "1", None), ("added", None, "1")]
+    for broken in (b'{"a":1} {', b'{"a":', b'{"a":1}]'):
+        with pytest.raises(json.JSONDecodeError):
+            parsed(broken)
+    assert parsed(b'{"a":1}\n') == {"a": 1} and parsed("[2]") == [2]
+
+
+def test_paths_in_the_change_document_keep_their_brackets(make_collated):
+    row = one(make_collated, {"]x[": {"[]": 1}, "l": [[1]]}, {"]x[": {"[]": 2}, "l": [[2]]})
+    assert json.loads(row.ab_diff) == {
+        "values_changed": {"root[']x[']['[]']": {"new_value": 2, "old_value": 1}},
+        "iterable_item_removed": {"root['l'][0]": [1]},
+        "iterable_item_added": {"root['l'][0]": [2]}}

@@ -97,3 +97,12 @@ def test_inputs_of_a_save_that_broke_off_are_left_out(spark, sides, tmp_path):
         "2024-11-07_03-56-22"]
     assert read_history(spark, history).columns == [
         "run_timestamp", "run_message", "datasets", "part", "source", "field", "metrics"]
+
+
+def test_no_commits_need_no_python(spark, tmp_path):
+    """An output without commits is found empty without a Python worker."""
+    none = published_runs(spark, str(tmp_path / "none"))
+    assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
+    assert none.count() == 0 and none.agg({"number": "max"}).first()[0] is None
+    assert [f.simpleString() for f in none.schema] == [
+        "number:bigint", "run:string", "published_at:timestamp"]
