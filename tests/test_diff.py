@@ -357,3 +357,21 @@ def test_paths_in_the_change_document_keep_their_brackets(make_collated):
         "values_changed": {"root[']x[']['[]']": {"new_value": 2, "old_value": 1}},
         "iterable_item_removed": {"root['l'][0]": [1]},
         "iterable_item_added": {"root['l'][0]": [2]}}
+
+
+def test_a_batch_is_compared_in_slices(make_collated, monkeypatch):
+    """Records of a batch don't all stand as Python objects at once; rows stay the same."""
+    import pyarrow as pa
+
+    sizes, build = [], canonical._delta_array
+    monkeypatch.setattr(canonical, "_delta_array", lambda d: sizes.append(len(d)) or build(d))
+    monkeypatch.setattr(canonical.F, "arrow_udf", lambda kind: lambda f: f)
+    left = [None if i % 3 == 0 else json.dumps({"v": i}).encode() for i in range(300)]
+    right = [json.dumps({"v": i + i % 2}).encode() for i in range(300)]
+    sides = [pa.array(side, pa.binary()) for side in (left, right)]
+    compare = canonical.record_deltas  # the Arrow function itself, as no plan is made here
+    found = compare(*sides).to_pylist()
+    assert max(sizes) == canonical.RECORDS_AT_ONCE and sum(sizes) == 300
+    assert [bool(row) for row in found] == [i % 3 > 0 and i % 2 == 1 for i in range(300)]
+    assert found[1]["changes"][0]["new"] == "2"
+    assert len(compare(*[side.slice(0, 0) for side in sides])) == 0
