@@ -71,14 +71,16 @@ _ENTRIES = {
 
 
 def change_document(changes: str) -> Column:
-    """Change document as JSON by category; ``{}`` when there is no change."""
+    """Change document as JSON by category; ``{}`` when there is no change. The entries of a kind
+    are only looked for in records that have it."""
     parts = []
     for kind, category in CHANGE_CATEGORIES.items():
         opening, closing = ("[", "]") if kind in ("added", "removed") else ("{", "}")
         entries = (f"transform(filter({changes}, c -> c.kind = '{kind}'), "
                    f"c -> {_ENTRIES[kind]})")
         parts.append(
+            f"""CASE WHEN array_contains(({changes}).kind, '{kind}') THEN """
             f"""'"{category}":{opening}' || nullif(array_join({entries}, ','), '')"""
-            f" || '{closing}'")
+            f" || '{closing}' END")
     body = f"array_join(array({', '.join(parts)}), ',')"
     return F.expr(f"CASE WHEN size({changes}) = 0 THEN '{{}}' ELSE '{{' || {body} || '}}' END")

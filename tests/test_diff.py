@@ -8,8 +8,10 @@ import pytest
 from recordlens import (change_table, changed_fields, diff_records, field_cells, join_versions,
                         key_differences, record_changes)
 from recordlens.columns import diffs_schema
+from recordlens.fixed import CHANGE_CATEGORIES
 from recordlens.functions import canonical
 from recordlens.functions.canonical import canonical_text, record_delta
+from recordlens.functions.documents import change_document
 from recordlens.sources.datasets import dataset_files, read_dataset, write_dataset
 from suite.versions import item_versions
 
@@ -375,3 +377,10 @@ def test_a_batch_is_compared_in_slices(make_collated, monkeypatch):
     assert [bool(row) for row in found] == [i % 3 > 0 and i % 2 == 1 for i in range(300)]
     assert found[1]["changes"][0]["new"] == "2"
     assert len(compare(*[side.slice(0, 0) for side in sides])) == 0
+
+
+def test_change_document_looks_only_for_kinds_that_are_there(make_collated):
+    found = diff_records(make_collated([("1", "s", {"a": 1}, {"a": 2})]))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    for kind in CHANGE_CATEGORIES:
+        assert f".kind, {kind})" in plan
