@@ -9,15 +9,19 @@ one per twenty bytes; a text is a sequence of these tokens, and a suffix begins
    range, so that one passage in very many documents is spread over many buckets. A bucket sorts
    its own by multikey sort, one token after the other and only where the former tie, and
    compares neighbours: a segment that a smaller document has too is settled as a whole.
-2. What is left can only share some windows of a segment. Where another document has the same
-   anchor with the same bytes on one side, and wherever a bucket's boundary cuts an anchor, the
-   segment's windows are compared one by one.
+2. What is left can only share some windows of a segment. These fall in three thirds, by where in
+   the window the anchor lies; the windows of a third have some bytes around the anchor in common.
+   Where another document has the same, and for anchors with more suffixes than a bucket, the
+   windows are compared one by one. They are dealt by their anchor and third, so that a run of them
+   stays together and a window takes little more than its hash on the way; what would still take
+   more than a share of the text goes in several passes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,15 @@ SUFFIXES = ("bucket int, keys binary, segs binary, sides binary, places binary,
             "versions binary, counts binary")
 _FIELDS = [c.split()[0] for c in SUFFIXES.split(", ")]
 SETTLED, OPEN = 0, 1
+#: Bits of a side, and of a key as it is sent.
+SIDE_BITS, KEY_BITS = 21, 40
+#: Windows for which a bucket is planned, and that a task holds before it sends them on.
+BUCKET_WINDOWS, FLUSH_WINDOWS = 1_000_000, 1_000_000
+#: Bytes of the hashes sent in a pass, at most: this share of the text's, or so many.
+PASS_SHARE, PASS_BYTES = 0.4, 64 << 20
+WINDOWS = ("bucket int, hashes binary, docs binary, versions binary, firsts binary, "
+           "reaches binary, counts binary")
+_WINDOW_FIELDS = [c.split()[0] for c in WINDOWS.split(", ")]
 
 _U = np.uint64
 _MIX, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -73,17 +86,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _thirds(length: int) -> tuple[int, int]:
+    """From how many bytes between a window's start and its anchor it is of the middle third,
+    and from how many of the left one."""
+    width = length - GRAM + 1
+    return width // 3, 2 * width // 3
+
+
 def block_segments(data: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Segments of a block of concatenated texts; ``doc`` numbers the text of every byte.
 
-    Returns first and last window start, anchor, key, segment hash, and the hashes of the anchor
-    with the bytes to its left and right (0 where no window reaches that far).
+    Returns first and last window start, anchor, key, segment hash, and for the left, middle and
+    right third the hash of the bytes that all its windows hold (0 without such windows).
     """
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (int, int, int, _U, _U, _U, _U))
+        return tuple(np.zeros(0, t) for t in (int, int, int, _U, _U, _U, _U, _U))
     up, down = _power_tables()
     width = length - GRAM + 1
-    half = (length - GRAM + 1) // 2
+    near, far = _thirds(length)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(_TABLE[data] * down[:len(data)], out=sums[1:])
 
@@ -109,15 +129,24 @@ def block_segments(data: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.n
     anchor = anchor[first]
     size = last - first + length
     seg = _mixed(gram(first, size) + size.astype(_U) * _MIX)
-    left, right = anchor - half >= first, anchor - half <= last
-    sides = [np.zeros(len(first), _U), np.zeros(len(first), _U)]
-    sides[0][left] = _mixed(gram(anchor[left] - half, half + GRAM) + _MIX2) | _U(1)
-    sides[1][right] = _mixed(gram(anchor[right], half + GRAM)) | _U(1)
+    sides = []
+    for has, before, after in zip(_has_thirds(anchor - first, last - first, length),
+                                  (far, near, 0), (0, width - far, width - near), strict=True):
+        side = np.zeros(len(first), _U)
+        side[has] = _mixed(gram(anchor[has] - before, before + GRAM + after))
+        sides.append(side)
     return first, last, anchor, hashes[anchor], seg, *sides
 
 
+def _has_thirds(reach: np.ndarray, further: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Whether a segment has windows of the left, middle and right third. The anchor lies
+    ``reach`` bytes behind the first window start; ``further`` windows follow that one."""
+    near, far = _thirds(length)
+    return reach >= far, (reach >= near) & (reach - further < far), reach - further < near
+
+
 def suffixes(texts: list[memoryview | bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of several texts: text number, place, key, segment hash, sides (16 bits each).
+    """Of several texts: text number, place, key, segment hash, sides (SIDE_BITS bits each).
     A place is the first window start, the number of further ones and the anchor's distance."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -126,17 +155,16 @@ def suffixes(texts: list[memoryview | bytes], length: int) -> tuple[np.ndarray,
     found = []
     for at in range(0, len(data), BLOCK):
         end = min(at + BLOCK + length - 1, len(data))
-        first, last, anchor, key, seg, left, right = block_segments(data[at:end], doc[at:end],
-                                                                    length)
+        first, last, anchor, key, seg, *sides = block_segments(data[at:end], doc[at:end], length)
         number = doc[at + first]
         place = ((at + first - starts[number]) << 12 | (last - first) << 6 | (anchor - first))
+        left, middle, right = (x >> _U(64 - SIDE_BITS) for x in sides)
         found.append((number, place, key, seg,
-                      ((left >> _U(48)) | (left & _U(1))) << _U(16)
-                      | (right >> _U(48)) | (right & _U(1))))
+                      left << _U(2 * SIDE_BITS) | middle << _U(SIDE_BITS) | right))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int32, np.int64, _U, _U, np.uint32))
+        return tuple(np.zeros(0, t) for t in (np.int32, np.int64, _U, _U, _U))
     return tuple(np.concatenate(c).astype(t) for c, t in zip(
-        zip(*found, strict=True), (np.int32, np.int64, _U, _U, np.uint32), strict=True))
+        zip(*found, strict=True), (np.int32, np.int64, _U, _U, _U), strict=True))
 
 
 def _composite(key: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -193,7 +221,27 @@ def splitters(docs: DataFrame, length: int, buckets: int, n_docs: int) -> np.nda
     found = np.sort(np.frombuffer(
         b"".join(r[0] for r in chosen.mapInArrow(work, "s binary").collect()), "S24"))
     at = (np.arange(1, buckets) * len(found)) // buckets
-    return found[at] if len(found) else found
+    return _uncut(found[at]) if len(found) else found
+
+
+def _bound_keys(bounds: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(bounds).view([("k", ">u8"), ("rest", "V16")])["k"].astype(_U)
+
+
+def _uncut(bounds: np.ndarray) -> np.ndarray:
+    """A bound on a key that no other bound has moves before the key. Keys that stay cut are those
+    of more suffixes than a bucket has."""
+    key, out = _bound_keys(bounds), bounds.copy()
+    new = key[1:] != key[:-1]
+    alone = np.r_[True, new][:len(key)] & np.r_[new, True][:len(key)]
+    out.view(np.uint8).reshape(-1, 24)[alone, 8:] = 0
+    return out
+
+
+def _cut_keys(bounds: np.ndarray) -> np.ndarray:
+    """Of the keys that bounds cut, KEY_BITS bits."""
+    key = _bound_keys(bounds)
+    return np.unique(key[1:][key[1:] == key[:-1]] >> _U(64 - KEY_BITS))
 
 
 def deal(docs: DataFrame, length: int, bounds: np.ndarray) -> DataFrame:
@@ -213,10 +261,9 @@ def deal(docs: DataFrame, length: int, bounds: np.ndarray) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                 runs = np.flatnonzero(np.r_[True, number[a + 1:b] != number[a:b - 1]])
                 own = number[a:b][runs]
-                rows.append((int(bucket[a]), key[a:b].tobytes(), seg[a:b].tobytes(),
-                             sides[a:b].tobytes(), _thin(place[a:b]), doc[own].tobytes(),
-                             version[own].tobytes(),
-                             np.diff(np.r_[runs, b - a]).astype(np.uint32).tobytes()))
+                rows.append((int(bucket[a]), _short_keys(key[a:b]), seg[a:b].tobytes(),
+                             sides[a:b].tobytes(), _thin(place[a:b]), _thin(doc[own]),
+                             _thin(version[own]), _thin(np.diff(np.r_[runs, b - a]))))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int32() if i == 0 else pa.binary())
@@ -226,7 +273,28 @@ def deal(docs: DataFrame, length: int, bounds: np.ndarray) -> DataFrame:
 
 
 def _thin(values: np.ndarray) -> bytes:
-    return values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else _U).tobytes()
+    """Bytes of integers, as wide as their distance from the least needs; see ``_wide``."""
+    values = values.astype(np.int64)
+    least = values.min(keepdims=True)
+    above = values.view(_U) - least.view(_U)
+    kind = np.min_scalar_type(above.max())
+    return bytes([kind.itemsize]) + least.tobytes() + above.astype(kind).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    above = np.frombuffer(packed, f"<u{packed[0]}", offset=9).astype(_U)
+    return (above + np.frombuffer(packed, _U, 1, 1)).view(np.int64)
+
+
+def _short_keys(key: np.ndarray) -> bytes:
+    """The upper KEY_BITS bits: keys only bring together what may be equal."""
+    return (key >> _U(32)).astype(np.uint32).tobytes() + (key >> _U(24)).astype(np.uint8).tobytes()
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    n = len(packed) * 8 // KEY_BITS
+    return np.frombuffer(packed, np.uint32, n).astype(_U) << _U(8) \
+        | np.frombuffer(packed, np.uint8, n, 4 * n)
 
 
 def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,78 +321,88 @@ def multikey_order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(key: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Rows whose (key, side) occurs in two documents at least; side 0 is none."""
+    """Rows whose (key, side) occurs in two documents at least."""
     out = np.zeros(len(key), bool)
-    rows = np.flatnonzero(side)
-    if len(rows):
-        order = rows[np.lexsort((doc[rows], side[rows], key[rows]))]
-        first = np.r_[True, (key[order][1:] != key[order][:-1])
-                      | (side[order][1:] != side[order][:-1])]
+    if len(key):
+        both = key << _U(64 - KEY_BITS) ^ side  # of these, equal ones need not be
+        order = np.lexsort((doc, both))
+        first = np.r_[True, both[order][1:] != both[order][:-1]]
         start = np.flatnonzero(first)
         end = np.r_[start[1:], len(order)] - 1
         out[order] = (doc[order[start]] != doc[order[end]])[np.cumsum(first) - 1]
     return out
 
 
-def _judge(rows: list[tuple[bytes, ...]], length: int) -> pa.RecordBatch:
+def _judge(rows: list[tuple[bytes, ...]], length: int, cut: np.ndarray) -> pa.RecordBatch:
     """Settled and open ranges of window starts of one bucket."""
-    counts = [np.frombuffer(r[6], np.uint32) for r in rows]
-    key = np.concatenate([np.frombuffer(r[0], _U) for r in rows])
-    seg = np.concatenate([np.frombuffer(r[1], _U) for r in rows])
-    sides = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
-    place = np.concatenate([np.frombuffer(r[3], np.uint32 if len(r[3]) * 2 == len(r[0]) else _U)
-                            .astype(np.int64) for r in rows])
-    doc = np.concatenate([np.repeat(np.frombuffer(r[4], np.int64), c)
-                          for r, c in zip(rows, counts, strict=True)])
-    version = np.concatenate([np.repeat(np.frombuffer(r[5], np.int32), c)
-                              for r, c in zip(rows, counts, strict=True)])
+    counts = [_wide(r[6]) for r in rows]
+    key = np.concatenate([_keys(r[0]) for r in rows])
+    seg, sides = (np.concatenate([np.frombuffer(r[i], _U) for r in rows]) for i in (1, 2))
+    place = np.concatenate([_wide(r[3]) for r in rows])
+    doc, version = (np.concatenate([np.repeat(_wide(r[i]), c)
+                                    for r, c in zip(rows, counts, strict=True)]) for i in (4, 5))
     order, agree = multikey_order([key, seg, doc])
-    edge = (key[order] == key[order[0]]) | (key[order] == key[order[-1]])
+    edge = np.isin(key[order], cut)
     some = np.flatnonzero((agree > 0) | np.r_[agree[1:] > 0, False] | edge)
     at, agree, edge = order[some], agree[some], edge[some]
     begins = np.flatnonzero(agree < 2)  # a new segment; documents ascend within it
     least = doc[at[begins]][np.cumsum(agree < 2) - 1]
     settled = doc[at] > least
     owners = ~settled
-    left, right = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    own = at[owners]
-    left[owners] = _shared(key[own], sides[own] >> 16, doc[own]) | edge[owners]
-    right[owners] = _shared(key[own], sides[own] & 0xFFFF, doc[own]) | edge[owners]
-    half = (length - GRAM + 1) // 2
-    first, last = place[at] >> 12, (place[at] >> 12) + (place[at] >> 6 & 63)
-    middle = first + (place[at] & 63) - half  # windows up to here reach far to the left
-    start = np.where(settled | left, first, np.maximum(first, middle))
-    end = np.where(settled | right, last, np.minimum(last, middle))
-    out = (settled | left | right) & (start <= end)
+    first, further, reach = place[at] >> 12, place[at] >> 6 & 63, place[at] & 63
+    last, anchor = first + further, first + reach
+    opened = []
+    for i, has in enumerate(_has_thirds(reach, further, length)):
+        side = sides[at] >> _U((2 - i) * SIDE_BITS) & _U((1 << SIDE_BITS) - 1)
+        third, own = edge & has & owners, np.flatnonzero(owners & has)
+        third[own] |= _shared(key[at[own]], side[own], doc[at[own]])
+        opened.append(third)
+    left, middle, right = opened
+    near, far = _thirds(length)
+    start = np.where(settled | left, first, np.maximum(
+        first, anchor - np.where(middle, far, near) + 1))
+    end = np.where(settled | right, last, np.minimum(last, anchor - np.where(middle, near, far)))
+    out = settled | left | middle | right
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[at][out]), pa.array(version[at][out]), pa.array(start[out]),
-         pa.array(end[out]), pa.array(np.where(settled[out], SETTLED, OPEN).astype(np.int32))],
-        ["doc_id", "version", "first", "last", "kind"])
+        [pa.array(doc[at][out]), pa.array(version[at][out].astype(np.int32)),
+         pa.array(start[out]), pa.array(end[out]),
+         pa.array((anchor - start)[out].astype(np.int32)),
+         pa.array(np.where(settled[out], SETTLED, OPEN).astype(np.int32))],
+        ["doc_id", "version", "first", "last", "reach", "kind"])
 
 
-RANGES = "doc_id long, version int, first long, last long, kind int"
+#: Of window starts; the anchor lies ``reach`` bytes behind the first.
+RUNS = "doc_id long, version int, first long, last long, reach int"
+RANGES = RUNS + ", kind int"
 
 
-def judge(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
+def _by_bucket(dealt: DataFrame, buckets: int, one: Callable[[list[tuple]], pa.RecordBatch],
+               schema: str) -> DataFrame:
     """One bucket is held at a time; its rows arrive together."""
     def work(batches):
         held, bucket = [], None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(_FIELDS))]
+            columns = [column.to_pylist() for column in batch.columns]
             for row in zip(*columns, strict=True):
                 if row[0] != bucket and held:
-                    yield _judge(held, length)
+                    yield one(held)
                     held = []
                 bucket = row[0]
                 held.append(row[1:])
         if held:
-            yield _judge(held, length)
+            yield one(held)
 
     return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(work, RANGES)
+        .mapInArrow(work, schema)
+
 
+def judge(dealt: DataFrame, length: int, buckets: int, bounds: np.ndarray) -> DataFrame:
+    cut = _cut_keys(bounds)
+    return _by_bucket(dealt, buckets, lambda rows: _judge(rows, length, cut), RANGES)
 
-def _with_text(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+
+def _with_text(docs: DataFrame, ranges: DataFrame, how: str,
+               fields: tuple[str, ...] = ("first", "last")) -> DataFrame:
     """Documents, texts compressed for the shuffle, with their ranges."""
     def squeeze(batches):
         for batch in batches:
@@ -338,16 +416,17 @@ def _with_text(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
 
     packed = docs.mapInArrow(squeeze, "doc_id long, version int, packed binary")
     own = ranges.groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges"))
+        F.collect_list(F.struct(*fields)).alias("ranges"))
     return packed.join(own.hint("shuffle_merge"), ["doc_id", "version"], how)
 
 
-def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """First and last window starts of every row; a null list is empty."""
+def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """First and last window starts of every row, and what else its ranges have; a null list is
+    empty."""
     bounds = np.asarray(column.offsets)
-    first, last = (np.asarray(column.values.field(i)) for i in range(2))
+    fields = [np.asarray(column.values.field(i)) for i in range(column.type.value_type.num_fields)]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield first[a:b], last[a:b]
+        yield tuple(x[a:b] for x in fields)
 
 
 def _quick(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
@@ -357,45 +436,150 @@ def _quick(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _exact(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    return np.array([hashlib.blake2b(text[p:p + length], digest_size=16).digest()
-                     for p in at.tolist()], object)
+    return np.frombuffer(b"".join([hashlib.blake2b(text[p:p + length], digest_size=16).digest()
+                                   for p in at.tolist()]), np.int64).reshape(-1, 2)
+
+
+def _hash_columns(hashes: np.ndarray) -> list[np.ndarray]:
+    hashes = hashes.reshape(len(hashes), -1)
+    return [np.ascontiguousarray(hashes[:, i]) for i in range(hashes.shape[1])]
+
+
+def _found_elsewhere(hashes: list[np.ndarray], doc: np.ndarray,
+                     exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each window, whether it counts as found here: if ``exact``, one that a smaller document
+    has too, else one that any other has. And whether its document is the least that has it."""
+    order, agree = multikey_order([*hashes, doc])
+    group = np.cumsum(agree < len(hashes)) - 1
+    start = np.flatnonzero(agree < len(hashes))
+    least = np.empty(len(doc), bool)
+    least[order] = doc[order] == doc[order[start]][group]
+    if exact:
+        return ~least, least
+    end = np.r_[start[1:], len(order)] - 1
+    found = np.empty(len(doc), bool)
+    found[order] = (doc[order[start]] != doc[order[end]])[group]
+    return found, least
+
+
+def _window_buckets(data: np.ndarray, at: np.ndarray, reach: np.ndarray, length: int) -> np.ndarray:
+    """A number that is equal for windows with the same anchor in the same third."""
+    grams = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at + reach]
+    near, far = _thirds(length)
+    out = ((reach >= near).astype(_U) + (reach >= far)) * _MIX2
+    for word in np.ascontiguousarray(grams).view(np.uint32).T:
+        out = _mixed(out + word)
+    return out
 
 
-def open_windows(joined: DataFrame, length: int, exact: bool = False) -> DataFrame:
-    """doc_id, version, at and the hash of each window that is still open: 64 bits, which say
-    what may be equal, or if ``exact`` a digest of 128 bits that stands for the bytes."""
-    hashed, kind = (_exact, pa.binary()) if exact else (_quick, pa.int64())
+def deal_windows(joined: DataFrame, length: int, buckets: int, exact: bool, passes: int,
+                 turn: int) -> DataFrame:
+    """The hashes of the windows in the ranges, by bucket, many in a row: 64 bits, which say what
+    may be equal, or if ``exact`` a digest of 128 bits that stands for the bytes. Of equal ones
+    that are held together, only those of the least document go; the others are known as found, and
+    come as rows without hashes."""
+    hashed = _exact if exact else _quick
+
+    def send(chosen: np.ndarray, hashes: np.ndarray | None, at, reach, row, bucket, doc,
+             version) -> pa.RecordBatch:
+        chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+        at, reach, row, bucket = (x[chosen] for x in (at, reach, row, bucket))
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        new = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+                    | (reach[1:] != reach[:-1] - 1)]
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(chosen)], strict=True):
+            new[a] = True
+            runs = a + np.flatnonzero(new[a:b])
+            rows.append((int(bucket[a]), b"" if hashes is None else hashes[chosen[a:b]].tobytes(),
+                         *(_thin(x) for x in (doc[row[runs]], version[row[runs]], at[runs],
+                                              reach[runs], np.diff(np.r_[runs, b])))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int32() if i == 0 else pa.binary())
+             for i, c in enumerate(zip(*rows, strict=True))], _WINDOW_FIELDS)
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, versions, texts, ats, reaches = zip(*held, strict=True)
+        text = b"".join(texts)
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(held)), [len(x) for x in ats])
+        at, reach = np.concatenate(ats), np.concatenate(reaches)
+        bucket = _window_buckets(np.frombuffer(text, np.uint8), at + starts[row], reach, length)
+        bucket = (bucket % _U(buckets * passes)).astype(np.int64)
+        own = np.flatnonzero(bucket // buckets == turn)
+        if not len(own):
+            return
+        at, reach, row, bucket = at[own], reach[own], row[own], bucket[own] % buckets
+        doc, version = np.array(docs, np.int64), np.array(versions, np.int64)
+        hashes = hashed(text, at + starts[row], length)
+        found, least = _found_elsewhere(_hash_columns(hashes), doc[row], exact)
+        for chosen, what in ((least, hashes), (found, None)):
+            if chosen.any():
+                yield send(np.flatnonzero(chosen), what, at, reach, row, bucket, doc, version)
 
     def work(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        held, n_bytes, n_windows = [], 0, 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                ids, versions, ats, hashes = [], [], [], []
-                for doc, version, packed, (first, last) in zip(
-                        part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2),
-                        _lists(part.column(3)), strict=True):
-                    text, n = unpack(packed.as_buffer()), last - first + 1
-                    at = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                    hashes.append(hashed(text, at, length))
-                    ids.append(np.full(len(at), doc, np.int64))
-                    versions.append(np.full(len(at), version, np.int32))
-                    ats.append(at)
-                if ats:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(ids)), pa.array(np.concatenate(versions)),
-                         pa.array(np.concatenate(ats)),
-                         pa.array(np.concatenate(hashes), kind)],
-                        ["doc_id", "version", "at", "hash"])
-
-    return joined.mapInArrow(work, "doc_id long, version int, at long, hash "
-                             + ("binary" if exact else "long"))
-
-
-def _shared_hashes(windows: DataFrame) -> DataFrame:
-    """Hashes that occur in two documents at least, with the least of them."""
-    return windows.groupBy("hash").agg(F.min("doc_id").alias("least"),
-                                       F.max("doc_id").alias("most")).where("least < most")
+            for doc, version, packed, (first, last, reach) in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
+                    _lists(batch.column(3)), strict=True):
+                n = last - first + 1
+                at, each = np.unique(np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()),
+                                     return_index=True)
+                held.append((doc, version, unpack(packed.as_buffer()), at,
+                             np.repeat(first + reach, n)[each] - at))
+                n_bytes, n_windows = n_bytes + len(held[-1][2]), n_windows + len(at)
+                if n_bytes >= FLUSH_BYTES or n_windows >= FLUSH_WINDOWS:
+                    yield from flush(held)
+                    held, n_bytes, n_windows = [], 0, 0
+        if held:
+            yield from flush(held)
+
+    return joined.mapInArrow(work, WINDOWS)
+
+
+def _judge_windows(rows: list[tuple[bytes, ...]], exact: bool) -> pa.RecordBatch:
+    """Runs of found windows of one bucket."""
+    doc, version, first, reach, count = (
+        np.concatenate([_wide(r[i]) for r in rows]) for i in range(1, 6))
+    found = np.ones(count.sum(), bool)
+    asked = np.repeat(np.concatenate([np.full(len(_wide(r[5])), bool(r[0])) for r in rows]), count)
+    if asked.any():
+        hashes = np.frombuffer(b"".join([r[0] for r in rows]), np.int64) \
+            .reshape(-1, 2 if exact else 1)
+        found[asked], _ = _found_elsewhere(_hash_columns(hashes), np.repeat(doc, count)[asked],
+                                           exact)
+    run = np.repeat(np.arange(len(count)), count)
+    within = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    picked = np.flatnonzero(found)
+    new = np.r_[True, (np.diff(picked) != 1) | (np.diff(run[picked]) != 0)][:len(picked)]
+    start = picked[new]
+    end = picked[np.r_[new[1:], True][:len(picked)]]
+    run, skip = run[start], within[start]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[run]), pa.array(version[run].astype(np.int32)), pa.array(first[run] + skip),
+         pa.array(first[run] + within[end]), pa.array((reach[run] - skip).astype(np.int32))],
+        [c.split()[0] for c in RUNS.split(", ")])
+
+
+def found_windows(docs: DataFrame, ranges: DataFrame, length: int, total: int, scratch: Scratch,
+                  name: str, exact: bool) -> DataFrame:
+    """Runs of those windows in the ranges that other documents have; see ``_found_elsewhere``.
+    In as many passes as keep the hashes below a share of the text, ``total`` bytes."""
+    windows = ranges.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()[0]
+    passes = max(1, math.ceil(windows * (16 if exact else 8) / max(PASS_SHARE * total, PASS_BYTES)))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                  windows // passes // BUCKET_WINDOWS + 1)
+    joined = _with_text(docs, ranges, "inner", ("first", "last", "reach"))
+    out = None
+    for turn in range(passes):
+        found = scratch.keep(_by_bucket(
+            deal_windows(joined, length, buckets, exact, passes, turn), buckets,
+            lambda rows: _judge_windows(rows, exact), RUNS), f"{name}/{turn}")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _runs(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -436,22 +620,16 @@ def removed_windows(docs: DataFrame, length: int, id_col: str,
                  2 * total // (length - GRAM + 2) // BUCKET_SUFFIXES + 1)
     buckets = min(MOST_BUCKETS, wanted)
     bounds = splitters(named, length, buckets, n_docs)
-    ranges = scratch.keep(judge(deal(named, length, bounds), length, buckets), "ranges")
-
-    windows = scratch.keep(open_windows(_with_text(
-        named, ranges.where(F.col("kind") == OPEN), "inner"), length), "windows")
-    place = ["doc_id", "version", F.col("at").alias("first"), F.col("at").alias("last")]
-    alike = scratch.keep(windows.join(_shared_hashes(windows), "hash").select(*place), "alike")
-    scratch.remove("windows")
-    # few windows are left, so these can afford digests that stand for their bytes
-    windows = scratch.keep(open_windows(_with_text(named, alike, "inner"), length, exact=True),
-                           "digests")
-    repeated = scratch.keep(windows.join(_shared_hashes(windows), "hash")
-                            .where("doc_id > least").select(*place), "repeated")
+    ranges = scratch.keep(judge(deal(named, length, bounds), length, buckets, bounds), "ranges")
+
+    # few windows are left by the first, so the second can afford digests that stand for their bytes
+    alike = found_windows(named, ranges.where(F.col("kind") == OPEN), length, total, scratch,
+                          "alike", exact=False)
+    repeated = found_windows(named, alike, length, total, scratch, "repeated", exact=True)
     scratch.remove("alike")
-    scratch.remove("digests")
-    return rows, ranges.where(F.col("kind") == SETTLED).select(*repeated.columns) \
-        .unionByName(repeated)
+    place = ["doc_id", "version", "first", "last"]
+    return rows, ranges.where(F.col("kind") == SETTLED).select(*place) \
+        .unionByName(repeated.select(*place))
 
 
 def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",

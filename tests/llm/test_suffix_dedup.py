@@ -127,3 +127,87 @@ def test_windows_of_one_quick_hash_are_told_apart_by_their_bytes(spark, monkeypa
                      + "".join(draw.choices("abcdefgh", k=40))))
     expected = check(spark.createDataFrame(rows, "doc_id long, text string"))
     assert any(e[2] for e in expected) and any(not e[2] for e in expected)
+
+
+def kept_tables(monkeypatch):
+    """Gathers the tables that a call writes on its way."""
+    tables, keep = {}, suffix_dedup.Scratch.keep
+
+    def gather(self, df, name):
+        tables[name] = keep(self, df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", gather)
+    monkeypatch.setattr(suffix_dedup.Scratch, "remove", lambda *_: None)
+    return tables
+
+
+def overlapping(n):
+    draw = random.Random(8)
+    shared = ["".join(draw.choices("abcdefgh", k=90)) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        a, b = draw.randint(0, 30), draw.randint(40, 60)
+        rows.append((i, "".join(draw.choices("ijklmnop", k=60)) + draw.choice(shared)[a:a + b]
+                     + "".join(draw.choices("ijklmnop", k=60))))
+    return rows
+
+
+def test_an_anchor_of_very_many_documents_opens_few_windows(spark, monkeypatch):
+    """Documents have an anchor in common but nothing around it: their windows stay closed."""
+    draw = random.Random(11)
+    grams = np.frombuffer("".join(draw.choices("abcdefgh", k=20_012)).encode(), np.uint8)
+    _, _, anchor, key, *_ = suffix_dedup.block_segments(grams, np.zeros(len(grams), int), 50)
+    a = anchor[np.argmin(key)]
+    gram = grams[a:a + suffix_dedup.GRAM].tobytes().decode()
+    rows = [(i, "".join(draw.choices("abcdefgh", k=60)) + gram
+             + "".join(draw.choices("abcdefgh", k=60))) for i in range(5000)]
+    tables = kept_tables(monkeypatch)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert found.where("n_removed > 0").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    opened = tables["ranges"].where(f"kind = {suffix_dedup.OPEN}") \
+        .selectExpr("coalesce(sum(last - first + 1), 0)").first()[0]
+    assert opened < 5000 * 39 * 0.02  # of the windows that hold the anchor
+
+
+def test_windows_that_follow_each_other_are_one_row(spark, monkeypatch):
+    tables = kept_tables(monkeypatch)
+    expected = check(spark.createDataFrame(overlapping(300), "doc_id long, text string"))
+    windows = sum(n - 49 * spans for _, _, n, spans, *_ in expected)
+    held = sum(t.count() for name, t in tables.items() if name.startswith("alike"))
+    assert windows > 500 and held < windows
+
+
+def test_windows_go_in_passes(spark, monkeypatch):
+    """With little room for hashes, they are compared in several passes, with the same results."""
+    monkeypatch.setattr(suffix_dedup, "PASS_SHARE", 0)
+    monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 2_000)
+    tables = kept_tables(monkeypatch)
+    check(spark.createDataFrame(overlapping(300), "doc_id long, text string").repartition(3))
+    for name in ("alike", "repeated"):
+        assert sum(t.startswith(name) for t in tables) > 1
+
+
+def test_an_anchor_of_more_suffixes_than_a_bucket(spark):
+    """Bounds cut the anchor; the windows on both sides are still compared."""
+    draw = random.Random(4)
+    passage = "".join(draw.choices("abcdefgh", k=52))
+    rows = [(i, "".join(draw.choices("abcdefgh", k=draw.randint(0, 3))) + passage[i % 3:]
+             + "".join(draw.choices("abcdefgh", k=draw.randint(0, 3)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = suffix_dedup.splitters(
+        df.selectExpr("doc_id", "0 AS version", "cast(text AS binary) AS text"), 50, 8, len(rows))
+    assert len(suffix_dedup._cut_keys(bounds))
+    check(df)
+
+
+def test_packed_integers():
+    for values in ([5], [0, 0], [-3, 300, 7], [1 << 40, 3], [-(1 << 63), (1 << 63) - 1]):
+        assert suffix_dedup._wide(suffix_dedup._thin(np.array(values))).tolist() == values
+    keys = np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert (suffix_dedup._keys(suffix_dedup._short_keys(keys)) == keys >> np.uint64(24)).all()
