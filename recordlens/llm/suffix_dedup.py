@@ -50,7 +50,7 @@ SETTLED, OPEN = 0, 1
 #: Bits of a side, and of a key as it is sent.
 SIDE_BITS, KEY_BITS = 21, 40
 #: Windows for which a bucket is planned, and that a task holds before it sends them on.
-BUCKET_WINDOWS, FLUSH_WINDOWS = 1_000_000, 1_000_000
+BUCKET_WINDOWS, FLUSH_WINDOWS = 1_000_000, 250_000
 #: Bytes of the hashes sent in a pass, at most: this share of the text's, or so many.
 PASS_SHARE, PASS_BYTES = 0.4, 64 << 20
 WINDOWS = ("bucket int, hashes binary, docs binary, versions binary, firsts binary, "

@@ -166,7 +166,8 @@ def test_an_anchor_of_very_many_documents_opens_few_windows(spark, monkeypatch):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+        found = suffix_dedup.repeated_passages(
+            spark.createDataFrame(rows, "doc_id long, text string"))
         assert found.where("n_removed > 0").count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
